@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import packing, simhash, substring
+from loomspan.llm import html_text, licenses, lm, mixing, packing, quality, simhash, substring, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +20,43 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_bigrams", "n_unknown", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -40,9 +74,57 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS x FROM d),
+c AS (SELECT x, count(*) AS n FROM w GROUP BY x),
+tot AS (SELECT sum(n) AS total, CAST(ceil(sum(n) / 65536.0) AS BIGINT) AS least FROM c),
+voc AS (SELECT x, n FROM c, tot WHERE n >= least),
+uni AS (SELECT x, n FROM voc UNION ALL SELECT '', (SELECT total FROM tot) - (SELECT sum(n) FROM voc)),
+b AS (SELECT doc_id, coalesce(v1.x, '') AS u, coalesce(v2.x, '') AS v, count(*) AS n
+  FROM (SELECT doc_id, ws[i] AS u, ws[i + 1] AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d)) p
+  LEFT JOIN voc v1 ON v1.x = p.u LEFT JOIN voc v2 ON v2.x = p.v GROUP BY ALL),
+g AS (SELECT u, v, sum(n) AS c FROM b GROUP BY u, v),
+s AS (SELECT doc_id, sum(b.n) AS n_bigrams, sum(CASE WHEN b.u = '' OR b.v = '' THEN b.n ELSE 0 END) AS n_unknown,
+  sum(CASE WHEN g.c > b.n THEN 0 ELSE b.n END) AS n_backoff,
+  sum(b.n * CASE WHEN g.c > b.n THEN ln((g.c - b.n)::DOUBLE) - ln(cu.n::DOUBLE) ELSE ln(0.4 / total) + ln(cw.n::DOUBLE) END) AS log_score
+  FROM b JOIN g USING (u, v) JOIN uni cu ON cu.x = b.u JOIN uni cw ON cw.x = b.v, tot GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_bigrams, 0) AS BIGINT) AS n_bigrams, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff,
+  round(log_score, 4) AS log_score, round(log_score / n_bigrams, 5) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+def _op2_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, seed: str = mixing.SEED) -> str:
+    """Raking written out: one table for each margin of each round."""
+    steps = ["""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, 'icense') OR contains(t, 'CC BY') THEN 'legal' WHEN contains(t, '@') OR contains(t, 'http') THEN 'contact'
+    WHEN length(t) < 400 THEN 'short' WHEN length(t) >= 4000 THEN 'long' ELSE 'prose' END AS topic, greatest(1, length(t) // 4) AS tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents))""", "c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS own, sum(tokens)::DOUBLE AS f FROM d GROUP BY ALL)"]
+    for d in mixing.DIMENSIONS:
+        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () AS target FROM (SELECT {d}, pow(sum(own) / (SELECT sum(own) FROM c0), {temper}) AS w FROM c0 GROUP BY {d}))")
+    n = 0
+    for _ in range(rounds):
+        for d in mixing.DIMENSIONS:
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (f, target), f * target / sum(f) OVER (PARTITION BY c.{d}) AS f FROM c{n} c JOIN g_{d} USING ({d}))".replace("EXCLUDE (f, target)", "EXCLUDE (f)"))
+            n += 1
+    last = f"p AS (SELECT source, lang, topic, f / own / max(f / own) OVER () AS probability FROM c{n})"
+    digest = f"substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)"
+    return "WITH " + ",\n".join([*steps, last]) + f"""
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, CAST('0x' || {digest} AS BIGINT) / 4503599627370496.0 < probability AS sampled FROM d JOIN p USING (source, lang, topic)"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_best_fit_packing, op10_simhash)}
+    ops = (op1_substring_dedup, op2_mixing, op3_exact_top_k, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_url_filters, op8_quality_rules, op9_license_scan, op10_simhash)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": _op2_sql(), "op3_exact_top_k": OP3_SQL, "op5_lm_scoring": OP5_SQL}
