@@ -5,13 +5,14 @@ window is known by its minimizer: the smallest hash among its runs of CORE words
 minimizer at the same place, and a fifth of all positions are minimizers, so the sparse suffixes that start there
 find every repeat of `window` words or more.
 
-1. Documents are packed, whole rows, into compressed Arrow blocks: a scratch table that every later pass reads.
+1. Documents are packed, whole rows, into compressed Arrow blocks: a scratch table that every later pass reads. Of
+   equal texts only the one with the smallest id enters the trees; the others lose all their windows.
 2. Core hashes are counted (pre-aggregated). Cores of a single document are leaves of the tree: dropped.
 3. Suffixes are grouped by a prefix of variable length: the words from the window's start through its core. A group
    of at most `group_rows` rows is a subtree that one task holds as sorted suffixes; the intervals whose common
    prefix is `window` words deep are its deep internal nodes, the repeats, each with the smallest doc_id below.
-   A longer group takes the whole window as its prefix; that subtree is one node, and a pre-aggregated minimum
-   over (window, doc_id) gives its smallest doc_id with no task holding the group.
+   A longer group first collapses equal suffixes, then takes the whole window as its prefix; that subtree is one
+   node, and a pre-aggregated minimum over (window, doc_id) gives its smallest doc_id with no task holding the group.
 4. Covered words go back to their block and are cut out.
 
 Defined cases: null text has no words; rows with a null doc_id are kept whole and remove nothing; rows of the same
@@ -50,15 +51,27 @@ def _rows(blob: bytes) -> pa.Table:
         return r.read_all().combine_chunks()
 
 
-def _blocks(docs: DataFrame, text_at: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_at: int, text_at: int) -> DataFrame:
+    """Compressed blocks of rows, with each row's id and a digest of its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch, text_at, 1 << 19, (1 << _ROW_BITS) - 1):
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_blob(part)])], names=["block", "blob"])
+                digests = pa.array([xxhash.xxh3_128_digest(t) for t in text_bytes(part.column(text_at))], pa.binary())
+                marks = pa.StructArray.from_arrays([part.column(id_at), digests], names=["doc_id", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_blob(part)]), pa.ListArray.from_arrays([0, len(marks)], marks)], names=["block", "blob", "marks"])
                 number += 1
 
-    return docs.mapInArrow(run, "block long, blob binary")
+    return docs.mapInArrow(run, "block long, blob binary, marks array<struct<doc_id:long,digest:binary>>")
+
+
+def _copies(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cb, copies): per block the rows whose whole text a document with a smaller id has; all their windows go."""
+    rows = blocks.select("block", F.posexplode("marks").alias("row", "m")).select("block", "row", "m.doc_id", "m.digest").filter("doc_id IS NOT NULL")
+    again = scratch.write(rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("digest", "lo"))
+    late = rows.join(again, "digest").filter("doc_id > lo")
+    return scratch.write(late.groupBy(F.col("block").alias("cb")).agg(F.collect_list("row").alias("copies")))
 
 
 def _cores(words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,12 +110,12 @@ def _split(texts: list[bytes], ids: list) -> list[list[bytes]]:
     return [t.split() if i is not None else [] for t, i in zip(texts, ids)]
 
 
-def _per_block(f: Callable[[int, pa.Table, list], pa.RecordBatch | None]) -> Callable:
+def _per_block(f: Callable[[int, pa.Table, pa.Array | None, frozenset], pa.RecordBatch | None]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                items = batch.column(2)[i].values if batch.num_columns > 2 else None
-                out = f(batch.column(0)[i].as_py(), _rows(batch.column(1)[i].as_py()), items)
+                items, copies = (batch.column(2)[i].values, batch.column(3)[i].as_py()) if batch.num_columns > 2 else (None, None)
+                out = f(batch.column(0)[i].as_py(), _rows(batch.column(1)[i].as_py()), items, frozenset(copies or ()))
                 if out is not None and out.num_rows:
                     yield out
 
@@ -120,10 +133,10 @@ def deep_nodes(suffixes: list[tuple[bytes, int, int]], depth: int) -> Iterator[t
             start = i
 
 
-def removed_windows(blocks: DataFrame, scratch: Scratch, id_at: int, text_at: int, window: int, group_rows: int) -> DataFrame:
+def removed_windows(blocks: DataFrame, copies: DataFrame, scratch: Scratch, id_at: int, text_at: int, window: int, group_rows: int) -> DataFrame:
     """(block, ref) of windows that start in a document with a smaller id; ref packs row, core position and windows."""
 
-    def core_rows(block: int, rows: pa.Table, _: list | None, where: bool) -> pa.RecordBatch:
+    def core_rows(block: int, rows: pa.Table, where: bool) -> pa.RecordBatch:
         ids = rows.column(id_at).to_pylist()
         key, row, pos, mask = _cores(_split(text_bytes(rows.column(text_at)), ids), window)
         if where:
@@ -133,32 +146,32 @@ def removed_windows(blocks: DataFrame, scratch: Scratch, id_at: int, text_at: in
         doc = np.array([0 if i is None else i for i in ids], np.int64)[pair[1]]
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(doc)], names=["h", "doc_id"])
 
-    once = blocks.mapInArrow(_per_block(lambda b, r, x: core_rows(b, r, x, False)), "h long, doc_id long")
+    texts = blocks.select("block", "blob")
+    once = texts.mapInArrow(_per_block(lambda b, r, *_: core_rows(b, r, False)), "h long, doc_id long")
     counted = once.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = scratch.write(counted.filter("lo < hi").select("h", (F.col("n") > group_rows).alias("long_group")))
-    places = blocks.mapInArrow(_per_block(lambda b, r, x: core_rows(b, r, x, True)), "h long, block long, ref long")
+    places = texts.mapInArrow(_per_block(lambda b, r, *_: core_rows(b, r, True)), "h long, block long, ref long")
     found = places.join(shared, "h").groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("h", "ref", "long_group")).alias("items"))
 
     entry = T.StructType.fromDDL("h long, long_group boolean, doc_id long, block long, ref long, words binary")
 
-    def suffix_rows(block: int, rows: pa.Table, items: list) -> pa.RecordBatch:
+    def suffix_rows(block: int, rows: pa.Table, items: pa.Array, copies: frozenset) -> pa.RecordBatch | None:
         ids = rows.column(id_at).to_pylist()
         words = _split(text_bytes(rows.column(text_at)), ids)
         out: list[tuple] = []
         h, refs, hot = (items.field(i).to_pylist() for i in range(3))
         for key, ref, long_group in sorted(zip(h, refs, hot), key=lambda x: x[1]):
             row, pos, mask = ref >> (_POS_BITS + _MASK_BITS), (ref >> _MASK_BITS) & ((1 << _POS_BITS) - 1), ref & ((1 << _MASK_BITS) - 1)
+            if row in copies:
+                continue
             own = words[row]
-            if long_group:
-                for o in range(mask.bit_length()):
-                    if mask >> o & 1:
-                        digest = xxhash.xxh3_128_digest(b" ".join(own[pos - o : pos - o + window]))
-                        out.append((key, True, ids[row], block, (ref >> _MASK_BITS << _MASK_BITS) | 1 << o, digest))
-            else:
-                out.append((key, False, ids[row], block, ref, b" ".join(own[max(0, pos - window + CORE) : pos + window])))
+            out.append((key, long_group, ids[row], block, ref, b" ".join(own[max(0, pos - window + CORE) : pos + window])))
+        if not out:
+            return None
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=entry.names)
 
-    suffixes = scratch.write(found.join(blocks, F.col("b") == F.col("block")).select("block", "blob", "items").mapInArrow(_per_block(suffix_rows), entry))
+    found = found.join(copies, F.col("b") == F.col("cb"), "left")
+    suffixes = scratch.write(found.join(texts, F.col("b") == F.col("block")).select("block", "blob", "items", "copies").mapInArrow(_per_block(suffix_rows), entry))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -194,10 +207,33 @@ def removed_windows(blocks: DataFrame, scratch: Scratch, id_at: int, text_at: in
 
     short = suffixes.filter("not long_group").select("h", "doc_id", "block", "ref", "words")
     cut = short.repartition("h").sortWithinPartitions("h").mapInArrow(subtrees, "block long, ref long")
-    long = suffixes.filter("long_group")
-    least = scratch.write(long.groupBy("words").agg(F.min("doc_id").alias("lo")))
-    late = long.join(least, "words").filter("doc_id > lo").select("block", "ref")
-    return cut.union(late)
+    return cut.union(_long_groups(suffixes.filter("long_group"), scratch, window))
+
+
+def _long_groups(suffixes: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(block, ref) of the windows to remove in long groups: equal suffixes collapse first, then whole windows are prefixes."""
+    left = F.least(F.shiftright("ref", _MASK_BITS).bitwiseAND(F.lit((1 << _POS_BITS) - 1)), F.lit(window - CORE))
+    shape = F.shiftleft(left, _MASK_BITS) + F.col("ref").bitwiseAND(F.lit((1 << _MASK_BITS) - 1))
+    suffixes = suffixes.withColumn("shape", shape).withColumn("key", F.md5(F.concat("words", F.encode(F.col("shape").cast("string"), "utf-8"))))
+    distinct = scratch.write(suffixes.groupBy("key").agg(F.min("doc_id").alias("lo"), F.any_value("shape").alias("shape"), F.any_value("words").alias("words")))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, lo, form, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own, left, mask = text.split(b" "), form >> _MASK_BITS, form & ((1 << _MASK_BITS) - 1)
+                for o in range(mask.bit_length()):
+                    if mask >> o & 1:
+                        out.append((key, 1 << o, xxhash.xxh3_128_digest(b" ".join(own[left - o : left - o + window])), lo))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.int64()))], names=["key", "bit", "prefix", "lo"])
+
+    nodes = scratch.write(distinct.mapInArrow(windows, "key string, bit long, prefix binary, lo long"))
+    least = scratch.write(nodes.groupBy("prefix").agg(F.min("lo").alias("first")))
+    first = scratch.write(nodes.join(least, "prefix").groupBy("key").agg(F.collect_list(F.struct("bit", "first")).alias("nodes")))  # one per window start
+    bits = F.aggregate("nodes", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["first"] < F.col("doc_id"), x["bit"]).otherwise(F.lit(0).cast("long")))
+    hit = suffixes.join(first, "key").withColumn("bits", bits).filter("bits != 0")
+    return hit.select("block", (F.shiftleft(F.shiftright("ref", _MASK_BITS), _MASK_BITS) + F.col("bits")).alias("ref"))
 
 
 def _covered(own: int, refs: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -227,23 +263,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if digest:
         docs = docs.select(id_col, text_col)
     id_at, text_at, schema = docs.columns.index(id_col), docs.columns.index(text_col), docs.schema
-    blocks = scratch.write(_blocks(docs, text_at))
-    gone = removed_windows(blocks, scratch, id_at, text_at, window, group_rows)
+    blocks = scratch.write(_blocks(docs, id_at, text_at))
+    copies = _copies(blocks, scratch)
+    gone = removed_windows(blocks, copies, scratch, id_at, text_at, window, group_rows)
     gone = scratch.write(gone.groupBy(F.col("block").alias("b")).agg(F.collect_list("ref").alias("refs")))
-    both = blocks.join(gone, F.col("b") == F.col("block"), "left").select("block", "blob", "refs")
+    lost = gone.join(copies, F.col("b") == F.col("cb"), "full").select(F.coalesce("b", "cb").alias("b"), "refs", "copies")
+    both = blocks.select("block", "blob").join(lost, F.col("b") == F.col("block"), "left").select("block", "blob", "refs", "copies")
     keep = [i for i in range(len(schema)) if not (digest and i == text_at)]
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), *([("kept_sha256", T.StringType())] if digest else [("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))])]
     result = T.StructType([schema[i] for i in keep] + [T.StructField(n, t) for n, t in added])
 
-    def finish(block: int, rows: pa.Table, items: list | None) -> pa.RecordBatch:
+    def finish(block: int, rows: pa.Table, items: pa.Array | None, copies: frozenset) -> pa.RecordBatch:
         by_row: dict[int, list[tuple[int, int]]] = {}
         for ref in items.to_pylist() if items is not None else []:
             by_row.setdefault(ref >> (_POS_BITS + _MASK_BITS), []).append(((ref >> _MASK_BITS) & ((1 << _POS_BITS) - 1), ref & ((1 << _MASK_BITS) - 1)))
         n, gone, last, texts = [], [], [], rows.column(text_at).to_pylist()
         for i, text in enumerate(text_bytes(rows.column(text_at))):
             words = text.split()
-            cover = _covered(len(words), by_row[i], window) if i in by_row else np.zeros(0, bool)
-            kept = [w for w, c in zip(words, cover) if not c] if i in by_row else words
+            if i in copies:
+                cover = np.full(len(words), len(words) >= window)
+            else:
+                cover = _covered(len(words), by_row[i], window) if i in by_row else np.zeros(len(words), bool)
+            cut = bool(cover.any())
+            kept = [w for w, c in zip(words, cover) if not c] if cut else words
             n.append(len(words))
             gone.append(len(words) - len(kept))
             if digest:
@@ -251,7 +293,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             else:
                 step = np.flatnonzero(np.diff(np.concatenate([[0], cover, [0]])))
                 last.append(step.reshape(-1, 2).tolist())
-                if i in by_row:
+                if cut:
                     texts[i] = b" ".join(kept).decode()
         columns = [pa.array(texts, pa.string()) if i == text_at else _one(rows.column(i)) for i in keep]
         kind = pa.string() if digest else pa.list_(pa.list_(pa.int64()))
