@@ -27,45 +27,54 @@ from loomspan.llm.common import Scratch, chunks, ship
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 
-# Texts of these characters keep their code points under NFC and may be split at white space before encoding.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u02af\u2010-\u2027]*")
+# White space to str.split() but not to the vocabulary's pattern.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _APOSTROPHE = re.compile(r"'(?:s|t|re|ve|m|ll|d)", re.I)
 
 
-class Encoder:
-    """Token ids of whole texts as little-endian uint32 bytes, with a bounded memory of words."""
+class Encoder(dict):
+    """Token ids of whole texts as little-endian uint32 bytes; the dict remembers a bounded number of words.
 
-    def __init__(self, path: str | None = None, remember: int = 400_000):
+    The vocabulary drops white space and no merge crosses it, so a text's ids are those of its words in turn.
+    """
+
+    def __init__(self, path: str | None = None, remember: int = 1_000_000):
         import public_tokenizers
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
+        super().__init__()
         self.full = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.run = Tokenizer(self.full.model)  # merges alone, for runs that need no splitting
-        self.run.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[str, bytes] = {}
         self.remember = remember
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
+        self.marks: dict[str, bytes] = {"": b""}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in printable]
+        self.as_bytes = {**{b: b for b in printable}, **{b: 256 + i for i, b in enumerate(other)}}  # byte-level alphabet
+
+    def _merged(self, run: str) -> bytes:
+        """Merges alone, for a run that needs no splitting."""
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(self.as_bytes)
+        return np.array([t.id for t in self.full.model.tokenize(run)], "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
         m = _WORD.fullmatch(word)
         if not m or _APOSTROPHE.match(m[2]):
-            return self._ids(self.full.encode(word, add_special_tokens=False).ids)
-        ids = self.run.encode(m[1].lower(), add_special_tokens=False).ids
-        return self._ids(ids + self.run.encode(m[2], add_special_tokens=False).ids if m[2] else ids)
+            got = np.array(self.full.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            if m[2] not in self.marks:
+                self.marks[m[2]] = self._merged(m[2])
+            got = self._merged(m[1].lower()) + self.marks[m[2]]
+        self[word] = got
+        return got
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
-            return self._ids(self.full.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.words
-        if len(known) > self.remember:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+        if any(c in text for c in _SEPARATORS):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) > self.remember:
+            self.clear()
+            self.marks = {"": b""}
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
