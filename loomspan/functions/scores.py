@@ -30,7 +30,8 @@ def composite(rec: Column, freq: Column, authority: Column, entity: Column) -> C
 
 
 def composite_impact(rec: Column, freq: Column, authority: Column, entity: Column, impact: Column) -> Column:
-    return composite(rec, freq, authority, entity) * clamp(F.lit(0.4) + impact * 1.1, 0.8, 1.5)
+    base = rec * 0.30 + freq * 0.20 + authority * 0.30 + entity * 0.15 + impact * 0.05
+    return base * clamp(F.lit(0.4) + impact * 1.1, 0.8, 1.5)
 
 
 def outcome_label(correction: Column, overlap: Column) -> Column:

@@ -27,6 +27,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = f"SELECT *, {REC.format(0.05)} AS rec, {REC.format(0.023)} AS slow, {FREQ} AS freq, {IMP} AS imp, CASE WHEN confidence = 'ambient' THEN 0.3 ELSE 0.6 END::DOUBLE AS auth FROM memories"
 _C1 = "(rec * 0.35 + freq * 0.20 + auth * 0.30 + {e} * 0.15)"
+_C2 = "(rec * 0.30 + freq * 0.20 + auth * 0.30 + {e} * 0.15 + imp * 0.05)"
 
 
 @query("d1_d2_recency_frequency", sql("memories", "SELECT id, round(rec, 6) AS recency, round(slow, 6) AS slow_recency, round(freq, 6) AS frequency FROM m", m=_M))
@@ -34,7 +35,7 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("id", F.round("rec", 6).alias("recency"), F.round("slow", 6).alias("slow_recency"), F.round("freq", 6).alias("frequency"))
 
 
-@query("d3_d4_composites", sql("memories", f"SELECT id, round({_C1.format(e='0.0')}, 6) AS v1, round({_C1.format(e='0.0')} * greatest(0.8, least(1.5, 0.4 + 1.1 * imp)), 6) AS v2 FROM m", m=_M))
+@query("d3_d4_composites", sql("memories", f"SELECT id, round({_C1.format(e='0.0')}, 6) AS v1, round({_C2.format(e='0.0')} * greatest(0.8, least(1.5, 0.4 + 1.1 * imp)), 6) AS v2 FROM m", m=_M))
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = (c("rec"), c("freq"), c("auth"), F.lit(0.0))
     return _scored(spark, sf_dir).select("id", F.round(scores.composite(*args), 6).alias("v1"), F.round(scores.composite_impact(*args, c("imp")), 6).alias("v2"))
@@ -61,7 +62,7 @@ def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.memories(spark, sf_dir).select("id").join(_boost(spark, sf_dir), "id", "left").select("id", F.round(F.coalesce("boost", F.lit(0.0)), 6).alias("boost"))
 
 
-@query("d19_recompute", sql("memory_entities memories", f"SELECT id, round({_C1.format(e='coalesce(boost, 0.0)').replace('rec *', 'slow *')} * greatest(0.8, least(1.5, 0.4 + 1.1 * imp)), 6) AS composite FROM m LEFT JOIN boost USING (id) WHERE NOT is_deprecated", idf=_IDF, boost=_BOOST, m=_M))
+@query("d19_recompute", sql("memory_entities memories", f"SELECT id, round({_C2.format(e='coalesce(boost, 0.0)').replace('rec *', 'slow *')} * greatest(0.8, least(1.5, 0.4 + 1.1 * imp)), 6) AS composite FROM m LEFT JOIN boost USING (id) WHERE NOT is_deprecated", idf=_IDF, boost=_BOOST, m=_M))
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _scored(spark, sf_dir).filter("not is_deprecated").join(_boost(spark, sf_dir), "id", "left")
     return m.select("id", F.round(scores.composite_impact(c("slow"), c("freq"), c("auth"), F.coalesce("boost", F.lit(0.0)), c("imp")), 6).alias("composite"))

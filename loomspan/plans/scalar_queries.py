@@ -84,6 +84,7 @@ _in_order = f"array_to_string(list_filter([{', '.join(map(q, _order))}], lambda
 _add("p3_should_store", "docs", D, {"events": (lambda: F.array_join(text.store_events(c("text")), ","), f"CASE WHEN length(text) < 30 THEN '' ELSE {_in_order} END"), "store": (lambda: F.size(text.store_events(c("text"))) > 0, f"length(text) >= 30 AND len({_events}) > 0")})
 _counts = ", ".join(f"{{'n': -len(regexp_extract_all({plain('text')}, {q(p)}, 0, 'i')), 'i': {i}, 'topic': {q(t)}}}" for i, (t, p) in enumerate(rules.TOPICS))
 _topics = f"list_transform(list_sort(list_filter([{_counts}], lambda s: s.n < 0)), lambda s: s.topic)"
+SQL_TOPICS = _topics
 _add("p4_classify_topic", "docs", D, {"topic": (lambda: F.get(text.topics(c("text")), F.lit(0)), f"coalesce({_topics}[1], 'general')")})
 _add("p5_topics_multi", "docs", D, {"topics": (lambda: F.array_join(F.slice(text.topics(c("text")), 1, 2), ","), f"CASE WHEN len({_topics}) = 0 THEN 'general' ELSE array_to_string(({_topics})[1:2], ',') END")})
 _low, _n, _ask = f"lower({_strip})", f"len(regexp_extract_all({_strip}, '\\S+'))", f"suffix({_strip}, '?')"
