@@ -121,6 +121,7 @@ _ROUNDS = {"l0": "SELECT DISTINCT node, node AS label FROM adj"} | {
     f"l{i}": f"SELECT node, label FROM (SELECT v.node, v.label, row_number() OVER (PARTITION BY v.node ORDER BY votes DESC, v.label != o.label, v.label) AS r FROM (SELECT a.node, l.label, round(sum(weight), 9) AS votes FROM adj a JOIN l{i - 1} l ON l.node = a.other GROUP BY ALL) v JOIN l{i - 1} o ON o.node = v.node) WHERE r = 1"
     for i in (1, 2, 3)
 }
+CLUSTER_CTES = {"live": _LIVE, "keep": _KEEP, "adj": _ADJ, **_ROUNDS}
 
 
 @query("g6_label_propagation", sql("live_edges", "SELECT node, label FROM l3", live=_LIVE, keep=_KEEP, adj=_ADJ, **_ROUNDS))

@@ -11,6 +11,7 @@ from loomspan.plans.views import sql
 from loomspan.streaming import detectors, runs
 
 c = F.col
+START = 1_704_067_200  # 2024-01-01 in seconds
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x3_dedup_prefix", "SELECT DISTINCT conv_id, substring(text, 1, 80) AS prefix FROM conversations WHERE text IS NOT NULL")
 def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = runs.read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    t = t.select("conv_id", F.substring("text", 1, 80).alias("prefix"), F.timestamp_micros(c("conv_id") * 1_000_000).alias("ts"))
+    t = t.select("conv_id", F.substring("text", 1, 80).alias("prefix"), F.timestamp_micros((c("conv_id") + START) * 1_000_000).alias("ts"))
     return runs.run(t.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["conv_id", "prefix"]).select("conv_id", "prefix"), "dedup")
 
 
@@ -66,7 +67,7 @@ def x7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(role: str, shift: int) -> DataFrame:
         t = runs.read(spark, sf_dir, "conversations").filter(c("role") == role)
-        ts = F.timestamp_micros((c("conv_id") * 3600 + c("turn") * 60) * 1_000_000)
+        ts = F.timestamp_micros((c("conv_id") * 3600 + c("turn") * 60 + START) * 1_000_000)
         return t.select(c("conv_id").cast("string").alias("session_id"), (c("turn") - shift).alias("turn_index"), "text", ts.alias(f"ts_{role}")).withWatermark(f"ts_{role}", "4 hours")
 
     both = side("user", 0).drop("text").join(side("assistant", 1), ["session_id", "turn_index"])
