@@ -40,3 +40,30 @@ def cooldown(events: DataFrame, seconds: int = 24 * 3600) -> DataFrame:
         return pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out}).astype("int64"), (last,)
 
     return stateful(events, ["user_id"], "user_id long, event_id long", "last long", step)
+
+
+def last_rows(events: DataFrame, most: int = 20) -> DataFrame:
+    """(user_id, event_id): each user's newest rows as of the last batch that held the user."""
+    import pandas as pd
+
+    def step(key, rows, state):
+        kept = (list(state[0]) if state else []) + rows.event_id.tolist()
+        kept = [int(x) for x in kept[-most:]]
+        return pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": kept}).astype("int64"), (kept,)
+
+    return stateful(events, ["user_id"], "user_id long, event_id long", "kept array<long>", step)
+
+
+def counter_state(readings: DataFrame, drop: float = -1.0, jump: float = 50.0) -> DataFrame:
+    """(user_id, event_id, delta): readings that fall or jump against the last value held for the user."""
+    import pandas as pd
+
+    def step(key, rows, state):
+        last, out = (state[0] if state else None), []
+        for event_id, value in zip(rows.event_id, rows.value):
+            if last is not None and (value - last < drop or value - last > jump):
+                out.append((key[0], event_id, value - last))
+            last = float(value)
+        return pd.DataFrame(out, columns=["user_id", "event_id", "delta"]).astype({"user_id": "int64", "event_id": "int64", "delta": "float64"}), (last,)
+
+    return stateful(readings, ["user_id"], "user_id long, event_id long, delta double", "last double", step)
