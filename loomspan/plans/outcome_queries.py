@@ -138,7 +138,7 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a3_correction_rate", sql(V, "SELECT round(count(*) FILTER (correction) / count(*)::DOUBLE, 6) AS rate, count(*) AS n FROM labelled WHERE created_at > TIMESTAMP '2024-01-03'", labelled=_LABELLED))
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = _labelled(spark, sf_dir).filter(c("created_at") > views.at("2024-01-03 00:00:00"))
-    return recent.agg(F.round(F.count_if("correction") / F.count("*"), 6).alias("rate"), F.count("*").alias("n"))
+    return recent.agg(F.round(F.try_divide(F.count_if("correction"), F.count("*")), 6).alias("rate"), F.count("*").alias("n"))
 
 
 @query("a7_ignored_constraints", sql(V, "SELECT memory_id, count(*) AS ignored, round(avg(label), 6) AS mean_label FROM labelled WHERE packaged_bucket = 'CONSTRAINTS' AND label <= 0.3 GROUP BY 1 HAVING count(*) >= 2 ORDER BY ignored DESC, memory_id LIMIT 20", labelled=_LABELLED))
