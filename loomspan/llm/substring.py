@@ -142,13 +142,15 @@ def removed_windows(blocks: DataFrame, copies: DataFrame, scratch: Scratch, id_a
         if where:
             ref = (row << (_POS_BITS + _MASK_BITS)) | (pos << _MASK_BITS) | mask
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), block)), pa.array(ref)], names=["h", "block", "ref"])
-        pair = np.unique(np.stack([key.view(np.int64), row]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-        doc = np.array([0 if i is None else i for i in ids], np.int64)[pair[1]]
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(doc)], names=["h", "doc_id"])
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+        doc = np.array([0 if i is None else i for i in ids], np.int64)[row[new]]
+        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(doc), pa.array(np.diff(np.append(new, len(key))))], names=["h", "doc_id", "n"])
 
     texts = blocks.select("block", "blob")
-    once = texts.mapInArrow(_per_block(lambda b, r, *_: core_rows(b, r, False)), "h long, doc_id long")
-    counted = once.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    once = texts.mapInArrow(_per_block(lambda b, r, *_: core_rows(b, r, False)), "h long, doc_id long, n long")
+    counted = once.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n"))
     shared = scratch.write(counted.filter("lo < hi").select("h", (F.col("n") > group_rows).alias("long_group")))
     places = texts.mapInArrow(_per_block(lambda b, r, *_: core_rows(b, r, True)), "h long, block long, ref long")
     found = places.join(shared, "h").groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("h", "ref", "long_group")).alias("items"))
