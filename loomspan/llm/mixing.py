@@ -5,8 +5,9 @@ target / marginal, one margin after the other, until the weighted margins meet t
 to own tokens, scaled so that the largest is 1, is the probability that each of its documents is drawn. A document is
 drawn when a hash of its id and the seed, as a number in [0, 1), lies below it: the same for every run and partitioning.
 
-Targets are rows (dimension, value, share). Without them each margin's target is its token share to the power
-`temper`, normalised, so that a source with a third of all tokens is drawn less often and nothing else changes much.
+Targets are rows (dimension, value, share). Without them each margin's target is its token share to the power that
+`temper` gives for its dimension, normalised: a source with a third of all tokens is drawn less often, topics keep
+their shares, and most documents stay.
 Defined cases: null source, language or topic is the value "" of its own; a value without a target keeps its share;
 null text has one token; documents of one id share one draw; an empty table gives an empty result.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, replace_columns
 
-DIMENSIONS, ROUNDS, TEMPER, SEED = ("source", "lang", "topic"), 8, 0.7, "mix-1"
+DIMENSIONS, ROUNDS, SEED = ("source", "lang", "topic"), 8, "mix-1"
+TEMPER = {"source": 0.85, "lang": 0.85, "topic": 1.0}
 
 
 def tokens(text: str = "text") -> Column:
@@ -47,13 +49,14 @@ def uniform(id_col: str, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _targets(cells: DataFrame, given: DataFrame | None, temper: float) -> DataFrame:
+def _targets(cells: DataFrame, given: DataFrame | None, temper: dict[str, float]) -> DataFrame:
     """(dimension, value, target): shares that sum to 1 in each dimension."""
     margins = reduce(DataFrame.union, [cells.groupBy(F.col(d).alias("value")).agg(F.sum("own").alias("own")).select(F.lit(d).alias("dimension"), "value", "own") for d in DIMENSIONS])
     whole = margins.groupBy("dimension").agg(F.sum("own").alias("all"))
     margins = margins.join(whole, "dimension").select("dimension", "value", (F.col("own") / F.col("all")).alias("share"))
     if given is None:
-        wanted = margins.withColumn("wanted", F.pow("share", F.lit(temper)))
+        power = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(p)) for d, p in temper.items()], F.lit(1.0))
+        wanted = margins.withColumn("wanted", F.pow("share", power))
     else:
         asked = given.select("dimension", F.coalesce("value", F.lit("")).alias("value"), F.col("share").cast("double").alias("asked"))
         wanted = margins.join(asked, ["dimension", "value"], "left").withColumn("wanted", F.coalesce("asked", "share"))
@@ -61,7 +64,7 @@ def _targets(cells: DataFrame, given: DataFrame | None, temper: float) -> DataFr
     return wanted.join(total, "dimension").select("dimension", "value", (F.col("wanted") / F.col("sum")).alias("target"))
 
 
-def fit(cells: DataFrame, scratch: Scratch, targets: DataFrame | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def fit(cells: DataFrame, scratch: Scratch, targets: DataFrame | None = None, rounds: int = ROUNDS, temper: dict[str, float] = TEMPER) -> DataFrame:
     """Cells with `fitted`, their raked weight (a share of 1). Only the cell table, not the documents, is shuffled."""
     goal = scratch.write(_targets(cells, targets, temper))
     now = cells.withColumn("fitted", F.col("own").cast("double"))
@@ -74,7 +77,7 @@ def fit(cells: DataFrame, scratch: Scratch, targets: DataFrame | None = None, ro
     return now
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, temper: float = TEMPER, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, temper: dict[str, float] = TEMPER, seed: str = SEED) -> DataFrame:
     """All input rows with topic, tokens, probability and sampled; input columns of these names are replaced.
 
     Topic is a column of the input where it has one, else the form of the text.

@@ -102,14 +102,14 @@ SELECT doc_id, CAST(coalesce(n_bigrams, 0) AS BIGINT) AS n_bigrams, CAST(coalesc
 """
 
 
-def _op2_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, seed: str = mixing.SEED) -> str:
+def _op2_sql(rounds: int = mixing.ROUNDS, temper: dict[str, float] = mixing.TEMPER, seed: str = mixing.SEED) -> str:
     """Raking written out: one table for each margin of each round."""
     steps = ["""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, 'icense') OR contains(t, 'CC BY') THEN 'legal' WHEN contains(t, '@') OR contains(t, 'http') THEN 'contact'
     WHEN length(t) < 400 THEN 'short' WHEN length(t) >= 4000 THEN 'long' ELSE 'prose' END AS topic, greatest(1, length(t) // 4) AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents))""", "c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS own, sum(tokens)::DOUBLE AS f FROM d GROUP BY ALL)"]
     for d in mixing.DIMENSIONS:
-        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () AS target FROM (SELECT {d}, pow(sum(own) / (SELECT sum(own) FROM c0), {temper}) AS w FROM c0 GROUP BY {d}))")
+        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () AS target FROM (SELECT {d}, pow(sum(own) / (SELECT sum(own) FROM c0), {temper[d]}) AS w FROM c0 GROUP BY {d}))")
     n = 0
     for _ in range(rounds):
         for d in mixing.DIMENSIONS:
