@@ -41,13 +41,18 @@ def scratch_base(spark: SparkSession) -> str:
     return f"file://{_OWN_DIRS[app]}"
 
 
+#: The scratch folders that operators of this driver have made, oldest first.
+MADE: list[Scratch] = []
+
+
 class Scratch:
     """Tables in the shared checkpoint folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark, self.app = spark, spark.sparkContext.applicationId
         self.root = f"{scratch_base(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        MADE.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
@@ -56,13 +61,25 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def release(self) -> None:
+        """Delete all of them, once what was read from them is written elsewhere."""
+        self._delete(self.root)
+        self.paths.clear()
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for i, (t, _) in list(self.paths.items()) if i not in kept])
+
+    def _delete(self, path: str) -> None:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
             if id(t) in self.paths:
-                _, path = self.paths.pop(id(t))
-                jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+                self._delete(self.paths.pop(id(t))[1])
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

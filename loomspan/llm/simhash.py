@@ -102,17 +102,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = scratch.write(rooted)
     named = scratch.write(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_fp = scratch.write(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    out = rows.join(by_fp, "_fp")
+    out = rows.join(by_fp.hint("merge"), "_fp")  # as many rows as texts: never broadcast
     return out.select(*[F.col(f"`{c}`") for c in keep], F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: the smallest id; among equal ids the first text in order."""
-    columns = docs.columns
-    tagged = near_duplicates(docs.withColumn("_row", F.monotonically_increasing_id()), id_col, text_col)
+    """One row of each near-duplicate group: the smallest id; among equal ids the first in order.
+
+    Texts are shuffled once, to meet the numbers of the rows that stay.
+    """
     scratch = Scratch(docs.sparkSession, "keep")
-    tagged = scratch.write(tagged)
-    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row"))
+    rows = scratch.write(rows)  # the numbers must not change between two readings
+    at = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    tagged = near_duplicates(rows, at[id_col], at[text_col], keep=["_row", at[id_col]])
+    order = F.struct(F.col(at[id_col]).isNull().alias("a"), F.col(at[id_col]).alias("b"), F.col("_row").alias("c"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    kept = tagged.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))
-    return tagged.join(scratch.write(kept), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    kept = scratch.write(tagged.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row")))
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(i).alias(c) for c, i in at.items()])

@@ -269,6 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = _copies(blocks, scratch)
     gone = removed_windows(blocks, copies, scratch, id_at, text_at, window, group_rows)
     gone = scratch.write(gone.groupBy(F.col("block").alias("b")).agg(F.collect_list("ref").alias("refs")))
+    scratch.keep_only(blocks, copies, gone)
     lost = gone.join(copies, F.col("b") == F.col("cb"), "full").select(F.coalesce("b", "cb").alias("b"), "refs", "copies")
     both = blocks.select("block", "blob").join(lost, F.col("b") == F.col("block"), "left").select("block", "blob", "refs", "copies")
     keep = [i for i in range(len(schema)) if not (digest and i == text_at)]
