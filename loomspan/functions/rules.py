@@ -47,7 +47,7 @@ STORE_TRIGGERS = (
 TOPICS = (
     ("home_automation", r"\b(home.?assistant|HA\b|entity|automation|switch\.|sensor\.|binary_sensor|mqtt|zigbee|zwave|homebridge)\b"),
     ("networking", r"\b(vlan|subnet|tailscale|nginx|dns|cloudflare|dnat|route|gateway|firewall)\b"),
-    ("clyde_memory", r"\b(clyde.?memory|mem0|qdrant|custodian|session.?ingest|conversation.?digest|compaction|context.?gate|memory.?system)\b"),
+    ("memory_system", r"\b(mem0|qdrant|custodian|session.?ingest|conversation.?digest|compaction|context.?gate|memory.?system)\b"),
     ("iot_devices", r"\b(iot|mqtt|sensor|actuator|firmware|esp32|raspberry.?pi|arduino|zigbee|zwave)\b"),
     ("transport", r"\b(ev.?charger|evse|charging|vehicle|car|truck|fleet)\b"),
     ("vps_infra", r"\b(vps|docker|container|compose|systemd|cron|nginx|certbot|letsencrypt)\b"),

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Injected openings that are not user turns, and the tags that close them.
-INJECTED = ("<system-reminder", "<RELEVANT_CONTEXT", "<CLYDE_MEMORY", "<function_calls>")
-CLOSING = ("</RELEVANT_CONTEXT>\n", "</system-reminder>\n", "</CLYDE_MEMORY>\n")
+#: Openings of injected text, which is no user turn.
+INJECTED = r"^<(system-reminder|[A-Z]+_CONTEXT|[A-Z]+_MEMORY|function_calls>)"
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +27,7 @@ def turns_of(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Kept user and assistant turns of (keys, line, value) rows with a running index; broken lines are skipped."""
     v = lines.withColumn("v", F.try_parse_json("value")).filter("v IS NOT NULL")
     t = v.select(*keys, "line", F.try_variant_get("v", "$.type", "string").alias("role"), first_text(F.col("v")).alias("content"))
-    injected = F.lit(False)
-    for p in INJECTED:
-        injected = injected | F.startswith("content", F.lit(p))
-    t = t.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != "") & ~injected)
+    t = t.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != "") & ~F.col("content").rlike(INJECTED))
     return t.withColumn("turn_index", F.row_number().over(Window.partitionBy(*keys).orderBy("line")) - 1)
 
 
