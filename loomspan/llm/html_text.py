@@ -34,10 +34,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|topbar|breadcrumbs?|sidebar|side-bar|footer|masthead|"
-    r"site-header|page-header|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|comment-list|"
-    r"disqus|replies|respond|related|recommended|pagination|pager|widget|toolbar|skip|legal|copyright)(?:$|[\s_-])",
+MARKS = re.compile(  # at the start of a class or id, perhaps behind its place on the page
+    r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|header|footer|post|user|reader|article|blog|story|cookie|google|social|side|email)[_-])?"
+    r"(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|"
+    r"site-header|page-header|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|"
+    r"disqus|replies|respond|related|recommended|pagination|pager|skip|copyright)(?=$|[\s_-]|\d)",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
