@@ -13,7 +13,6 @@ base label. Defined cases: null text is empty; repeated rows are rows of their o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,9 +148,14 @@ class Automaton:
         return [(t, a, b, min(1.0, n / len(self.templates[t][1]))) for t, a, b, n in done]
 
 
-@lru_cache(maxsize=2)
+_AUTOMATA: dict[tuple, Automaton] = {}
+
+
 def automaton(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Automaton:
-    return Automaton(templates)
+    """The worker's automaton, kept from task to task."""
+    if templates not in _AUTOMATA:
+        _AUTOMATA[templates] = Automaton(templates)
+    return _AUTOMATA[templates]
 
 
 def scan_text(text: bytes, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE) -> tuple:

@@ -15,7 +15,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +76,14 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
 def encoder(path: str | None = None) -> Encoder:
-    return Encoder(path)
+    """The worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[int]]]:

@@ -14,7 +14,6 @@ their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +62,14 @@ class Splitter:
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
 
 
-@lru_cache(maxsize=2)
+_SPLITTERS: dict[str | None, Splitter] = {}
+
+
 def splitter(path: str | None = None) -> Splitter:
-    return Splitter(path)
+    """The worker's splitter, kept from task to task."""
+    if path not in _SPLITTERS:
+        _SPLITTERS[path] = Splitter(path)
+    return _SPLITTERS[path]
 
 
 def script_of(text: str) -> str:
