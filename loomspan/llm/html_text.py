@@ -34,6 +34,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol dl table".split())
+TABLE = frozenset("tr td th thead tbody tfoot".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 MARKS = re.compile(  # at the start of a class or id, perhaps behind its place on the page
     r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|header|footer|post|user|reader|article|blog|story|cookie|google|social|side|email)[_-])?"
     r"(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|"
@@ -48,18 +51,25 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("block", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "tags", "total")
+    __slots__ = ("block", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "tags", "total", "unwanted")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.block = name in BLOCKS
+        self.block, self.unwanted = name in BLOCKS, False
 
 
-def _unwanted(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside_article:
+def _unwanted(node: Node, attributes: str) -> bool:
+    name = node.name
+    if name in DROPPED:
         return True
+    if name == "header":
+        up = node.parent
+        while up is not None and up.name not in ("article", "main"):
+            up = up.parent
+        if up is None:
+            return True
     if attributes and name not in ("html", "body", "article", "main"):
         for m in _MARKED.finditer(attributes):
             if m[4] or m[5]:
@@ -70,15 +80,41 @@ def _unwanted(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _opened_in(node: Node, name: str) -> Node:
+    """Where a start tag puts its element, after the end tags that it implies."""
+    if node.name == "head" and name not in IN_HEAD:
+        node = node.parent
+    if name in CLOSED_BY:
+        up, table = node, name in TABLE
+        while up.parent is not None and up.name not in SCOPES:
+            if up.name in CLOSED_BY[name]:
+                node = up.parent
+                if not table:
+                    break
+            elif not table and up.name in BLOCKS and up.name not in ("address", "div", "p"):
+                break
+            up = up.parent
+    if name in CLOSES_P:
+        up = node
+        while up.name not in BLOCKS and up.name != "button":
+            up = up.parent
+        if up.name == "p":
+            node = up.parent
+    if name in HEADINGS and node.name in HEADINGS:
+        node = node.parent
+    return node
+
+
 def parse(page: str) -> Node:
-    """The element tree of a page without unwanted elements; texts are str children."""
+    """The element tree of a page, unwanted elements marked; texts are str children."""
     root = Node("body", None)
-    at, node, skip, end = 0, root, [], len(page)
-    articles = 0
+    at, node, end = 0, root, len(page)
     while at < end:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not skip:
+        if text:
+            if node.name == "head" and text.strip():
+                node = node.parent
             node.children.append(entities.unescape(text))
         if not m:
             break
@@ -87,21 +123,18 @@ def parse(page: str) -> Node:
             continue
         name, closing = m[2].lower(), m[1] == "/"
         if name in ("html", "body"):
+            up = node
+            while name == "body" and up is not root:  # ends the head
+                if up.name == "head":
+                    node = up.parent
+                    break
+                up = up.parent
             continue
         if closing:
-            if skip:
-                if name in skip:
-                    while skip.pop() != name:
-                        pass
-                continue
             up = node
             while up is not root and up.name != name:
                 up = up.parent
             if up is not root:
-                back = node
-                while back is not up.parent:
-                    articles -= back.name in ("article", "main")
-                    back = back.parent
                 node = up.parent
             continue
         empty = name in VOID or m[3].endswith("/") and name not in BLOCKS
@@ -109,32 +142,24 @@ def parse(page: str) -> Node:
             close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if skip:
-            if not empty and (name == skip[0] or name in skip or name in BLOCKS):
-                skip.append(name)
-            continue
-        if name in CLOSES_P or name in CLOSED_BY:
-            stop = CLOSED_BY.get(name, frozenset())
-            up = node
-            while up is not root and up.name not in SCOPES:
-                if name in CLOSES_P and up.name == "p" or up.name in stop:
-                    node = up.parent
-                    break
-                if up.name in BLOCKS and up.name not in stop and up.name != "p":
-                    break
-                up = up.parent
-        if _unwanted(name, m[3], articles > 0):
-            if not empty:
-                skip = [name]
-            continue
+        node = _opened_in(node, name)
         child = Node(name, node)
+        child.unwanted = _unwanted(child, m[3])
         node.children.append(child)
         if not empty:
             node = child
-            articles += name in ("article", "main")
     return root
 
 
+def prune(root: Node) -> None:
+    """Take unwanted elements out of the tree."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if not isinstance(c, Node) or not c.unwanted]
+        stack.extend(c for c in n.children if isinstance(c, Node))
+
+
 def _measure(root: Node) -> list[Node]:
     """Fill in counts, densities and sums; nodes in page order."""
     order, stack = [], [root]
@@ -238,7 +263,9 @@ def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page or not page.strip():
         return ""
-    return "\n\n".join(blocks(article(parse(page))))
+    root = parse(page)
+    prune(root)
+    return "\n\n".join(blocks(article(root)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -103,6 +103,22 @@ def test_html_edge_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="ad">Buy now<p>First text.<p>Second text.</article>', "First text.\n\nSecond text."),
+        ('<article><p>Text.</p><div><p class="ad">Buy now</div><p>More.</p></article>', "Text.\n\nMore."),
+        ('<article><ul><li class="share">Share it<p>now<li>One item<li>Two items</ul><p>More.</p></article>', "One item\n\nTwo items\n\nMore."),
+        ('<article><table><tr><td class="ad">Buy<td>cell<tr class="promo"><td>x<tr><td>last</table><p>More.</p></article>', "cell\n\nlast\n\nMore."),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>Text of the page.</p></body></html>", "Text of the page."),
+        ("<head><title>T</title><p>Text of the page.</p>", "Text of the page."),
+        ("<head><title>T</title></head><body><div><nav><ul><li>Home<li>News</div><p>Text of the page.</p>", "Text of the page."),
+    ],
+)
+def test_html_unclosed_dropped_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_pages_give_their_article(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages, keep=["page_id", "url"]).collect()}
