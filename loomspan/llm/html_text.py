@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Every node's density is its characters per tag, adjusted by its links: many linked
-characters for its unlinked ones lower it (composite text density). A node's density sum adds its children's
-densities (inline elements count as tags, they are no candidates); the subtree of the largest sum is the article, and the smallest density on the path from there to the body
-is the threshold that other parts of the body must reach to be kept, each by its own largest-sum subtree.
+characters for its unlinked ones lower it (composite text density). A node's density sum adds its wanted children's
+densities (inline elements count as tags, they are no candidates); the subtree of the largest sum is the article, or the
+outermost article or main element around it, whole. The smallest density on the path from the largest sum to the body is
+the threshold that other parts of the body must reach to be kept, each whole, beside an article or main element; other
+such elements stay. On a page without them every part beside the path stays (headlines, further sections), unless it is
+below the threshold and most of its characters are links.
 
 Elements that are never article text (scripts, styles, menus, headers and footers outside an article, forms, asides)
-and those whose class, id or role says menu, advert, notice, comments and the like go before densities are computed.
+and those whose class, id or role says menu, advert, notice, comments and the like count for densities and then go.
 Blocks keep their order and are joined by two line feeds; white space inside a block becomes one space. Defined
 cases: null or blank html gives empty text; unclosed and stray tags, and text without any tag, are read as browsers do;
 repeated rows are rows of their own; pages of any length are read whole.
@@ -187,7 +190,7 @@ def _measure(root: Node) -> list[Node]:
         base = math.log(c * lc / max(1, c - lc) + share * c + math.e)
         n.density = max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else c / t)
     for n in order:
-        n.total = sum(c.density for c in n.children if isinstance(c, Node) and c.block) or n.density * 1e-6
+        n.total = sum(c.density for c in n.children if isinstance(c, Node) and c.block and not c.unwanted) or n.density * 1e-6
     return order
 
 
@@ -204,28 +207,49 @@ def _below(n: Node) -> list[Node]:
     return out
 
 
+def _linked(n: Node) -> bool:
+    """Whether most characters of what is left of a subtree are links."""
+    chars = linked = 0
+    stack = [(n, n.name == "a")]
+    while stack:
+        x, inside = stack.pop()
+        for c in x.children:
+            if isinstance(c, Node):
+                stack.append((c, inside or c.name == "a"))
+            else:
+                own = len(_SPACE.sub(" ", c).strip())
+                chars += own
+                linked += own * inside
+    return 2 * linked > chars
+
+
 def article(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order."""
-    order = _measure(root)
-    best = _best(order)
-    threshold, up = best.density, best
-    path = {id(best)}
+    """The subtrees that hold the article, in page order; unwanted elements count for densities and go."""
+    _measure(root)
+    prune(root)
+    best = _best(_below(root))
+    threshold, up, top, framed = best.density, best, best, best.name in ("article", "main")
     while up.parent is not None:
         up = up.parent
-        path.add(id(up))
         threshold = min(threshold, up.density)
+        if up.name in ("article", "main"):
+            top, framed = up, True
+    path, up = {id(top)}, top
+    while up.parent is not None:
+        up = up.parent
+        path.add(id(up))
     chosen, stack = [], [root]
     while stack:
         n = stack.pop()
-        if n is best:
+        if n is top:
             chosen.append(n)
         elif id(n) in path:
             loose = [c for c in n.children if not isinstance(c, Node) and c.strip()]
             if loose:
                 return [n]  # text of its own beside the best subtree: the article is the parent
             stack.extend(reversed([c for c in n.children if isinstance(c, Node)]))
-        elif n.density >= threshold and n.density:
-            chosen.append(_best(_below(n)))
+        elif n.density and (n.density >= threshold or n.name in ("article", "main") or not framed and not _linked(n)):
+            chosen.append(n)
     return chosen
 
 
@@ -263,9 +287,7 @@ def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page or not page.strip():
         return ""
-    root = parse(page)
-    prune(root)
-    return "\n\n".join(blocks(article(root)))
+    return "\n\n".join(blocks(article(parse(page))))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -119,6 +119,31 @@ def test_html_unclosed_dropped_elements(page, text):
     assert html_text.main_text(page) == text
 
 
+SENTENCE = "word " * 60
+MENU = '<nav><a href="/a">alpha</a> <a href="/b">beta</a></nav>'
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("menu", ["", MENU])
+def test_html_headline_beside_the_content(outer, menu):
+    page = f'<body>{menu}<{outer}><h1>Short title</h1><div class="content">{f"<p>{SENTENCE}</p>" * 10}</div></{outer}></body>'
+    assert html_text.main_text(page).split("\n\n") == ["Short title", *[SENTENCE.strip()] * 10]
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+@pytest.mark.parametrize("menu", ["", MENU])
+def test_html_several_sections(outer, menu):
+    short = SENTENCE[:100].strip()
+    second = f"<section><h2>Second</h2><div>{f'<p>{short}</p>' * 5}</div><p>Aside from that.</p></section>"
+    page = f"<body>{menu}<{outer}><section>{f'<p>{SENTENCE}</p>' * 10}</section>{second}</{outer}></body>"
+    assert html_text.main_text(page).split("\n\n") == [*[SENTENCE.strip()] * 10, "Second", *[short] * 5, "Aside from that."]
+
+
+def test_html_unmarked_links_go():
+    links = "".join(f'<li><a href="/{i}">Another page {i}</a>' for i in range(8))
+    assert html_text.main_text(f"<body><ul>{links}</ul><div>{f'<p>{SENTENCE}</p>' * 4}</div></body>").split("\n\n") == [SENTENCE.strip()] * 4
+
+
 def test_html_pages_give_their_article(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages, keep=["page_id", "url"]).collect()}
