@@ -2,9 +2,10 @@
 
 Words of the lower-cased (A-Z) text are runs of letters, digits and non-ASCII characters. The automaton holds the
 word sequences of all templates; streaming a document through it gives, at each word, the longest suffix that occurs
-in some template. Right-maximal matches of at least `least` words are chained per template in order, allowing gaps of
-at most `gap` words, into covered spans; a template whose span covers at least `share` of it gives its label. The
-automaton is a fixed size and each task builds it once; documents are streamed whole.
+in some template, and its suffix links the longest one in every other template. Each template's right-maximal matches
+of at least `least` words are chained in order, allowing gaps of at most `gap` words, into covered spans; a template
+whose span covers at least `share` of it gives its label, if the span has the words that tell the label from its
+relatives (TELLING). The automaton is a fixed size and each task builds it once; documents are streamed whole.
 
 Base labels come from exact phrases and always stay. score is the largest share of a template covered, 1.0 with a
 base label. Defined cases: null text is empty; repeated rows are rows of their own.
@@ -27,6 +28,7 @@ LEAST, GAP, SHARE = 4, 8, 0.6
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
@@ -35,9 +37,12 @@ TEMPLATES = (
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
     ("gpl-2", "this work is licensed under the gnu general public license version 2"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "licensed under the bsd 3 clause license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -51,6 +56,18 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "no part of this publication may be reproduced without permission all rights reserved"),
 )
+#: Of each label: phrases of which a span must have one, and those that must not be in it or the two words after it.
+TELLING = {
+    "apache-2": (("version 2",), ()),
+    "gpl-3": (("version 3",), ("lesser", "affero")),
+    "gpl-2": (("version 2",), ("lesser", "affero")),
+    "lgpl": (("lesser",), ()),
+    "agpl-3": (("affero",), ()),
+    "mpl-2": (("2 0",), ()),
+    "cc-by": ((), ("sharealike", "share alike", "noncommercial", "non commercial", "noderivatives", "noderivs", "sa", "nc", "nd")),
+    "cc-by-sa": (("sharealike", "share alike", "by sa"), ("noncommercial", "non commercial", "nc")),
+    "cc-by-nc": (("noncommercial", "non commercial", "by nc"), ()),
+}
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -74,6 +91,10 @@ class Automaton:
                 self.ends[last].add((t, at))
         for s in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
             self.ends[self.link[s]] |= self.ends[s]
+        self.stops: list[dict[int, list[int]]] = [{} for _ in self.ends]
+        for s, ends in enumerate(self.ends):
+            for t, at in sorted(ends):
+                self.stops[s].setdefault(t, []).append(at)
         self.words = frozenset(w for _, words in self.templates for w in words)
 
     def _state(self, length: int, link: int, after: dict[bytes, int]) -> int:
@@ -119,6 +140,30 @@ class Automaton:
         if length >= least:
             yield end - 1, length, state
 
+    def own_matches(self, words: list[bytes], start: int, end: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(last word, length, state, template) of each template's own right-maximal matches in words[start:end]."""
+        state = length = 0
+        before: dict[int, tuple[int, int]] = {}
+        for i in range(start, end + 1):
+            now: dict[int, tuple[int, int]] = {}
+            if i < end:
+                w = words[i]
+                while state and w not in self.next[state]:
+                    state = self.link[state]
+                    length = self.length[state]
+                if w in self.next[state]:
+                    state, length = self.next[state][w], length + 1
+                s, n = state, length
+                while n >= least:
+                    for t in self.stops[s]:
+                        now.setdefault(t, (n, s))
+                    s = self.link[s]
+                    n = self.length[s]
+            for t, (n, s) in before.items():
+                if t not in now or now[t][0] <= n:
+                    yield i - 1, n, s, t
+            before = now
+
     def spans(self, words: list[bytes], least: int = LEAST, gap: int = GAP) -> list[tuple[int, int, int, float]]:
         """(template, first word, end word, share of the template covered) of chained matches, best chain per place."""
         inside = [w in self.words for w in words]
@@ -133,8 +178,8 @@ class Automaton:
             while end < len(words) and inside[end]:
                 end += 1
             if end - at >= least:
-                for last, length, state in self.matches(words, at, end, least):
-                    for t, stop in self.ends[state]:
+                for last, length, state, t in self.own_matches(words, at, end, least):
+                    for stop in self.stops[state][t]:
                         first, old = last - length + 1, open_chains.get(t)
                         if old and first - old[1] <= gap and stop > old[2]:
                             fresh = min(last + 1 - max(first, old[1]), stop - old[2])
@@ -158,6 +203,13 @@ def automaton(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Automaton:
     return _AUTOMATA[templates]
 
 
+def _tells(label: str, words: list[bytes], first: int, end: int) -> bool:
+    """Whether a span fits the label and none of its relatives, whose words may come right after it."""
+    needed, barred = TELLING.get(label, ((), ()))
+    own, more = (b" %s " % b" ".join(words[first:e]) for e in (end, end + 2))
+    return (not needed or any(b" %s " % x.encode() in own for x in needed)) and not any(b" %s " % x.encode() in more for x in barred)
+
+
 def scan_text(text: bytes, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of one text."""
     words = words_of(text)
@@ -171,7 +223,7 @@ def scan_text(text: bytes, templates: tuple = TEMPLATES, phrases: dict[str, str]
         hits = [i - off for i, w in enumerate(words) if w == rare and i >= off and words[i - off : i - off + n] == seq]
         places += hits
         base |= {label} if hits else set()
-    found = [s for s in automaton(templates).spans(words) if s[3] >= share]
+    found = [s for s in automaton(templates).spans(words) if s[3] >= share and _tells(templates[s[0]][0], words, s[1], s[2])]
     labels = base | {templates[s[0]][0] for s in found}
     score = 1.0 if base else max((s[3] for s in found), default=0.0)
     spans = [{"label": templates[t][0], "first": a, "end": b, "share": c} for t, a, b, c in sorted(found, key=lambda s: s[1:3])]

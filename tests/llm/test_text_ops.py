@@ -81,6 +81,45 @@ def test_license_method_labels():
     assert licenses.scan_text(b"the license of the driver is free of charge and in the public interest")[5] == ""
 
 
+def test_license_own_matches_against_brute_force():
+    a = licenses.automaton()
+    text = " ".join(x for _, x in licenses.TEMPLATES[::3]).replace("version 3", "version 2").encode().split()
+
+    def longest(t, i):
+        own = a.templates[t][1]
+        return max(n for n in range(i + 2) if n == 0 or any(own[k : k + n] == text[i + 1 - n : i + 1] for k in range(len(own) - n + 1)))
+
+    for t in range(len(a.templates)):
+        n = [longest(t, i) for i in range(len(text))] + [0]
+        want = {(i, n[i]) for i in range(len(text)) if n[i] >= 4 and n[i + 1] <= n[i]}
+        assert {(m[0], m[1]) for m in a.own_matches(text, 0, len(text), 4) if m[3] == t} == want
+
+
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (GPL.format(2), "gpl-2"),
+        (GPL.format(3), "gpl-3"),
+        (GPL.split("modify it ")[1].format(2), "gpl-2"),
+        (GPL.format(2).replace("License as", "License version 2 as").split(";  either")[0], "gpl-2"),
+        (CC.format(""), "cc-by"),
+        (CC.format("-ShareAlike"), "cc-by-sa"),
+        (CC.format("-NonCommercial"), "cc-by-nc"),
+        ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability", "mit"),
+        ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ],
+)
+def test_license_versions_and_relatives(text, labels):
+    assert licenses.scan_text(text.encode())[5] == labels
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><a href=/>Home</a></header><nav><ul><li><a href="/a">alpha</a></li><li><a href="/b">beta</a></ul></nav>
 <div class="cookie-notice">We use cookies to improve this site and for many other reasons that we explain at length here.</div>
