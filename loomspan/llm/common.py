@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(module_name: str) -> None:
@@ -55,8 +56,14 @@ class Scratch:
         MADE.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
+        """The rows as a table; the shuffles that made it are deleted, as nothing reads them again."""
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -82,6 +89,35 @@ class Scratch:
                 self._delete(self.paths.pop(id(t))[1])
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table of this application, once the results that read them are written."""
+    app = spark.sparkContext.applicationId
+    for scratch in [s for s in MADE if s.app == app]:
+        scratch.release()
+        MADE.remove(scratch)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def blob(batch: pa.RecordBatch) -> bytes:
+    """A compressed Arrow stream of one batch."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unblob(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(data) as r:
+        return r.read_all().combine_chunks()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 texts of an Arrow string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,102 +1,196 @@
-"""Language-model scoring: stupid backoff computed with joins, over the whole corpus, leaving each document out.
+"""Language-model scoring: stupid backoff of orders 1 to 3 from relational counts, leaving each document out.
 
-Words are runs of non-white bytes. The vocabulary is every word that makes up at least 1/`vocabulary` of all words, so
-it has at most `vocabulary` entries whatever the corpus, with exact counts; all other words are one unknown word.
-Bigram counts are pre-aggregated per task and partitioned by hash; each document's distinct bigrams are exploded,
-joined to them and summed per document. A document's own bigrams do not count for it:
+Words are runs of non-white bytes, all of them: there is no vocabulary and no unknown word. Texts are packed into blocks
+of rows, and each block explodes into its distinct n-grams, (gram, block, place, n) with the gram as a 64-bit hash of its words
+and order. Partitioned by the gram's hash, the sum of n is its count in the corpus; a gram of every text is one row for each block,
+not for each occurrence. Counts that other blocks add to go back to the block, and each document's scores are summed there.
+Trigrams follow the words and bigrams, and only where another document has both bigrams: elsewhere no trigram can be shared.
 
-    S(w | u) = (c(u, w) - own) / c(u)      where another occurrence is left, else
-               backoff * c(w) / total
+With c'(x) the occurrences of x outside the document (by its row) and N' the words outside it, a word w after u, t scores
 
-Defined cases: null text and single words have no bigrams (score null); repeated rows are rows of their own and count
-for each other; ids may be null.
+    c'(t u w) / c'(t u)                if another document has t u w, else
+    backoff * c'(u w) / c'(u)          if another has u w, else
+    backoff**2 * c'(w) / N'            if another has w, else
+    backoff**3 / N'                    (N' one at least)
+
+The first word starts at c'(w) / N', the second at c'(u w) / c'(u), with one factor backoff for each step down from there.
+Two different n-grams of one hash would share their count: 2**-64 a pair.
+
+Defined cases: null and blank texts have no words (scores null); repeated rows are rows of their own and count for each
+other; ids may be null; a text of any length is scored whole, alone in its block.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, chunks, ship, text_bytes
+from loomspan.llm.common import Scratch, blob, chunks, ship, text_bytes, unblob
 
-VOCABULARY, BACKOFF = 65_536, 0.4
+BACKOFF, BLOCK_BYTES = 0.4, 4 << 20
+_MIX, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_SCORED = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents; word as UTF-8 bytes."""
-    ship(__name__)
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Compressed blocks of (doc_id, text) rows, with the number of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            words = sum(len(t.split()) for t in text_bytes(whole.column(1)))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([blob(whole)]), pa.array([words])], names=["block", "rows", "words"])
 
         for batch in batches:
-            for part in chunks(batch, 0):
-                for text in text_bytes(part.column(0)):
-                    seen.update(text.split())
-                if len(seen) > 500_000:
+            for part in chunks(batch, 1, block_bytes, 1 << 16):
+                if held and size + part.nbytes > block_bytes:
                     yield out()
-                    seen.clear()
-        if seen:
+                    number, held, size = number + 1, [], 0
+                held.append(part)
+                size += part.nbytes
+        if held:
             yield out()
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "block long, rows binary, words long")
+
+
+class Grams:
+    """The n-grams of a block's rows: per position the row, and per order the hash of the gram that ends there."""
+
+    def __init__(self, rows: pa.Table):
+        words = [t.split() for t in text_bytes(rows.column(1))]
+        self.ids, self.lens = rows.column(0).to_pylist(), np.array([len(w) for w in words], np.int64)
+        self.n = int(self.lens.sum())
+        self.row = np.repeat(np.arange(len(words)), self.lens)
+        h = np.fromiter((x for w in words for x in map(xxhash.xxh3_64_intdigest, w)), np.uint64, self.n)
+        self.place = np.arange(self.n) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)  # of the word in its row
+        two, three = h.copy(), h.copy()
+        two[1:] = (h[:-1] * _MIX ^ h[1:]) * _MUL + np.uint64(2)
+        three[2:] = (two[1:-1] * _MIX ^ h[2:]) * _MUL + np.uint64(3)
+        self.has2, self.has3 = np.flatnonzero(self.place >= 1), np.flatnonzero(self.place >= 2)
+        self.one, (self.two, self.three) = h, (two[self.has2], three[self.has3])
+
+    def low(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, their place for each word, their n; the same of the bigrams."""
+        return (*np.unique(self.one, return_inverse=True, return_counts=True), *np.unique(self.two, return_inverse=True, return_counts=True))
+
+    def own(self, rows: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each one's gram occurs in its own row."""
+        _, at, n = np.unique(rows * max(1, kinds) + place, return_inverse=True, return_counts=True)
+        return n[at]
 
+    def shared(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences outside the row, of each bigram."""
+        return c[at] - self.own(self.row[self.has2], at, len(c))
 
-def _bigrams(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """Per document row its distinct bigrams as one long (context << 32 | word) with counts, and one row without."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    def open_trigrams(self, left2: np.ndarray) -> np.ndarray:
+        """Positions in has3 whose two bigrams other rows have too."""
+        at2 = np.zeros(self.n, np.int64)
+        at2[self.has2] = left2
+        return np.flatnonzero((at2[self.has3] > 0) & (at2[self.has3 - 1] > 0))
 
+
+def _exploded(block: int, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), block)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(n.astype(np.int64))], names=["gram", "block", "place", "n"])
+
+
+def _filled(n: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of a block's grams: those that came back, else the block's own."""
+    out = n.astype(np.int64)
+    out[places] = counts
+    return out
+
+
+_EXPLODED = "gram long, block long, place int, n long"
+
+
+def _words_and_bigrams(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            for part in chunks(batch, 2):
-                texts = text_bytes(part.column(2))
-                rows, grams, counts = [], [], []
-                for i, text in enumerate(texts):
-                    word = np.array([known.get(w, 0) for w in text.split()], np.int64)
-                    gram, n = np.unique(word[:-1] << 32 | word[1:], return_counts=True)
-                    rows.append(np.full(len(gram), i))
-                    grams.append(gram)
-                    counts.append(n)
-                at = np.concatenate([*rows, np.arange(len(texts))])
-                gram = pa.array(np.concatenate([*grams, np.zeros(len(texts), np.int64)]), mask=np.concatenate([np.zeros(len(at) - len(texts), bool), np.ones(len(texts), bool)]))
-                n = np.concatenate([*counts, np.zeros(len(texts), np.int64)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), gram, pa.array(n)], names=["row", "doc_id", "gram", "n"])
-
-    return docs.mapInArrow(run, "row long, doc_id long, gram long, n long")
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, backoff: float = BACKOFF) -> DataFrame:
-    """Per document row: doc_id, n_bigrams, n_unknown (bigrams with an unknown word), n_backoff, log_score, mean_log_score."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    counts = scratch.write(word_counts(docs, text_col))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = -(-total // vocabulary)
-    # at most `vocabulary` rows, as their counts sum to the total at most
-    words = [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= max(1, least)).orderBy("word").toLocalIterator()]
-    rest = total - sum(n for _, n in words)
-    schema = "id long, c double"
-    unigram = spark.createDataFrame([(0, float(rest)), *((i, float(n)) for i, (_, n) in enumerate(words, 1))], schema)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    grams = scratch.write(_bigrams(source, {w: i for i, (w, _) in enumerate(words, 1)}))
-    table = grams.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("c"))
-    context, word = F.shiftright("gram", 32), F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF))
-    first, second = unigram.select(F.col("id").alias("u"), F.col("c").alias("cu")), unigram.select(F.col("id").alias("w"), F.col("c").alias("cw"))
-    table = table.withColumns({"u": context, "w": word}).join(F.broadcast(first), "u").join(F.broadcast(second), "w")
-    table = scratch.write(table.select("gram", "c", F.log("cu").alias("lu"), (F.log(F.lit(backoff) / F.lit(max(1, total))) + F.log("cw")).alias("back"), ((F.col("u") == 0) | (F.col("w") == 0)).alias("unknown")))
-    seen = F.col("c") > F.col("n")
-    scored = grams.join(table, "gram", "left").groupBy("row", "doc_id").agg(
-        F.sum("n").alias("n_bigrams"),
-        F.sum(F.when(F.col("unknown"), F.col("n")).otherwise(0)).alias("n_unknown"),
-        F.sum(F.when(F.col("gram").isNotNull() & ~seen, F.col("n")).otherwise(0)).alias("n_backoff"),
-        F.sum(F.col("n") * F.when(seen, F.log(F.col("c") - F.col("n")) - F.col("lu")).otherwise(F.col("back"))).alias("log_score"),
-    )
-    return scored.select("doc_id", "n_bigrams", "n_unknown", "n_backoff", "log_score", (F.col("log_score") / F.col("n_bigrams")).alias("mean_log_score"))
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                u1, _, n1, u2, _, n2 = Grams(unblob(rows)).low()
+                yield _exploded(block, np.concatenate([u1, u2]), np.concatenate([n1, n2]))
+
+    return blocks.select("block", "rows").mapInArrow(run, _EXPLODED)
+
+
+def _counted(exploded: DataFrame) -> DataFrame:
+    """(block, place, c) of grams that other blocks have too; c counts all blocks."""
+    c = F.sum("n").over(Window.partitionBy("gram"))
+    return exploded.withColumn("c", c).filter("c > n").select("block", "place", "c")
+
+
+def _counts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("place").to_numpy(), table.column("c").to_numpy()
+
+
+def _low_counts(grams: Grams, back: pa.Table) -> tuple:
+    """Per order: counts of the distinct grams, and each position's place among them."""
+    u1, at1, n1, _, at2, n2 = grams.low()
+    c = _filled(np.concatenate([n1, n2]), *_counts_of(back))
+    return c[: len(u1)], at1, c[len(u1) :], at2
+
+
+def _trigrams(blocks: DataFrame, low: DataFrame) -> DataFrame:
+    def run(key: tuple, own: pa.Table, back: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.Table.from_batches([_exploded(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+        grams = Grams(unblob(own.column("rows")[0].as_py()))
+        _, _, c2, at2 = _low_counts(grams, back)
+        left = grams.shared(c2, at2)
+        u3, n3 = np.unique(grams.three[grams.open_trigrams(left)], return_counts=True)
+        return pa.Table.from_batches([_exploded(key[0].as_py(), u3, n3)])
+
+    return blocks.select("block", "rows").groupBy("block").cogroup(low.groupBy("block")).applyInArrow(run, _EXPLODED)
+
+
+def _scores(blocks: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
+    """Per row of each block its sums; counts holds (block, place, c, high), high for trigrams."""
+
+    def run(own: pa.Table, back: pa.Table) -> pa.Table:
+        grams = Grams(unblob(own.column("rows")[0].as_py()))
+        high = back.column("high").to_numpy(zero_copy_only=False).astype(bool)
+        c1, at1, c2, at2 = _low_counts(grams, back.filter(pa.array(~high)))
+        left1 = c1[at1] - grams.own(grams.row, at1, len(c1))
+        some2 = grams.shared(c2, at2)
+        left2, left3 = np.zeros(grams.n, np.int64), np.zeros(grams.n, np.int64)
+        left2[grams.has2] = some2
+        spots = grams.open_trigrams(some2)
+        u3, at3, n3 = np.unique(grams.three[spots], return_inverse=True, return_counts=True)
+        c3 = _filled(n3, *_counts_of(back.filter(pa.array(high))))
+        left3[grams.has3[spots]] = c3[at3] - grams.own(grams.row[grams.has3[spots]], at3, len(u3))
+        before1, before2 = np.zeros(grams.n, np.int64), np.zeros(grams.n, np.int64)
+        before1[1:], before2[1:] = left1[:-1], left2[:-1]  # of the context; read only where a row has one
+        rest = np.maximum(1, total - grams.lens)[grams.row]
+        level = np.where(left3 > 0, 3, np.where(left2 > 0, 2, np.where(left1 > 0, 1, 0)))
+        over = np.choose(level, [np.ones(grams.n, np.int64), left1, left2, left3])
+        under = np.choose(level, [rest, rest, np.maximum(1, before1), np.maximum(1, before2)])
+        logs = np.log(over / under) + np.log(backoff) * (np.minimum(grams.place + 1, 3) - level)
+        rows = len(grams.ids)
+        sums = [np.bincount(grams.row, weights=level == k, minlength=rows).astype(np.int64) for k in (3, 2, 1, 0)]
+        scored = pa.array(np.bincount(grams.row, weights=logs, minlength=rows), mask=grams.lens == 0)
+        return pa.table([pa.array(grams.ids, pa.int64()), pa.array(grams.lens), *map(pa.array, sums), scored], names=["doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "n_unseen", "log_score"])
+
+    return blocks.select("block", "rows").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, _SCORED)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document row: doc_id, n_words, words scored by order (n_trigram, n_bigram, n_unigram, n_unseen), log_score and
+    mean_log_score (log_score / n_words). Other input columns are not read."""
+    ship(__name__)
+    scratch = Scratch(docs.sparkSession, "lm")
+    blocks = scratch.write(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), block_bytes))
+    total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    low = scratch.write(_counted(_words_and_bigrams(blocks)))
+    high = scratch.write(_counted(_trigrams(blocks, low)))
+    both = low.withColumn("high", F.lit(False)).union(high.withColumn("high", F.lit(True)))
+    scored = _scores(blocks, both, total, backoff)
+    return scored.withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))

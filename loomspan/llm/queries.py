@@ -35,7 +35,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_documents(_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_bigrams", "n_unknown", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
+    return scored.select("doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", "n_unseen", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,22 +83,24 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 """
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-w AS (SELECT doc_id, unnest(ws) AS x FROM d),
-c AS (SELECT x, count(*) AS n FROM w GROUP BY x),
-tot AS (SELECT sum(n) AS total, CAST(ceil(sum(n) / 65536.0) AS BIGINT) AS least FROM c),
-voc AS (SELECT x, n FROM c, tot WHERE n >= least),
-uni AS (SELECT x, n FROM voc UNION ALL SELECT '', (SELECT total FROM tot) - (SELECT sum(n) FROM voc)),
-b AS (SELECT doc_id, coalesce(v1.x, '') AS u, coalesce(v2.x, '') AS v, count(*) AS n
-  FROM (SELECT doc_id, ws[i] AS u, ws[i + 1] AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d)) p
-  LEFT JOIN voc v1 ON v1.x = p.u LEFT JOIN voc v2 ON v2.x = p.v GROUP BY ALL),
-g AS (SELECT u, v, sum(n) AS c FROM b GROUP BY u, v),
-s AS (SELECT doc_id, sum(b.n) AS n_bigrams, sum(CASE WHEN b.u = '' OR b.v = '' THEN b.n ELSE 0 END) AS n_unknown,
-  sum(CASE WHEN g.c > b.n THEN 0 ELSE b.n END) AS n_backoff,
-  sum(b.n * CASE WHEN g.c > b.n THEN ln((g.c - b.n)::DOUBLE) - ln(cu.n::DOUBLE) ELSE ln(0.4 / total) + ln(cw.n::DOUBLE) END) AS log_score
-  FROM b JOIN g USING (u, v) JOIN uni cu ON cu.x = b.u JOIN uni cw ON cw.x = b.v, tot GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n_bigrams, 0) AS BIGINT) AS n_bigrams, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff,
-  round(log_score, 4) AS log_score, round(log_score / n_bigrams, 5) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+tot AS (SELECT sum(len(ws)) AS total FROM d),
+p AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS u, CASE WHEN i > 2 THEN ws[i - 2] END AS t FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+o1 AS (SELECT r, w, count(*) AS n FROM p GROUP BY r, w),
+o2 AS (SELECT r, u, w, count(*) AS n FROM p WHERE i > 1 GROUP BY r, u, w),
+o3 AS (SELECT r, t, u, w, count(*) AS n FROM p WHERE i > 2 GROUP BY r, t, u, w),
+l1 AS (SELECT r, w, sum(n) OVER (PARTITION BY w) - n AS c FROM o1),
+l2 AS (SELECT r, u, w, sum(n) OVER (PARTITION BY u, w) - n AS c FROM o2),
+l3 AS (SELECT r, t, u, w, sum(n) OVER (PARTITION BY t, u, w) - n AS c FROM o3),
+x AS (SELECT p.r, p.i, a.c AS c1, b.c AS c2, e.c AS c3, f.c AS cu, g.c AS ct FROM p JOIN l1 a ON a.r = p.r AND a.w = p.w
+  LEFT JOIN l2 b ON b.r = p.r AND b.u = p.u AND b.w = p.w LEFT JOIN l3 e ON e.r = p.r AND e.t = p.t AND e.u = p.u AND e.w = p.w
+  LEFT JOIN l1 f ON f.r = p.r AND f.w = p.u LEFT JOIN l2 g ON g.r = p.r AND g.u = p.t AND g.w = p.u),
+y AS (SELECT *, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS k FROM x),
+s AS (SELECT y.r, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 0) AS n0,
+  sum(ln(CASE k WHEN 3 THEN c3 / ct WHEN 2 THEN c2 / cu WHEN 1 THEN c1 / greatest(1, total - len(ws)) ELSE 1 / greatest(1, total - len(ws)) END) + ln(0.4) * (least(i, 3) - k)) AS log_score
+  FROM y JOIN d ON d.r = y.r, tot GROUP BY y.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram, coalesce(n1, 0) AS n_unigram, coalesce(n0, 0) AS n_unseen,
+  round(log_score, 4) AS log_score, round(log_score / len(ws), 5) AS mean_log_score FROM d LEFT JOIN s ON s.r = d.r
 """
 
 

@@ -77,29 +77,44 @@ def test_best_fit_prefers_the_tightest_bin():
     assert packing.best_fit([(6, 0), (5, 1), (4, 2), (3, 3), (2, 4)], 10) == [(10, [0, 2]), (10, [1, 3, 4])]
 
 
-def test_lm_on_a_small_corpus(spark):
-    rows = [(1, "a b a b"), (2, "a b c"), (3, None), (4, "a"), (None, "b c"), (5, "x y")]
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, log_score int")).collect()}
-    c = {"a": 4, "b": 4, "c": 2}
-    total = 11
-    assert got[1].n_bigrams == 3 and got[1].n_backoff == 1 and got[3].n_bigrams == 0 and got[3].log_score is None
-    want = 2 * math.log((3 - 2) / c["a"]) + math.log(0.4 * c["a"] / total)
-    assert math.isclose(got[1].log_score, want, rel_tol=1e-9)
-    assert math.isclose(got[2].log_score, math.log(2 / c["a"]) + math.log(1 / c["b"]), rel_tol=1e-9)
-    assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_lm_vocabulary_is_bounded(spark):
-    df = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = lm.score_documents(df, vocabulary=50).collect()
-    words = Counter(w for r in df.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    known = {w for w, n in words.items() if n >= -(-sum(words.values()) // 50)}
-    assert 0 < len(known) <= 50
-    texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text) for r in df.collect()}
-    for r in rows:
-        w = texts[r.doc_id]
-        assert r.n_bigrams == max(0, len(w) - 1)
-        assert r.n_unknown == sum(a not in known or b not in known for a, b in zip(w, w[1:]))
+def brute_scores(rows, backoff=0.4):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    grams = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in words]
+    whole = sum(grams, Counter())
+    out = []
+    for (doc_id, _), w, own in zip(rows, words, grams):
+        left = lambda *g, own=own: whole[g] - own[g]
+        rest, levels, score = max(1, sum(map(len, words)) - len(w)), Counter(), 0.0
+        for i, x in enumerate(w):
+            if i > 1 and left(w[i - 2], w[i - 1], x):
+                k, s = 3, left(w[i - 2], w[i - 1], x) / left(w[i - 2], w[i - 1])
+            elif i > 0 and left(w[i - 1], x):
+                k, s = 2, left(w[i - 1], x) / left(w[i - 1])
+            else:
+                k = int(left(x) > 0)
+                s = max(1, left(x)) / rest
+            levels[k] += 1
+            score += math.log(s * backoff ** (min(i + 1, 3) - k))
+        out.append((doc_id, len(w), *(levels[k] for k in (3, 2, 1, 0)), round(score, 6) if w else None))
+    return sorted(out, key=str)
+
+
+LM_ROWS = [(1, "a b a b"), (2, "a b c"), (3, None), (4, "a"), (None, "b c"), (5, "x y"), (6, " \n"), (7, "a b c"), (7, "a b c"), (8, "z " * 20_000 + "a b c"), (9, "é\u00a0b c")]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 40])
+def test_lm_matches_brute_force(spark, block_bytes):
+    df = spark.createDataFrame([(*r, 1, "x") for r in LM_ROWS], "doc_id long, text string, log_score int, block string").repartition(3)
+    got = [(r.doc_id, r.n_words, r.n_trigram, r.n_bigram, r.n_unigram, r.n_unseen, None if r.log_score is None else round(r.log_score, 6)) for r in lm.score_documents(df, block_bytes=block_bytes).collect()]
+    assert sorted(got, key=str) == brute_scores(LM_ROWS)
+    assert lm.score_documents(df.limit(0)).count() == 0
+
+
+def test_lm_on_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in lm.score_documents(docs, block_bytes=100_000).collect()}
+    want = {r[0]: r[-1] for r in brute_scores([tuple(r) for r in docs.select("doc_id", "text").collect()])}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-5) for i in want)
 
 
 def test_mixing_meets_given_targets(spark):
