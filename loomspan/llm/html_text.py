@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import replace_columns, ship
+from loomspan.llm.common import chunks, free_name, ship
 
 # Element names and marks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,117 +41,164 @@ SCOPES = frozenset("ul ol dl table".split())
 TABLE = frozenset("tr td th thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
-MARKS = re.compile(  # at the start of a class or id, perhaps behind its place on the page
-    r"(?:^|\s)(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|header|footer|post|user|reader|article|blog|story|cookie|google|social|side|email)[_-])?"
-    r"(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|"
-    r"site-header|page-header|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|"
-    r"disqus|replies|respond|related|recommended|pagination|pager|skip|copyright)(?=$|[\s_-]|\d)",
-    re.I,
-)
+PLACES = frozenset("site page main top bottom left right primary secondary global header footer post user reader article blog story cookie google social side email".split())
+# Words of a class or id that say what a box is. The first mark it with any words after them; the second only with
+# words of the two lists, of PLACES or of BOX, so that "ad-banner" is an advert and "ad-hoc-networks" is not.
+MARKS = frozenset("adsense advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies disqus footer gdpr masthead modal nav navbar navigation newsletter pagination popup sidebar sponsored".split())
+WEAK_MARKS = frozenset("ad ads alert banner comment comments consent copyright login menu notice notices pager promo promos promotion promotions recommended related replies respond share sharing signup skip social sponsor subscribe subscription".split())
+BOX = frozenset("area bar block body box btn button buttons code col column container content count cta data details div form frame group heading icons image inner item items label layout link links list media meta module msg message new nav news outer overlay panel post posts region row rows section slot small social stories story strip text thread title to top unit widget widgets wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|aria-hidden\s*=\s*[\"']?(true)", re.I)
+_OPENED = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)|/(?=[^a-zA-Z]))")
+_ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=\d)")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("block", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "tags", "total", "unwanted")
+    """An element. Kept at hand, so that no start or end tag has to walk up the tree: the nearest open block or button, the
+    nearest element that bounds a list item, the outermost open row, cell and section of the nearest table or list."""
+
+    __slots__ = ("block", "bound", "chars", "children", "density", "depth", "framed", "link_chars", "link_tags", "name", "parent", "table", "tags", "total", "unwanted", "upper")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.block, self.unwanted = name in BLOCKS, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.framed = name in ("article", "main") or parent is not None and parent.framed
+        self.upper = self if parent is None or self.block or name == "button" else parent.upper
+        self.bound = self if parent is None or self.block and name not in ("address", "div", "p") or name in SCOPES or name == "option" else parent.bound
+        if parent is None or name in SCOPES:
+            self.table: dict[str, Node] = {}
+        elif name in TABLE and name not in parent.table:
+            self.table = {**parent.table, name: self}
+        else:
+            self.table = parent.table
+
+
+def marked(value: str) -> bool:
+    """Whether a class or id names a menu, advert, notice, comments or the like."""
+    for token in value.lower().split():
+        parts = [x for x in _PART.split(token) if x]
+        while len(parts) > 1 and parts[0] in PLACES and (parts[1] in MARKS or parts[1] in WEAK_MARKS or parts[1] in PLACES):
+            del parts[0]
+        if not parts:
+            continue
+        if parts[0] in MARKS or token == "side-bar" or parts[0] == "header" and len(parts) == 1 and token != "header":
+            return True
+        if parts[0] in WEAK_MARKS and all(x in MARKS or x in WEAK_MARKS or x in PLACES or x in BOX or x.isdigit() or len(x) == 1 for x in parts[1:]):
+            return True
+    return False
 
 
-def _unwanted(node: Node, attributes: str) -> bool:
+def _unwanted(node: Node, attributes: dict[str, str]) -> bool:
     name = node.name
-    if name in DROPPED:
+    if name in DROPPED or name == "header" and not node.framed:
         return True
-    if name == "header":
-        up = node.parent
-        while up is not None and up.name not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
-    if attributes and name not in ("html", "body", "article", "main"):
-        for m in _MARKED.finditer(attributes):
-            if m[4] or m[5]:
-                return True
-            value = m[1] or m[2] or m[3] or ""
-            if value.lower() in ROLES or MARKS.search(value):
-                return True
-    return False
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ROLES:
+        return True
+    return marked(attributes.get("class", "")) or name != "article" and marked(attributes.get("id", ""))
 
 
 def _opened_in(node: Node, name: str) -> Node:
     """Where a start tag puts its element, after the end tags that it implies."""
     if node.name == "head" and name not in IN_HEAD:
         node = node.parent
-    if name in CLOSED_BY:
-        up, table = node, name in TABLE
-        while up.parent is not None and up.name not in SCOPES:
-            if up.name in CLOSED_BY[name]:
-                node = up.parent
-                if not table:
-                    break
-            elif not table and up.name in BLOCKS and up.name not in ("address", "div", "p"):
-                break
-            up = up.parent
-    if name in CLOSES_P:
-        up = node
-        while up.name not in BLOCKS and up.name != "button":
-            up = up.parent
-        if up.name == "p":
-            node = up.parent
+    if name in TABLE:
+        closed = [node.table[x] for x in CLOSED_BY[name] if x in node.table]
+        if closed:
+            node = min(closed, key=lambda n: n.depth).parent
+    elif name in CLOSED_BY and node.bound.name in CLOSED_BY[name]:
+        node = node.bound.parent
+    if name in CLOSES_P and node.upper.name == "p":
+        node = node.upper.parent
     if name in HEADINGS and node.name in HEADINGS:
         node = node.parent
     return node
 
 
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag, the first of each name, and the place after its ">"; -1 where the page ends first.
+
+    A "/" ends no tag: only void elements are empty. A quote that is never closed belongs to an unquoted value.
+    """
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        if m[1]:
+            found.setdefault(m[1].lower(), next((x for x in m.group(2, 3, 4) if x is not None), ""))
+        at = m.end()
+        if at >= len(page):
+            return found, -1
+        if page[at] == ">":
+            return found, at + 1
+
+
 def parse(page: str) -> Node:
-    """The element tree of a page, unwanted elements marked; texts are str children."""
+    """The element tree of a page, unwanted elements marked; texts are str children. Linear in the page."""
     root = Node("body", None)
     at, node, end = 0, root, len(page)
+    opened: Counter = Counter()  # elements on the way from the root to the node, by name
+    heads = 0
+
+    def leave(to: Node) -> Node:
+        nonlocal heads
+        up = node
+        while up is not to:
+            opened[up.name] -= 1
+            heads -= up.name == "head"
+            up = up.parent
+        return to
+
+    def text(piece: str) -> None:
+        nonlocal node
+        if piece:
+            if node.name == "head" and piece.strip():
+                node = leave(node.parent)
+            node.children.append(entities.unescape(piece))
+
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            if node.name == "head" and text.strip():
-                node = node.parent
-            node.children.append(entities.unescape(text))
+        m = _OPENED.search(page, at)
+        text(page[at : m.start()] if m else page[at:])
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if not m[4]:
+            close = page.find("-->" if m[1] else ">", at - 2 if m[1] else at)  # also ends "<!-->"
+            at = close + (3 if m[1] else 1) if close >= 0 else end
             continue
-        name, closing = m[2].lower(), m[1] == "/"
+        name, closing = m[4].lower(), m[3] == "/"
+        attributes, after = _attributes(page, at)
+        if after < 0:
+            break  # a tag that the page's end cuts off
+        at = after
         if name in ("html", "body"):
-            up = node
-            while name == "body" and up is not root:  # ends the head
-                if up.name == "head":
-                    node = up.parent
-                    break
-                up = up.parent
+            if name == "body" and heads:
+                while heads:
+                    node = leave(node.parent)
             continue
         if closing:
-            up = node
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[name]:
+                while node.name != name:
+                    node = leave(node.parent)
+                node = leave(node.parent)
             continue
-        empty = name in VOID or m[3].endswith("/") and name not in BLOCKS
-        if name in RAW and not empty:
-            close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+        if name in RAW:
+            close = _RAW_END[name].search(page, at)
             at = close.end() if close else end
             continue
-        node = _opened_in(node, name)
+        node = leave(_opened_in(node, name))
         child = Node(name, node)
-        child.unwanted = _unwanted(child, m[3])
+        child.unwanted = _unwanted(child, attributes)
         node.children.append(child)
-        if not empty:
+        if name not in VOID:
             node = child
+            opened[name] += 1
+            heads += name == "head"
     return root
 
 
@@ -293,14 +341,13 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (default: all but the html) with text and n_chars; input columns of these names are replaced."""
     ship(__name__)
-    keep = [c for c in (keep or pages.columns) if c.lower() not in ("text", "n_chars", html_col.lower())]
-    inner = replace_columns(pages, ["_html"]).select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("_html"))
+    keep = [c for c in (keep if keep is not None else pages.columns) if c.lower() not in ("text", "n_chars", html_col.lower())]
+    inner = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias(free_name(pages, "_html")))
     schema = T.StructType([*inner.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in chunks(batch, len(keep), 4 << 20, 256):
                 texts = [main_text(x) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

@@ -1,12 +1,15 @@
 """Quality rules, licences, HTML and URL filters on small fixtures and against brute force."""
 
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import html_text, licenses, quality, url_filter
 from tests.conftest import DATA
 
+SENTENCE = "word " * 60
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -158,7 +161,52 @@ def test_html_unclosed_dropped_elements(page, text):
     assert html_text.main_text(page) == text
 
 
-SENTENCE = "word " * 60
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div><p class="notice">Cookie notice<p>article text here</div>', "article text here"),
+        ("<div><p class=ad>Buy</div><p>article", "article"),
+        ("<script src=/x/>var leaked = 1;</script><p>ok</p>", "ok"),
+        ("<div/>text in a div</div>", "text in a div"),
+        ("<p title=it's>hello</p><p>x</p>", "hello\n\nx"),
+        ('<p title="a>b">hello</p>', "hello"),
+        ('<a href="x>unclosed</a><p>rest</p>', "unclosed\n\nrest"),
+        ('<p>a</p><a href="', "a"),
+        ("<!-->text", "text"),
+        ("<!-- a > b --><p>t", "t"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+        ('<p aria-hidden=true>no<p data-x="hidden role=menu">yes', "yes"),
+    ],
+)
+def test_html_tags_end_where_browsers_end_them(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(("name", "is_mark"), [("ad", True), ("ad-banner", True), ("ad1", True), ("ad-hoc-networks", False), ("site-header", True), ("social-studies", False), ("share-prices", False), ("reader-comments", True), ("no-comments", False), ("has-sidebar", False), ("sidebar_left x", True), ("related-posts", True), ("content", False)])
+def test_html_marks(name, is_mark):
+    assert html_text.marked(name) == is_mark
+    kept = html_text.main_text(f'<div><div class="{name}"><p>one</p></div><p>{SENTENCE}</p></div>')
+    assert kept == (SENTENCE.strip() if is_mark else f"one\n\n{SENTENCE.strip()}")
+
+
+@pytest.mark.parametrize("page", ["<a " * 16_000, "<b>" * 16_000 + "</i>" * 16_000, "<b>" * 16_000 + "<p></p>" * 16_000, "<div>" * 16_000 + "<li></li>" * 16_000, "<table>" + "<div>" * 16_000 + "<td></td>" * 16_000, "<a b=\"'>" * 16_000, "<header>" * 16_000, "<!--" * 16_000, "<" * 100_000])
+def test_html_hostile_pages_are_linear(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_rows_and_columns(spark):
+    rows = [(1, "u", PAGE, "a"), (1, "u", PAGE, "a"), (2, None, None, "b"), (None, "v", "<p>" + "long " * 200_000, "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _html string").withColumn("TEXT", F.lit(1))
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "url", "_html", "text", "n_chars"]
+    out = sorted((r._html, len(r.text), r.n_chars) for r in got.collect())
+    whole = len(html_text.main_text(PAGE))
+    assert out == [("a", whole, whole), ("a", whole, whole), ("b", 0, 0), ("c", 999_999, 999_999)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 MENU = '<nav><a href="/a">alpha</a> <a href="/b">beta</a></nav>'
 
 
