@@ -1,9 +1,10 @@
 """Language-model scoring: stupid backoff of orders 1 to 3 from relational counts, leaving each document out.
 
 Words are runs of non-white bytes, all of them: there is no vocabulary and no unknown word. Texts are packed into blocks
-of rows, and each block explodes into its distinct n-grams, (gram, block, place, n) with the gram as a 64-bit hash of its words
-and order. Partitioned by the gram's hash, the sum of n is its count in the corpus; a gram of every text is one row for each block,
-not for each occurrence. Counts that other blocks add to go back to the block, and each document's scores are summed there.
+of rows, and each block explodes into its distinct n-grams and their counts there, a gram as a 64-bit hash of its words
+and order. Grams go to buckets by their first bits, in slices (bucket, block) of sorted grams; a bucket holds about `bucket_grams`
+whatever the corpus, and a gram of every text is one entry for each block, not for each occurrence. A bucket sums its grams'
+counts and sends each slice the sums that other blocks add to; each document's scores are summed in its block.
 Trigrams follow the words and bigrams, and only where another document has both bigrams: elsewhere no trigram can be shared.
 
 With c'(x) the occurrences of x outside the document (by its row) and N' the words outside it, a word w after u, t scores
@@ -28,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, blob, chunks, ship, text_bytes, unblob
 
-BACKOFF, BLOCK_BYTES = 0.4, 4 << 20
+BACKOFF, BLOCK_BYTES, BUCKET_GRAMS = 0.4, 4 << 20, 1 << 22
 _MIX, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SCORED = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, n_unseen long, log_score double"
 
@@ -98,62 +99,78 @@ class Grams:
         return np.flatnonzero((at2[self.has3] > 0) & (at2[self.has3 - 1] > 0))
 
 
-def _exploded(block: int, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), block)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.array(n.astype(np.int64))], names=["gram", "block", "place", "n"])
+_SLICES = "bucket long, block long, start int, grams binary, ns binary"
 
 
-def _filled(n: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _sliced(block: int, grams: np.ndarray, n: np.ndarray, bits: int, first: int = 0) -> pa.RecordBatch:
+    """Slices of sorted distinct grams by their first `bits`; start: the place of a slice's first gram, counted from `first`."""
+    bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    to = np.append(at[1:], len(grams))
+    data = [[x[i:j].tobytes() for i, j in zip(at.tolist(), to.tolist())] for x in (grams, n.astype("<u4"))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), block)), pa.array((first + at).astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["bucket", "block", "start", "grams", "ns"])
+
+
+def _filled(n: np.ndarray, back: pa.Table) -> np.ndarray:
     """Counts of a block's grams: those that came back, else the block's own."""
     out = n.astype(np.int64)
-    out[places] = counts
+    for start, data in zip(back.column("start").to_pylist(), back.column("c").to_pylist()):
+        c = np.frombuffer(data, "<i8")
+        part = out[start : start + len(c)]
+        np.copyto(part, c, where=c > 0)
     return out
 
 
-_EXPLODED = "gram long, block long, place int, n long"
-
-
-def _words_and_bigrams(blocks: DataFrame) -> DataFrame:
+def _words_and_bigrams(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 u1, _, n1, u2, _, n2 = Grams(unblob(rows)).low()
-                yield _exploded(block, np.concatenate([u1, u2]), np.concatenate([n1, n2]))
+                yield _sliced(block, u1, n1, bits)
+                yield _sliced(block, u2, n2, bits, len(u1))
+
+    return blocks.select("block", "rows").mapInArrow(run, _SLICES)
+
 
-    return blocks.select("block", "rows").mapInArrow(run, _EXPLODED)
+def _counted(slices: DataFrame) -> DataFrame:
+    """(block, start, c) for every slice: its grams' counts over all blocks, 0 where no other block has the gram."""
 
+    def run(table: pa.Table) -> pa.Table:
+        grams = np.frombuffer(b"".join(table.column("grams").to_pylist()), "<u8")
+        n = np.frombuffer(b"".join(table.column("ns").to_pylist()), "<u4").astype(np.int64)
+        _, at = np.unique(grams, return_inverse=True)
+        c = np.bincount(at, weights=n).astype(np.int64)[at]
+        c[c == n] = 0
+        edge = np.cumsum([0, *(len(x) // 8 for x in table.column("grams").to_pylist())]).tolist()
+        return pa.table([table.column("block"), table.column("start"), pa.array([c[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())], names=["block", "start", "c"])
 
-def _counted(exploded: DataFrame) -> DataFrame:
-    """(block, place, c) of grams that other blocks have too; c counts all blocks."""
-    c = F.sum("n").over(Window.partitionBy("gram"))
-    return exploded.withColumn("c", c).filter("c > n").select("block", "place", "c")
+    return slices.groupBy("bucket").applyInArrow(run, "block long, start int, c binary")
 
 
-def _counts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("place").to_numpy(), table.column("c").to_numpy()
+def _bits(grams: int, bucket_grams: int, tasks: int) -> int:
+    """First bits that name a bucket: enough for `bucket_grams` each, and for the tasks."""
+    return max(-(-grams // bucket_grams), tasks, 1).bit_length()
 
 
 def _low_counts(grams: Grams, back: pa.Table) -> tuple:
     """Per order: counts of the distinct grams, and each position's place among them."""
     u1, at1, n1, _, at2, n2 = grams.low()
-    c = _filled(np.concatenate([n1, n2]), *_counts_of(back))
+    c = _filled(np.concatenate([n1, n2]), back)
     return c[: len(u1)], at1, c[len(u1) :], at2
 
 
-def _trigrams(blocks: DataFrame, low: DataFrame) -> DataFrame:
+def _trigrams(blocks: DataFrame, low: DataFrame, bits: int) -> DataFrame:
     def run(key: tuple, own: pa.Table, back: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.Table.from_batches([_exploded(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))])
         grams = Grams(unblob(own.column("rows")[0].as_py()))
         _, _, c2, at2 = _low_counts(grams, back)
-        left = grams.shared(c2, at2)
-        u3, n3 = np.unique(grams.three[grams.open_trigrams(left)], return_counts=True)
-        return pa.Table.from_batches([_exploded(key[0].as_py(), u3, n3)])
+        u3, n3 = np.unique(grams.three[grams.open_trigrams(grams.shared(c2, at2))], return_counts=True)
+        return pa.Table.from_batches([_sliced(key[0].as_py(), u3, n3, bits)])
 
-    return blocks.select("block", "rows").groupBy("block").cogroup(low.groupBy("block")).applyInArrow(run, _EXPLODED)
+    return blocks.select("block", "rows").groupBy("block").cogroup(low.groupBy("block")).applyInArrow(run, _SLICES)
 
 
 def _scores(blocks: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
-    """Per row of each block its sums; counts holds (block, place, c, high), high for trigrams."""
+    """Per row of each block its sums; counts holds (block, start, c, high), high for trigrams."""
 
     def run(own: pa.Table, back: pa.Table) -> pa.Table:
         grams = Grams(unblob(own.column("rows")[0].as_py()))
@@ -165,7 +182,7 @@ def _scores(blocks: DataFrame, counts: DataFrame, total: int, backoff: float) ->
         left2[grams.has2] = some2
         spots = grams.open_trigrams(some2)
         u3, at3, n3 = np.unique(grams.three[spots], return_inverse=True, return_counts=True)
-        c3 = _filled(n3, *_counts_of(back.filter(pa.array(high))))
+        c3 = _filled(n3, back.filter(pa.array(high)))
         left3[grams.has3[spots]] = c3[at3] - grams.own(grams.row[grams.has3[spots]], at3, len(u3))
         before1, before2 = np.zeros(grams.n, np.int64), np.zeros(grams.n, np.int64)
         before1[1:], before2[1:] = left1[:-1], left2[:-1]  # of the context; read only where a row has one
@@ -182,15 +199,15 @@ def _scores(blocks: DataFrame, counts: DataFrame, total: int, backoff: float) ->
     return blocks.select("block", "rows").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, _SCORED)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """Per document row: doc_id, n_words, words scored by order (n_trigram, n_bigram, n_unigram, n_unseen), log_score and
     mean_log_score (log_score / n_words). Other input columns are not read."""
     ship(__name__)
     scratch = Scratch(docs.sparkSession, "lm")
     blocks = scratch.write(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), block_bytes))
     total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    low = scratch.write(_counted(_words_and_bigrams(blocks)))
-    high = scratch.write(_counted(_trigrams(blocks, low)))
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    low = scratch.write(_counted(_words_and_bigrams(blocks, _bits(2 * total, bucket_grams, tasks))))
+    high = scratch.write(_counted(_trigrams(blocks, low, _bits(total, bucket_grams, tasks))))
     both = low.withColumn("high", F.lit(False)).union(high.withColumn("high", F.lit(True)))
-    scored = _scores(blocks, both, total, backoff)
-    return scored.withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
+    return _scores(blocks, both, total, backoff).withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
