@@ -1,13 +1,16 @@
 """Exact top-k search by distributed histogram selection over integer inner products.
 
-Components become floor(64 * x). Vectors are packed into numpy blocks; every query block meets every candidate block
-in one cell of a grid, and cells are scored by matrix products, again in each pass rather than stored. A pass counts
-each query's scores in 1,024 bins of the range where its k-th best lies; the summed histograms tell the bin of the
-k-th score, the next pass refines it, until bins are one score wide. A last pass keeps scores above the k-th and
-ranks ties by smaller id. A cell only reports scores not below its own k-th best: the global k-th cannot be lower.
-
-Defined cases: null vectors, null ids, and vectors with a null, NaN or infinite component take no part; vectors meet
-those of equal length only; repeated rows are rows of their own; fewer than k candidates are all returned.
+Components become floor(64 * x). Vectors are packed into numpy blocks. Candidate blocks are dealt into groups that one task reads, and
+the query blocks, far fewer, are sent to every group; each meets each candidate block there, and the scores are matrix
+products, made again in each pass rather than stored. Scores are counted as 64-bit keys in their order: a pass counts each
+query's in 1,024 bins of the range where its k-th best lies; the summed histograms tell the bin of the k-th score, the next
+pass refines it, until bins are one score wide. A last pass keeps scores above the k-th and ranks ties by smaller id. A
+cell only reports scores not below its own k-th best: the global k-th cannot be lower.
+
+Products beyond 2**53 are 64-bit integer sums, which are right whenever the score fits a long. Defined cases: null vectors, null
+ids, and vectors with a null, NaN or infinite component take no part; every other vector does. A component or a score of
+a pair that does not fit a long is an error (as casting it is in SQL). Vectors meet those of equal length only; repeated
+rows are rows of their own; fewer than k candidates are all returned.
 """
 
 from __future__ import annotations
@@ -23,22 +26,26 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import Scratch, ship
 
 K, SCALE, BINS = 20, 64, 10
-_PACKED = "dim int, block long, uids binary, ids binary, kind string, vectors binary, bound long"
+_PACKED = "dim int, block long, uids binary, ids binary, kind string, vectors binary, bits int"
 _CELL = ["uids", "ids", "kind", "vectors"]
+GROUP_ROWS = 1 << 15  # candidates that one task holds
 
 
 def _block(block: int, uid: np.ndarray, ids: np.ndarray, flat: np.ndarray, dim: int) -> pa.RecordBatch | None:
-    """One packed row of integer vectors, without those that are not finite."""
-    whole = np.floor(flat.reshape(-1, dim) * SCALE)
-    good = (np.abs(whole) < 2.0**31).all(axis=1)  # false for NaN and infinite ones too
+    """One packed row of integer vectors, without those that are not finite; bits: their squared lengths are below 2**bits."""
+    flat = flat.reshape(-1, dim)
+    good = np.isfinite(flat).all(axis=1)
     if not good.any():
         return None
-    whole, uid, ids = whole[good].astype(np.int64), uid[good], ids[good]
-    kind = "<i2" if int(np.abs(whole).max()) < 1 << 15 else "<i8"
-    bound = int((whole.astype(np.float64) ** 2).sum(axis=1).max()) + 1
+    whole = np.floor(flat[good] * SCALE)
+    most = np.abs(whole).max()
+    if not most < 2.0**63:
+        raise OverflowError(f"a vector component times {SCALE} does not fit a long")
+    kind = "<i2" if most < 1 << 15 else "<i8"
+    bits = int(np.ceil(np.log2((whole**2).sum(axis=1).max() + 1))) + 1
     return pa.RecordBatch.from_arrays(
-        [pa.array([dim], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x]) for x in (uid.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), kind, whole.astype(kind).tobytes(), bound))],
-        names=["dim", "block", "uids", "ids", "kind", "vectors", "bound"],
+        [pa.array([dim], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x]) for x in (uid[good].astype("<i8").tobytes(), ids[good].astype("<i8").tobytes(), kind, whole.astype(kind).tobytes())), pa.array([bits], pa.int32())],
+        names=["dim", "block", "uids", "ids", "kind", "vectors", "bits"],
     )
 
 
@@ -86,13 +93,21 @@ def _matrix(row: dict, dim: int, side: str) -> tuple[np.ndarray, np.ndarray, np.
     return np.frombuffer(row[f"{side}uids"], "<i8"), np.frombuffer(row[f"{side}ids"], "<i8"), np.frombuffer(row[f"{side}vectors"], row[f"{side}kind"]).reshape(-1, dim)
 
 
-def _scores(q: np.ndarray, c: np.ndarray, dim: int) -> np.ndarray:
-    most = float(np.abs(q.astype(np.int64)).max()) * float(np.abs(c.astype(np.int64)).max()) * dim
+def _scores(q: np.ndarray, c: np.ndarray, dim: int, ok: np.ndarray) -> np.ndarray:
+    """Inner products as int64; an error where one of an `ok` pair does not fit."""
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(c.astype(np.float64)).max()) * dim
     if most < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = q.astype(np.int64) @ c.astype(np.int64).T  # modulo 2**64
+    if most >= 2**62:
+        near = q.astype(np.float64) @ c.astype(np.float64).T
+        slack = (np.abs(q.astype(np.float64)) @ np.abs(c.astype(np.float64)).T) * (dim + 4) * 2.0**-52
+        for i, j in zip(*np.nonzero(ok & (np.abs(near) + slack >= 2.0**63))):
+            if not -(1 << 63) <= sum(x * y for x, y in zip(q[i].tolist(), c[j].tolist())) < 1 << 63:
+                raise OverflowError("the score of two vectors does not fit a long")
+    return whole
 
 
 def _tiles(row: dict, k: int) -> Iterator[tuple[np.ndarray, slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,8 +117,8 @@ def _tiles(row: dict, k: int) -> Iterator[tuple[np.ndarray, slice, np.ndarray, n
     cuid, cid, c = _matrix(row, dim, "c_")
     for at in range(0, len(quid), 256):
         part = slice(at, at + 256)
-        s = _scores(q[part], c, dim)
         ok = quid[part][:, None] != cuid[None, :]
+        s = _scores(q[part], c, dim, ok)
         low = np.iinfo(np.int64).min
         if len(cuid) > k:
             masked = np.where(ok, s, low)
@@ -113,43 +128,52 @@ def _tiles(row: dict, k: int) -> Iterator[tuple[np.ndarray, slice, np.ndarray, n
         yield quid[part], part, s, ok, least, cid
 
 
-def _grid(queries: DataFrame, candidates: DataFrame, limits: DataFrame | None, blocks: int, salts: int) -> DataFrame:
-    """Cells: each query block with each candidate block of its dimension, dealt over (query block, salt)."""
+def _grid(queries: DataFrame, candidates: DataFrame, limits: DataFrame | None, groups: int, sections: int) -> DataFrame:
+    """Cells: each query block with each candidate block of its dimension. A candidate block goes to its group once for each
+    section of the queries (one for every million of them); a query block goes to every group."""
     q = queries.select("dim", "block", *[F.col(c).alias(f"q_{c}") for c in _CELL])
     q = q.join(limits, "block") if limits is not None else q.withColumn("limits", F.lit(None).cast("binary"))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = candidates.select("dim", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), *[F.col(c).alias(f"c_{c}") for c in _CELL])
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    c = c.withColumn("number", numbers).withColumn("block", F.shiftleft(F.col("dim").cast("long"), 32) + F.col("number")).drop("dim", "number")
-    return q.join(c, ["block", "salt"])
+    q = q.withColumn("section", F.pmod(F.xxhash64("block"), F.lit(sections))).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).drop("block")
+    c = candidates.select("dim", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), *[F.col(c).alias(f"c_{c}") for c in _CELL])
+    c = c.withColumn("section", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sections - 1).cast("long"))))
+    return q.join(c.hint("merge"), ["dim", "group", "section"])
 
 
-def _count(cells: DataFrame, k: int, span: int, bits: int, lowest: int) -> DataFrame:
-    """(query, bin, n): scores inside each query's range of 2**span, in bins of 2**(span - bits)."""
+def _keys(scores: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned keys below 2**width in the order of the scores, which are below 2**(width - 1) in size."""
+    return scores.view(np.uint64) + np.uint64(1 << (width - 1))
+
+
+def _count(cells: DataFrame, k: int, width: int, span: int, bits: int) -> DataFrame:
+    """(query, bin, n): scores inside each query's range of 2**span keys, in bins of 2**(span - bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                lows = np.frombuffer(row["limits"], "<i8") if row["limits"] is not None else None
+                lows = np.frombuffer(row["limits"], "<u8") if row["limits"] is not None else None
                 for quid, part, s, ok, least, _ in _tiles(row, k):
-                    low = lows[part] if lows is not None else np.full(len(quid), lowest)
-                    near = ok & (s >= np.maximum(least, low)[:, None]) & (s < (low + (1 << span))[:, None])
+                    low = lows[part] if lows is not None else np.zeros(len(quid), np.uint64)
+                    keys = _keys(s, width)
+                    near = ok & (s >= least[:, None])
+                    if span < 64:
+                        near &= keys >> np.uint64(span) == low[:, None] >> np.uint64(span)
                     r, c = np.nonzero(near)
-                    key, n = np.unique(r.astype(np.int64) << bits | (s[r, c] - low[r]) >> (span - bits), return_counts=True)
+                    bins = (keys[r, c] >> np.uint64(span - bits)).astype(np.int64) & ((1 << bits) - 1)
+                    key, n = np.unique(r.astype(np.int64) << bits | bins, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(quid[key >> bits]), pa.array(key & ((1 << bits) - 1)), pa.array(n.astype(np.int64))], names=["query", "bin", "n"])
 
     return cells.mapInArrow(run, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
-def _keep(cells: DataFrame, k: int) -> DataFrame:
+def _keep(cells: DataFrame, k: int, width: int) -> DataFrame:
     """Scores not below each query's k-th; of those equal to it in a cell the k smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                lows = np.frombuffer(row["limits"], "<i8")
+                lows = (np.frombuffer(row["limits"], "<u8") - np.uint64(1 << (width - 1))).view(np.int64)
                 for quid, part, s, ok, _, cid in _tiles(row, k):
                     low = lows[part][:, None]
                     above_r, above_c = np.nonzero(ok & (s > low))
@@ -164,20 +188,21 @@ def _keep(cells: DataFrame, k: int) -> DataFrame:
     return cells.mapInArrow(run, "query long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 1024, candidate_rows: int = 4096, salts: int = 32) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k best other rows by integer inner product."""
+def top_k(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 1024, candidate_rows: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's k best other rows by integer inner product; other columns are not read."""
     ship(__name__)
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     source = vectors.filter(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.expr(is_query).alias("q"))
     packed = scratch.write(_pack(source.select("uid", "id", "v"), candidate_rows))
     wanted = scratch.write(source.filter("q").select("uid", "id", "v"))
-    blocks = max(1, -(-wanted.count() // query_rows))
-    queries = scratch.write(_pack_queries(wanted, blocks))
+    asked = wanted.count()
+    queries = scratch.write(_pack_queries(wanted, max(1, -(-asked // query_rows))))
     names = wanted.select(F.col("uid").alias("query"), F.col("id").alias("query_id"))
-    most, packs = packed.agg(F.coalesce(F.max("bound"), F.lit(1)), F.count("*")).first()
-    salts = max(1, min(salts, packs))
-    span = int(most).bit_length() + 1  # |score| <= the largest squared norm, by Cauchy and Schwarz
-    lowest = -(1 << (span - 1))
+    most, packs = packed.agg(F.coalesce(F.max("bits"), F.lit(1)), F.count("*")).first()
+    sections = max(1, asked >> 20)
+    groups = max(1, -(-packs * candidate_rows // group_rows), min(packs, 2 * spark.sparkContext.defaultParallelism))
+    width = min(64, int(most) + 1)  # |score| <= the largest squared length, by Cauchy and Schwarz, and fits a long
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,18 +218,19 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = K, id_
                 low = np.array([x["low"] for x in sorted(items, key=lambda x: x["at"])], "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([low.tobytes()])], names=["block", "limits"])
 
-    state, limits = slots.select("query", F.lit(lowest).cast("long").alias("low"), F.lit(0).cast("long").alias("above")), None
+    # low: the smallest key of each query's range, its 64 bits as a long; above: scores over the range
+    state, limits, span = slots.select("query", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("above")), None, width
     by_bin = Window.partitionBy("query").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # 1,024 bins at most
     while span:
         bits = min(BINS, span)
-        counts = _count(_grid(queries, packed, limits, blocks, salts), k, span, bits, lowest)
+        counts = _count(_grid(queries, packed, limits, groups, sections), k, width, span, bits)
         summed = counts.join(state, "query").withColumn("upto", F.col("above") + F.sum("n").over(by_bin))
-        hit = summed.filter((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)).select("query", (F.col("low") + F.shiftleft("bin", span - bits)).alias("to"), (F.col("upto") - F.col("n")).alias("over"))
+        hit = summed.filter((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)).select("query", F.col("low").bitwiseOR(F.shiftleft("bin", span - bits)).alias("to"), (F.col("upto") - F.col("n")).alias("over"))
         state = scratch.write(state.join(hit, "query", "left").select("query", F.coalesce("to", "low").alias("low"), F.coalesce("over", "above").alias("above")))
         span -= bits
         packed_limits = slots.join(state, "query").groupBy("block").agg(F.collect_list(F.struct("at", "low")).alias("items"))
         limits = scratch.write(packed_limits.mapInArrow(pack_limits, "block long, limits binary"))
-    found = _keep(_grid(queries, packed, limits, blocks, salts), k)
+    found = _keep(_grid(queries, packed, limits, groups, sections), k, width)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.join(names, "query").select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,7 @@ def test_top_k_matches_brute_force(spark, k):
     same = [0.5] * 64
     rows += [(2000 + i, same) for i in range(60)] + [(3000, None), (3020, [1.0, None] + [0.0] * 62), (3040, [float("nan")] * 64), (3060, [float("inf")] * 64), (None, same), (4000, [1.0, 2.0]), (4001, [3.0, 1.0]), (5000, []), (5020, [1e4] * 64)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
-    got = sorted(tuple(r) for r in topk.top_k(df, k=k, query_rows=4, candidate_rows=16).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, k=k, query_rows=4, candidate_rows=16, group_rows=64).collect())
     assert got == brute_top(rows, k)
 
 
@@ -38,6 +38,21 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.limit(1)).count() == 0
 
 
+def test_top_k_large_components(spark):
+    big = [(0, [4e7, 1.0]), (20, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [-4e7, 3.0]), (40, [3e7, 3e7]), (3, [4.6e7, 0.5]), (4, [1e-320, -1e-320])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, k=3).collect()) == brute_top(big, 3)
+    wide = [(0, [1e15, 1.0]), (1, [1.0, 1e15]), (20, [1.0, 1e14]), (2, [-90.0, 5.0])]  # 65 bits by lengths; no pair overflows
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, k=2).collect()) == brute_top(wide, 2)
+
+
+@pytest.mark.parametrize("rows", [[(0, [3e7] * 64), (1, [3e7] * 64)], [(0, [1e300]), (1, [1.0])]])
+def test_top_k_overflow_is_an_error(spark, rows):
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
