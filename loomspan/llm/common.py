@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -118,6 +119,38 @@ def unblob(data: bytes) -> pa.Table:
         return r.read_all().combine_chunks()
 
 
+SLICES = "bucket long, block long, start int, keys binary, values binary"
+
+
+def sliced(block: int, keys: np.ndarray, values: np.ndarray, bits: int, first: int = 0) -> pa.RecordBatch:
+    """A block's sorted distinct 64-bit keys with a number each, cut into slices by their first `bits`.
+
+    start is the place of a slice's first key, counted from `first`.
+    """
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    to = np.append(at[1:], len(keys))
+    data = [[x[i:j].tobytes() for i, j in zip(at.tolist(), to.tolist())] for x in (keys.astype("<u8"), values.astype("<u4"))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), block)), pa.array((first + at).astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["bucket", "block", "start", "keys", "values"])
+
+
+def joined(slices: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Keys and numbers of all slices of a bucket, and where each slice starts and ends in them."""
+    keys = slices.column("keys").to_pylist()
+    edge = np.cumsum([0, *(len(x) // 8 for x in keys)]).tolist()
+    return np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(slices.column("values").to_pylist()), "<u4").astype(np.int64), edge
+
+
+def answered(slices: pa.Table, answers: np.ndarray, edge: list[int], name: str) -> pa.Table:
+    """(block, start, name): of each slice the answers to its keys, as bytes."""
+    return pa.table([slices.column("block"), slices.column("start"), pa.array([answers[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())], names=["block", "start", name])
+
+
+def bucket_bits(keys: int, bucket_keys: int, tasks: int) -> int:
+    """First bits that name a bucket: enough for `bucket_keys` each, and for the tasks."""
+    return max(-(-keys // bucket_keys), tasks, 1).bit_length()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 texts of an Arrow string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

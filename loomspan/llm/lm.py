@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, blob, chunks, ship, text_bytes, unblob
+from loomspan.llm.common import SLICES, Scratch, answered, blob, bucket_bits, chunks, joined, ship, sliced, text_bytes, unblob
 
 BACKOFF, BLOCK_BYTES, BUCKET_GRAMS = 0.4, 4 << 20, 1 << 22
 _MIX, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -99,18 +99,6 @@ class Grams:
         return np.flatnonzero((at2[self.has3] > 0) & (at2[self.has3 - 1] > 0))
 
 
-_SLICES = "bucket long, block long, start int, grams binary, ns binary"
-
-
-def _sliced(block: int, grams: np.ndarray, n: np.ndarray, bits: int, first: int = 0) -> pa.RecordBatch:
-    """Slices of sorted distinct grams by their first `bits`; start: the place of a slice's first gram, counted from `first`."""
-    bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-    at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    to = np.append(at[1:], len(grams))
-    data = [[x[i:j].tobytes() for i, j in zip(at.tolist(), to.tolist())] for x in (grams, n.astype("<u4"))]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(np.full(len(at), block)), pa.array((first + at).astype(np.int32)), *(pa.array(x, pa.binary()) for x in data)], names=["bucket", "block", "start", "grams", "ns"])
-
-
 def _filled(n: np.ndarray, back: pa.Table) -> np.ndarray:
     """Counts of a block's grams: those that came back, else the block's own."""
     out = n.astype(np.int64)
@@ -126,32 +114,25 @@ def _words_and_bigrams(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 u1, _, n1, u2, _, n2 = Grams(unblob(rows)).low()
-                yield _sliced(block, u1, n1, bits)
-                yield _sliced(block, u2, n2, bits, len(u1))
+                yield sliced(block, u1, n1, bits)
+                yield sliced(block, u2, n2, bits, len(u1))
 
-    return blocks.select("block", "rows").mapInArrow(run, _SLICES)
+    return blocks.select("block", "rows").mapInArrow(run, SLICES)
 
 
 def _counted(slices: DataFrame) -> DataFrame:
     """(block, start, c) for every slice: its grams' counts over all blocks, 0 where no other block has the gram."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams = np.frombuffer(b"".join(table.column("grams").to_pylist()), "<u8")
-        n = np.frombuffer(b"".join(table.column("ns").to_pylist()), "<u4").astype(np.int64)
+        grams, n, edge = joined(table)
         _, at = np.unique(grams, return_inverse=True)
         c = np.bincount(at, weights=n).astype(np.int64)[at]
         c[c == n] = 0
-        edge = np.cumsum([0, *(len(x) // 8 for x in table.column("grams").to_pylist())]).tolist()
-        return pa.table([table.column("block"), table.column("start"), pa.array([c[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())], names=["block", "start", "c"])
+        return answered(table, c, edge, "c")
 
     return slices.groupBy("bucket").applyInArrow(run, "block long, start int, c binary")
 
 
-def _bits(grams: int, bucket_grams: int, tasks: int) -> int:
-    """First bits that name a bucket: enough for `bucket_grams` each, and for the tasks."""
-    return max(-(-grams // bucket_grams), tasks, 1).bit_length()
-
-
 def _low_counts(grams: Grams, back: pa.Table) -> tuple:
     """Per order: counts of the distinct grams, and each position's place among them."""
     u1, at1, n1, _, at2, n2 = grams.low()
@@ -164,9 +145,9 @@ def _trigrams(blocks: DataFrame, low: DataFrame, bits: int) -> DataFrame:
         grams = Grams(unblob(own.column("rows")[0].as_py()))
         _, _, c2, at2 = _low_counts(grams, back)
         u3, n3 = np.unique(grams.three[grams.open_trigrams(grams.shared(c2, at2))], return_counts=True)
-        return pa.Table.from_batches([_sliced(key[0].as_py(), u3, n3, bits)])
+        return pa.Table.from_batches([sliced(key[0].as_py(), u3, n3, bits)])
 
-    return blocks.select("block", "rows").groupBy("block").cogroup(low.groupBy("block")).applyInArrow(run, _SLICES)
+    return blocks.select("block", "rows").groupBy("block").cogroup(low.groupBy("block")).applyInArrow(run, SLICES)
 
 
 def _scores(blocks: DataFrame, counts: DataFrame, total: int, backoff: float) -> DataFrame:
@@ -207,7 +188,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = scratch.write(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), block_bytes))
     total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     tasks = docs.sparkSession.sparkContext.defaultParallelism
-    low = scratch.write(_counted(_words_and_bigrams(blocks, _bits(2 * total, bucket_grams, tasks))))
-    high = scratch.write(_counted(_trigrams(blocks, low, _bits(total, bucket_grams, tasks))))
+    low = scratch.write(_counted(_words_and_bigrams(blocks, bucket_bits(2 * total, bucket_grams, tasks))))
+    high = scratch.write(_counted(_trigrams(blocks, low, bucket_bits(total, bucket_grams, tasks))))
     both = low.withColumn("high", F.lit(False)).union(high.withColumn("high", F.lit(True)))
     return _scores(blocks, both, total, backoff).withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))

@@ -37,19 +37,27 @@ EDGE = [
 ]
 
 
-@pytest.mark.parametrize("group_rows", [2000, 1])
-def test_removal_matches_brute_force(spark, group_rows):
+@pytest.mark.parametrize("group_bytes", [1 << 18, 3000, 1])
+def test_removal_matches_brute_force(spark, group_bytes):
     df = spark.createDataFrame(EDGE, "doc_id long, text string")
-    got = substring.remove_repeats(df, digest=True, group_rows=group_rows).collect()
+    got = substring.remove_repeats(df, digest=True, group_bytes=group_bytes, block_bytes=2000).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_removed(EDGE)
 
 
 def test_removal_on_documents(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    got = substring.remove_repeats(df, digest=True, group_rows=3).collect()
+    got = substring.remove_repeats(df, digest=True, group_bytes=2000, block_bytes=50_000).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute_removed([tuple(r) for r in df.collect()])
 
 
+def test_deep_nodes():
+    assert [*substring.deep_nodes([(b"a b c", 1, 0), (b"a b d", 2, 1)], 2)] == [(1, 2, [0, 1])]
+    assert [*substring.deep_nodes([(b"a b c", 1, 0), (b"a b d", 2, 1)], 3)] == [] == [*substring.deep_nodes([], 3)]
+    rows = [(b"x y z", 9, 0), (b"x y", 4, 1), (b"q", 1, 2), (b"x y z w", 7, 3), (b"x yz", 2, 4), (b"x y\x01", 3, 5)]
+    assert [(lo, hi, sorted(at)) for lo, hi, at in substring.deep_nodes(rows, 2)] == [(4, 9, [0, 1, 3])]
+    assert [(lo, hi, sorted(at)) for lo, hi, at in substring.deep_nodes(rows, 3)] == [(7, 9, [0, 3])]
+
+
 def test_removal_keeps_columns_and_spans(spark):
     df = spark.createDataFrame([(1, PASSAGE, "a"), (2, f"new start {PASSAGE} new end", "b")], "doc_id int, text string, n_words string").withColumnRenamed("n_words", "N_Words")
     got = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
