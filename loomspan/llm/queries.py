@@ -104,18 +104,32 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n3, 0) AS n_trigram,
 """
 
 
-def _op2_sql(rounds: int = mixing.ROUNDS, temper: dict[str, float] = mixing.TEMPER, seed: str = mixing.SEED) -> str:
-    """Raking written out: one table for each margin of each round."""
-    steps = ["""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-  CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, 'icense') OR contains(t, 'CC BY') THEN 'legal' WHEN contains(t, '@') OR contains(t, 'http') THEN 'contact'
-    WHEN length(t) < 400 THEN 'short' WHEN length(t) >= 4000 THEN 'long' ELSE 'prose' END AS topic, greatest(1, length(t) // 4) AS tokens
-  FROM (SELECT *, coalesce(text, '') AS t FROM documents))""", "c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS own, sum(tokens)::DOUBLE AS f FROM d GROUP BY ALL)"]
+def _op2_sql(rounds: int = 40, targets: tuple = mixing.TARGETS, seed: str = mixing.SEED) -> str:
+    """Raking written out: one table for each margin of each round, more rounds than the tolerance needs."""
+
+    def listed(words: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+    counts = ", ".join(f"len(list_filter(h, lambda x: list_contains({listed(terms)}, x))) AS n_{name}" for name, terms in mixing.TOPICS.items())
+    most = f"greatest({', '.join(f'n_{name}' for name in mixing.TOPICS)})"
+    choice = " ".join(f"WHEN n_{name} = {most} THEN '{name}'" for name in mixing.TOPICS)
+    every = listed(" ".join(sorted({w for terms in mixing.TOPICS.values() for w in terms.split()})))
+    steps = [
+        f"""h AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, greatest(1, length(coalesce(text, '')) // 4) AS tokens,
+  list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda x: list_contains({every}, x)) AS h FROM documents)""",
+        f"n AS (SELECT *, {counts} FROM h)",
+        f"d AS (SELECT doc_id, source, lang, tokens, CASE WHEN {most} = 0 THEN 'other' {choice} END AS topic FROM n)",
+        "c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS own, sum(tokens)::DOUBLE AS f FROM d GROUP BY ALL)",
+    ]
     for d in mixing.DIMENSIONS:
-        steps.append(f"g_{d} AS (SELECT {d}, w / sum(w) OVER () AS target FROM (SELECT {d}, pow(sum(own) / (SELECT sum(own) FROM c0), {temper[d]}) AS w FROM c0 GROUP BY {d}))")
+        rows = ", ".join(f"('{v}', {share})" for k, v, share in targets if k == d)
+        steps.append(f"""g_{d} AS (SELECT {d}, CASE WHEN asked IS NULL THEN greatest(0, 1 - sum(asked) OVER ()) * own / sum(CASE WHEN asked IS NULL THEN own END) OVER ()
+  WHEN sum(asked) OVER () > 1 OR count(*) FILTER (asked IS NULL) OVER () = 0 THEN asked / sum(asked) OVER () ELSE asked END AS target
+  FROM (SELECT {d}, sum(own) AS own FROM c0 GROUP BY {d}) LEFT JOIN (VALUES {rows}) AS v({d}, asked) USING ({d}))""")
     n = 0
     for _ in range(rounds):
         for d in mixing.DIMENSIONS:
-            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (f, target), f * target / sum(f) OVER (PARTITION BY c.{d}) AS f FROM c{n} c JOIN g_{d} USING ({d}))".replace("EXCLUDE (f, target)", "EXCLUDE (f)"))
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (f), f * target / sum(f) OVER (PARTITION BY c.{d}) AS f FROM c{n} c JOIN g_{d} USING ({d}))")
             n += 1
     last = f"p AS (SELECT source, lang, topic, f / own / max(f / own) OVER () AS probability FROM c{n})"
     digest = f"substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)"

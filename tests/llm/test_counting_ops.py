@@ -42,7 +42,7 @@ def test_top_k_large_components(spark):
     big = [(0, [4e7, 1.0]), (20, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [-4e7, 3.0]), (40, [3e7, 3e7]), (3, [4.6e7, 0.5]), (4, [1e-320, -1e-320])]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(df, k=3).collect()) == brute_top(big, 3)
-    wide = [(0, [1e15, 1.0]), (1, [1.0, 1e15]), (20, [1.0, 1e14]), (2, [-1.0, 1.0])]  # 65 bits by lengths; no pair overflows
+    wide = [(0, [1e15, 1.0]), (1, [1.0, 1e15]), (20, [1.0, 1.0]), (2, [-1.0, 1.0])]  # 65 bits by lengths; no pair overflows
     df = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(df, k=2).collect()) == brute_top(wide, 2)
 
@@ -135,7 +135,7 @@ def test_lm_on_documents(spark):
 def test_mixing_meets_given_targets(spark):
     df = spark.createDataFrame([(i, "x" * (400 + i % 7 * 100), "ab"[i % 3 == 0], ["en", "de", None][i % 4 % 3], "t%d" % (i % 2), "z") for i in range(4000)], "doc_id long, text string, source string, lang string, topic string, tokens string")
     targets = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "en", 0.4), ("lang", "de", 0.3), ("lang", "", 0.3)], "dimension string, value string, share double")
-    rows = mixing.mix(df, targets, rounds=12).collect()
+    rows = mixing.mix(df, targets).collect()
     assert len(rows) == 4000
     for column, value, share in (("source", "a", 0.5), ("lang", "en", 0.4), ("lang", None, 0.3), ("topic", "t0", 0.5)):
         weight = sum(r.tokens * r.probability for r in rows)
@@ -145,12 +145,55 @@ def test_mixing_meets_given_targets(spark):
 
 
 def test_mixing_edge_cases(spark):
-    df = spark.createDataFrame([(None, None, None, None), (1, "", "s", "en"), (1, "", "s", "en")], "doc_id long, text string, source string, lang string")
+    df = spark.createDataFrame([(None, None, None, None), (1, "", "s", "en"), (1, "", "s", "en"), (2, "x" * 3_000_000, "s", "de")], "doc_id long, text string, source string, lang string")
     rows = mixing.mix(df).collect()
-    assert len(rows) == 3 and all(0 < r.probability <= 1 for r in rows)
+    assert len(rows) == 4 and all(0 < r.probability <= 1 for r in rows) and max(r.tokens for r in rows) == 750_000
+    assert len({(r.probability, r.sampled) for r in rows if r.doc_id == 1}) == 1
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_any_column_names(spark):
+    df = spark.createDataFrame([(i, "song " * 9, "s", "en", "a", "b", "c", "d", 1) for i in range(5)], "doc_id long, text string, source string, lang string, _source string, _lang string, _topic string, Topic string, probability int")
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "text", "source", "lang", "_source", "_lang", "_topic", "topic", "tokens", "probability", "sampled"]
+    assert {(r._source, r._lang, r._topic, r.topic, r.probability) for r in got.collect()} == {("a", "b", "c", "d", 1.0)}
+
+
+def test_mixing_topics(spark):
+    texts = ["The court, a contract and the music", "Musik! film", None, "nothing known", "PRIX et vente; song", "énergie", "discount music"]
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert [r.topic for r in mixing.mix(df).orderBy("doc_id").collect()] == ["law", "arts", "other", "other", "commerce", "science", "commerce"]
+
+
+def test_mixing_matches_brute_raking(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    cells = Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.tokens
+    fitted = {c: float(n) for c, n in cells.items()}
+    for _ in range(500):
+        for at, d in enumerate(mixing.DIMENSIONS):
+            own, now = Counter(), Counter()
+            for c, n in cells.items():
+                own[c[at]] += n
+                now[c[at]] += fitted[c]
+            asked = {v: s for k, v, s in mixing.TARGETS if k == d and v in own}
+            rest = sum(n for v, n in own.items() if v not in asked)
+            scale = 1 / sum(asked.values()) if not rest else 1
+            want = {v: asked[v] * scale if v in asked else (1 - sum(asked.values())) * own[v] / rest for v in own}
+            fitted = {c: f * want[c[at]] / now[c[at]] for c, f in fitted.items()}
+    ratio = {c: fitted[c] / cells[c] for c in cells}
+    assert all(math.isclose(r.probability, ratio[r.source, r.lang, r.topic] / max(ratio.values()), rel_tol=1e-6) for r in rows)
+
+
+def test_mixing_warns_of_targets_out_of_reach(spark):
+    df = spark.createDataFrame([(1, "x", "a", "en"), (2, "x", "b", "de")], "doc_id long, text string, source string, lang string")
+    targets = spark.createDataFrame([("source", "a", 0.9), ("lang", "en", 0.1)], "dimension string, value string, share double")
+    with pytest.warns(UserWarning, match="off their targets"):
+        assert mixing.mix(df, targets, rounds=8).count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from loomspan.llm import quality
