@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from loomspan.llm.common import SLICES, Scratch, answered, blob, bucket_bits, chunks, joined, replace_columns, ship, sliced, text_bytes, unblob
 
 WINDOW, CORE, LONGER = 13, 5, 9
-GROUP_BYTES, BLOCK_BYTES, BUCKET_KEYS = 1 << 18, 2 << 20, 1 << 21
+GROUP_BYTES, BLOCK_BYTES, BUCKET_KEYS = 1 << 18, 1 << 20, 1 << 21
 _ROW_BITS, _POS_BITS, _MASK_BITS = 16, 34, 13
 _MASK = (1 << _MASK_BITS) - 1
 _MIX, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -227,13 +227,17 @@ def _subtrees(group: str, columns: list[str], solve: Callable, held_bytes: int)
 
 
 def _hits(block: np.ndarray, refs: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each block, with the windows found in it."""
     pick = np.flatnonzero(bits)
+    pick = pick[np.argsort(block[pick], kind="stable")]
     if len(pick):
-        yield pa.RecordBatch.from_arrays([pa.array(block[pick]), pa.array(refs[pick] >> _MASK_BITS << _MASK_BITS | bits[pick])], names=["block", "ref"])
+        at = np.flatnonzero(np.diff(block[pick], prepend=block[pick][0] - 1))
+        found = pa.array(refs[pick] >> _MASK_BITS << _MASK_BITS | bits[pick])
+        yield pa.RecordBatch.from_arrays([pa.array(block[pick][at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(pick)), pa.int32()), found)], names=["block", "refs"])
 
 
 def removed_windows(blocks: DataFrame, copies: DataFrame, scratch: Scratch, id_at: int, text_at: int, window: int, group_bytes: int) -> DataFrame:
-    """(block, ref) of windows that start in a document with a smaller id; ref packs row, core position and windows."""
+    """(block, refs) of windows that start in a document with a smaller id; a ref packs row, core position and windows."""
     total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = bucket_bits(total // 20, BUCKET_KEYS, blocks.sparkSession.sparkContext.defaultParallelism)  # about a key for 30 bytes
 
@@ -279,12 +283,12 @@ def removed_windows(blocks: DataFrame, copies: DataFrame, scratch: Scratch, id_a
 
     columns = ["h", "shape", "words", "lo", "docs", "refs", "block"]
     short = suffixes.filter("not long_group").select(*columns)
-    cut = short.repartition("h").sortWithinPartitions("h").mapInArrow(_subtrees("h", columns, solve, 4 << 20), "block long, ref long")
+    cut = short.repartition("h").sortWithinPartitions("h").mapInArrow(_subtrees("h", columns, solve, 4 << 20), "block long, refs array<long>")
     return cut.union(_long_groups(suffixes.filter("long_group"), scratch, window, group_bytes))
 
 
 def _long_groups(suffixes: DataFrame, scratch: Scratch, window: int, group_bytes: int) -> DataFrame:
-    """(block, ref) of the windows to remove in long groups: equal suffixes collapse, then prefixes lengthen."""
+    """(block, refs) of the windows to remove in long groups: equal suffixes collapse, then prefixes lengthen."""
     suffixes = suffixes.withColumn("key", F.md5(F.concat("words", F.encode(F.col("shape").cast("string"), "utf-8"))))
     distinct = scratch.write(suffixes.groupBy("key").agg(F.min("lo").alias("lo"), F.any_value("shape").alias("shape"), F.any_value("words").alias("words")))
 
@@ -314,7 +318,8 @@ def _long_groups(suffixes: DataFrame, scratch: Scratch, window: int, group_bytes
     none = F.lit(0).cast("long")
     each = F.transform(F.arrays_zip("docs", "refs"), lambda x: F.struct(x["refs"].alias("ref"), F.aggregate("nodes", none, lambda acc, w: acc + F.when(w["first"] < x["docs"], w["bit"]).otherwise(none)).alias("bits")))
     hit = suffixes.join(first, "key").select("block", F.explode(F.filter(each, lambda x: x["bits"] != 0)).alias("x"))
-    return hit.select("block", (F.shiftleft(F.shiftright("x.ref", _MASK_BITS), _MASK_BITS) + F.col("x.bits")).alias("ref"))
+    ref = F.shiftleft(F.shiftright("x.ref", _MASK_BITS), _MASK_BITS) + F.col("x.bits")
+    return hit.groupBy("block").agg(F.collect_list(ref).alias("refs"))
 
 
 def _covered(own: int, refs: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -348,7 +353,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = _copies(blocks, scratch)
     gone = scratch.write(removed_windows(blocks, copies, scratch, id_at, text_at, window, group_bytes))
     scratch.keep_only(blocks, copies, gone)
-    lost = gone.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.select("block", F.lit(None).cast("long").alias("ref"), "copies"))
+    lost = gone.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.select("block", F.lit(None).cast("array<long>").alias("refs"), "copies"))
     keep = [i for i in range(len(schema)) if not (digest and i == text_at)]
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), *([("kept_sha256", T.StringType())] if digest else [("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))])]
     result = T.StructType([schema[i] for i in keep] + [T.StructField(n, t) for n, t in added])
@@ -357,10 +362,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = unblob(own.column("rows")[0].as_py())
         by_row: dict[int, list[tuple[int, int]]] = {}
         late: set[int] = set()
-        for ref, copied in zip(back.column("ref").to_pylist(), back.column("copies").to_pylist()):
-            if copied is not None:
-                late.update(copied)
-            else:
+        for refs, copied in zip(back.column("refs").to_pylist(), back.column("copies").to_pylist()):
+            late.update(copied or ())
+            for ref in refs or ():
                 by_row.setdefault(ref >> (_POS_BITS + _MASK_BITS), []).append(((ref >> _MASK_BITS) & ((1 << _POS_BITS) - 1), ref & _MASK))
         n, lost, last, texts = [], [], [], rows.column(text_at).to_pylist()
         for i, text in enumerate(text_bytes(rows.column(text_at))):
