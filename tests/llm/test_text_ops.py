@@ -1,5 +1,6 @@
 """Quality rules, licences, HTML and URL filters on small fixtures and against brute force."""
 
+import math
 import re
 import time
 
@@ -35,6 +36,68 @@ def test_quality_base_counts(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def brute_measures(text):
+    """Measures by the vocabularies' own calls, word by word."""
+    import base64
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    if not hasattr(brute_measures, "models"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(quality.PAIRS), "rb"))}
+        brute_measures.models = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(quality.PIECES)), tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model, pairs = brute_measures.models
+    words = WORD.findall(text or "")
+    ids = [i for w in words for i in model.encode(w)]
+    two = [t for w in words for t in pairs.encode_ordinary(" " + w)]
+    if not words:
+        return 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0
+    chars, n = sum(map(len, words)), len(ids)
+    p = [c / n for c in Counter(ids).values()]
+    marks = sum(not model.is_byte(i) and not any(c.isalnum() for c in model.id_to_piece(i)) for i in ids)
+    singles = sum(len(b) == 1 and b[0] > 127 for b in map(pairs.decode_single_token_bytes, two))
+    return n, chars / n, sum(map(model.is_byte, ids)) / n, marks / n, -sum(x * math.log2(x) for x in p), -math.log2(max(p)), len(two), chars / len(two), singles / len(two)
+
+
+def test_quality_measures_match_brute_force(spark):
+    rows = [(1, None), (2, ""), (3, "a"), (4, "日本語 テキスト 🙂🙂 ж"), (5, "é ü\u00a0ñ # | <b>"), (6, "w " * 30_000)]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in quality.measures(df).collect():
+        got = [r[c] for c in quality.MEASURES[1:]]
+        assert got == pytest.approx(brute_measures(dict(rows)[r.doc_id]), abs=1e-9), r.doc_id
+
+
+def test_quality_rows_columns_and_bytes(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text.encode(), "en", "u", "l"), (1, text.encode(), "en", "u", "l"), (2, b"\xff\xfe bad \xc3 bytes", None, "u", "l")], "doc_id long, text binary, lang string, _usual string, _lang string")
+    df = df.withColumn("_text", F.lit("t")).withColumn("Fertility", F.lit("x")).withColumn("text", F.col("text").cast("string"))
+    got = quality.judge(df)
+    assert got.columns == ["doc_id", "text", "lang", "_usual", "_lang", "_text", *quality.BASE, *quality.MEASURES, "base_failed", "rejected_by", "kept"]
+    rows = got.collect()
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r._usual, r._lang, r._text) for r in rows) == [(1, 60, 350, "u", "l", "t"), (1, 60, 350, "u", "l", "t"), (2, 4, 11, "u", "l", "t")]
+
+
+def test_quality_medians_and_bands_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judge(docs, keep=["doc_id", "lang"]).collect()
+    for column in ("fertility", "pair_fertility"):
+        usual = {}
+        for lang in {r.lang for r in rows}:
+            x = sorted(round(1000 * r[column]) for r in rows if r.lang == lang and not r.base_failed)
+            usual[lang] = x[(len(x) - 1) // 2] / 1000
+        for r in rows:
+            low, high = quality.BANDS[r.script][:2]
+            assert (column in r.rejected_by.split(",")) == (not low <= r[column] / usual[r.lang] <= high)
+    for r in rows:
+        b = quality.BANDS[r.script]
+        want = [n for n, bad in (("byte_share", r.byte_share > b[2]), ("mark_share", r.mark_share > b[3]), ("entropy", r.entropy < b[4]), ("min_entropy", r.min_entropy < b[5])) if bad]
+        assert [n for n in r.rejected_by.split(",") if n and "fertility" not in n] == want
+        assert r.kept == (not r.base_failed and not r.rejected_by)
+
+
 def test_quality_separates_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rows = quality.judge(docs).filter("not base_failed").collect()
