@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences of bounded length, by hierarchical residual packing.
 
-Every partition cuts its documents into pieces and packs them best-fit, longest first. Bins within `slack` tokens
-of full are done; the others become items of the next round, are dealt to fewer tasks, and are packed again, and so
-on up the tree. A round's tasks hold at most `fan` items each, so no task grows with the input: when a round
-merges almost nothing (bins too full to combine), its bins are final as they are.
+Every partition cuts its documents into pieces and packs them best-fit, longest first, `fan` pieces at a time. Full bins are
+done; the others become items of the next round, are dealt to fewer tasks, and are packed again, and so on up the
+tree. A round takes only bins with room for the smallest open one, the others are final; its tasks hold `fan` items or so,
+and no task grows with the input. The rounds end when one task has held all that was left or no two bins fit together.
 
 A document is its token ids and then the end id; only documents longer than `capacity` are cut. Defined cases: null
 text is the end id alone; repeated rows are packed as rows of their own; null ids are carried through.
@@ -121,14 +121,14 @@ def _pack(keys: list, lengths: np.ndarray, capacity: int, base: int) -> tuple[np
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, used long"
 
 
-def _first_round(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
+def _first_round(docs: DataFrame, capacity: int, fan: int, path: str | None) -> DataFrame:
     """Pieces of each document with their bin in a packing of the partition; used is set on one piece of each bin."""
     ship(__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers  # noqa: F401  fails early where the vocabularies are missing
 
-        encode, rows = encoder(path), []
+        encode, rows, base = encoder(path), [], TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in chunks(batch, 1):
@@ -137,19 +137,21 @@ def _first_round(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
-        if not rows:
-            return
+                        if len(rows) == fan:
+                            out, bins = packed(rows, base)
+                            yield out
+                            rows, base = [], base + bins
+        if rows:
+            yield packed(rows, base)[0]
+
+    def packed(rows: list[tuple], base: int) -> tuple[pa.RecordBatch, int]:
         keys = [(r[0] is None, r[0] or 0, *r[1:]) for r in rows]
-        lengths = np.array([r[3] for r in rows], np.int64)
-        bin_of, offset, ids, used = _pack(keys, lengths, capacity, TaskContext.get().partitionId() << 33)
-        tokens = used[bin_of - ids[0]]
-        doc_ids, pieces, starts, _, crcs = zip(*rows)
-        for at in range(0, len(rows), 50_000):
-            to = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids[to], pa.int64()), pa.array(pieces[to], pa.int32()), pa.array(starts[to], pa.int64()), pa.array(lengths[to]), pa.array(crcs[to], pa.int64()), pa.array(bin_of[to]), pa.array(offset[to]), pa.array(np.where(offset[to] == 0, tokens[to], -1))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "used"],
-            )
+        doc_ids, pieces, starts, lengths, crcs = zip(*rows)
+        lengths = np.array(lengths, np.int64)
+        bin_of, offset, ids, used = _pack(keys, lengths, capacity, base)
+        tokens = used[bin_of - base]
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(bin_of), pa.array(offset), pa.array(np.where(offset == 0, tokens, -1))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "used"]), len(ids)
 
     return docs.mapInArrow(run, PIECES)
 
@@ -158,10 +160,10 @@ def _next_round(bins: DataFrame, capacity: int, level: int, tasks: int) -> DataF
     """Underfull bins as items: each one's new bin and offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("bin", pa.int64()), ("used", pa.int64())]))
-        if not len(got):
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        keys, lengths = got.column(0).to_pylist(), got.column(1).to_numpy()
+        keys, lengths = [k for b in got for k in b.column(0).to_pylist()], np.concatenate([b.column(1).to_numpy() for b in got])
         base = (level << 57) + (TaskContext.get().partitionId() << 33)
         bin_of, offset, ids, used = _pack(keys, lengths, capacity, base)
         tokens = used[bin_of - ids[0]]
@@ -170,24 +172,28 @@ def _next_round(bins: DataFrame, capacity: int, level: int, tasks: int) -> DataF
     return bins.repartition(tasks, F.xxhash64(F.lit(level), "bin")).mapInArrow(run, "bin long, into long, shift long, used long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: int = 8, fan: int = 50_000, vocabulary: str | None = None) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset); other input columns are not read."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, fan: int = 50_000, rounds: int = 30, vocabulary: str | None = None) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset); other input columns are not read.
+
+    Every round but the last merges bins wherever two of its items fit; `rounds` bounds their number.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    pieces = scratch.write(_first_round(source, capacity, vocabulary))
-    open_bins = scratch.write(pieces.filter((F.col("used") >= 0) & (F.col("used") < capacity - slack)).select("bin", "used"))
+    pieces = scratch.write(_first_round(source, capacity, fan, vocabulary))
+    open_bins = scratch.write(pieces.filter((F.col("used") >= 0) & (F.col("used") < capacity)).select("bin", "used"))
     maps: list[DataFrame] = []
-    tasks, left = None, open_bins.count()
-    while left > 1:
-        fewest = -(-left // fan)
-        tasks = fewest if tasks is None else max(fewest, min(tasks // 4, 1 << 20), 1)
-        moved = scratch.write(_next_round(open_bins, capacity, len(maps) + 1, tasks))
+    while len(maps) < rounds:
+        least = open_bins.agg(F.min("used")).first()[0]
+        fitting = open_bins.filter(F.col("used") <= capacity - (least or 0))
+        left = fitting.count()
+        if left < 2:
+            break
+        tasks = -(-left // fan)
+        moved = scratch.write(_next_round(fitting, capacity, len(maps) + 1, tasks))
         maps.append(moved)
-        ends = moved.filter((F.col("used") >= 0) & (F.col("used") < capacity - slack)).select(F.col("into").alias("bin"), "used")
-        after = ends.count()
-        if tasks == 1 or after > 0.98 * left or len(maps) == 30:
+        if tasks == 1:
             break
-        open_bins, left = ends, after
+        open_bins = moved.filter((F.col("used") >= 0) & (F.col("used") < capacity)).select(F.col("into").alias("bin"), "used")
     if maps:
         whole = maps[-1].select("bin", "into", "shift")
         for earlier in reversed(maps[:-1]):

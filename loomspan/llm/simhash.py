@@ -22,8 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspan.llm.common import Scratch, chunks, replace_columns, ship, text_bytes
+from loomspan.llm import jaccard
+from loomspan.llm.common import Scratch, chunks, free_name, ship, text_bytes
 from loomspan.llm.components import connected_components
 
 SEED, SHINGLE = 42, 3
@@ -43,18 +45,18 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (default all) and `_fp`, the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, name: str = "_fp") -> DataFrame:
+    """`keep` columns (default all) and `name`, the fingerprint as a signed long."""
     ship(__name__)
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "_fp"]
-    inner = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = inner.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() != name.lower()]
+    inner = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(docs, "_text")))
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, len(keep)):
                 fps = np.array([fingerprint(t) for t in text_bytes(part.column(len(keep)))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], names=[*keep, "_fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps)], names=schema.names)
 
     return inner.mapInArrow(run, schema)
 
@@ -93,17 +95,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if max_bits != 2:
         raise ValueError("blocks and midpoints are laid out for two differing bits")
     scratch = Scratch(docs.sparkSession, "simhash")
-    docs = replace_columns(docs, ["fingerprint", "component_id", "_fp", "_text"])
-    keep = [c for c in (keep or docs.columns) if c in docs.columns]
-    rows = scratch.write(with_fingerprint(docs.withColumn("_id", F.col(id_col).cast("long")), text_col, [*keep, "_id"]))
-    groups = scratch.write(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first_id")))
+    keep = [c for c in (keep if keep is not None else docs.columns) if c in docs.columns and c.lower() not in ("fingerprint", "component_id")]
+    own, fp = free_name(docs, "_id"), free_name(docs, "_fp")
+    rows = scratch.write(with_fingerprint(docs.withColumn(own, F.col(f"`{id_col}`").cast("long")), text_col, [*keep, own], fp))
+    groups = scratch.write(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(own).alias("first_id")))
     member = connected_components(_links(groups.select("fp"), max_bits, bucket), scratch)
     rooted = groups.join(member, groups.fp == member.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.write(rooted)
     named = scratch.write(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    by_fp = scratch.write(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    out = rows.join(by_fp.hint("merge"), "_fp")  # as many rows as texts: never broadcast
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = scratch.write(rooted.join(named, "root").select(F.col("fp").alias(fp), "component_id"))
+    out = rows.join(by_fp.hint("merge"), fp)  # as many rows as texts: never broadcast
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,3 +122,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
     kept = scratch.write(tagged.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row")))
     return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(i).alias(c) for c, i in at.items()])
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, linked in chains.
+
+    At that similarity two fingerprints differ in ten bits or so, too many for blocks of 64 bits to find every pair, so that
+    candidates come from prefixes of the shingle sets instead, which miss none; each is verified.
+    """
+    return jaccard.keep_one(docs, id_col, text_col)

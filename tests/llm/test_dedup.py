@@ -107,6 +107,14 @@ def test_components_match_brute_force(spark, bucket):
     assert sorted([tuple(r) for r in got], key=str) == brute_components(rows)
 
 
+def test_simhash_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "i", "f", "t", 5), (1, "a b c", "i", "f", "t", 5), (2, "x " * 300_000, "i", "f", "t", 5)], "doc_id long, text string, _id string, _fp string, _text string, Fingerprint int")
+    got = simhash.near_duplicates(df)
+    assert got.columns == ["doc_id", "text", "_id", "_fp", "_text", "fingerprint", "component_id"]
+    assert sorted((r.doc_id, r._id, r._fp, r._text, r.component_id) for r in got.collect()) == [(1, "i", "f", "t", 1), (1, "i", "f", "t", 1), (2, "i", "f", "t", 2)]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_links_are_exact_for_close_fingerprints(spark):
     fps = [0, 1, 3, 7, 15, 1 << 63 if False else -(1 << 63), 5 << 40, (5 << 40) ^ 3, (5 << 40) ^ 12, *(1 << i for i in range(3, 63))]
     df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
