@@ -1,32 +1,37 @@
 """Licence scans: matching statistics against a generalised suffix automaton of licence texts, chained into spans.
 
 Words of the lower-cased (A-Z) text are runs of letters, digits and non-ASCII characters. The automaton holds the
-word sequences of all templates; streaming a document through it gives, at each word, the longest suffix that occurs
-in some template, and its suffix links the longest one in every other template. Each template's right-maximal matches
-of at least `least` words are chained in order, allowing gaps of at most `gap` words, into covered spans; a template
-whose span covers at least `share` of it gives its label, if the span has the words that tell the label from its
-relatives (TELLING). The automaton is a fixed size and each task builds it once; documents are streamed whole.
+word sequences of all templates, notices (NOTICES) and whole licences (the files of licence_texts); streaming a document through
+it gives, at each word, the longest suffix that occurs in some template, and its suffix links the longest one in every
+other template. Each template's right-maximal matches of at least `least` words are chained in order, allowing gaps of at
+most `gap` words (three times as many in whole licences), into covered spans; a template whose span covers at least `share` of it is found. Of whole licences that
+are found in one place, which share long parts, those that cover most of it give their labels. A notice gives its
+label if the span has the words that tell the label from its relatives (TELLING). The automaton is a fixed size and each
+worker builds it once; documents are streamed whole.
 
 Base labels come from exact phrases and always stay. score is the largest share of a template covered, 1.0 with a
-base label. Defined cases: null text is empty; repeated rows are rows of their own.
+base label. Defined cases: null text is empty; repeated rows are rows of their own; input columns named like an output
+column are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import chunks, replace_columns, ship, text_bytes
+from loomspan.llm.common import chunks, free_name, ship, text_bytes
 
 LEAST, GAP, SHARE = 4, 8, 0.6
 
-# The phrases of the base labels and the template texts of the method's labels.
+# The phrases of the base labels and the notices of the method's labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TEMPLATES = (
+NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
@@ -56,6 +61,11 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "no part of this publication may be reproduced without permission all rights reserved"),
 )
+#: The whole licences, by file and label.
+TEXTS = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "GPL-2": "gpl-2", "GPL-3": "gpl-3", "LGPL-2.1": "lgpl", "LGPL-3": "lgpl", "BSD": "bsd", "ISC": "isc",
+    "MPL-2.0": "mpl-2", "CC0-1.0": "cc0", "Unlicense": "unlicense", "Zlib": "zlib", "Artistic": "artistic", "GFDL-1.3": "gfdl",
+}
 #: Of each label: phrases of which a span must have one, and those that must not be in it or the two words after it.
 TELLING = {
     "apache-2": (("version 2",), ()),
@@ -76,6 +86,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def whole_licences() -> tuple[tuple[str, str], ...]:
+    """(label, words) of each whole licence."""
+    folder = files("loomspan.llm") / "licence_texts"
+    return tuple((label, b" ".join(words_of((folder / f"{name}.txt").read_bytes())).decode()) for name, label in TEXTS.items())
+
+
+#: Notices first, then whole licences.
+TEMPLATES = NOTICES + whole_licences()
+
+
 class Automaton:
     """Generalised suffix automaton over word sequences; every state knows where its matches end in each template."""
 
@@ -179,15 +199,18 @@ class Automaton:
                 end += 1
             if end - at >= least:
                 for last, length, state, t in self.own_matches(words, at, end, least):
-                    for stop in self.stops[state][t]:
-                        first, old = last - length + 1, open_chains.get(t)
-                        if old and first - old[1] <= gap and stop > old[2]:
-                            fresh = min(last + 1 - max(first, old[1]), stop - old[2])
-                            open_chains[t] = (old[0], last + 1, stop, old[3] + max(0, fresh))
-                        elif not old or length > old[3] or first - old[1] > gap:
-                            if old:
-                                done.append((t, old[0], old[1], old[3]))
-                            open_chains[t] = (first, last + 1, stop, length)
+                    stops, first, old = self.stops[state][t], last - length + 1, open_chains.get(t)
+                    near = gap if t < len(NOTICES) else 3 * gap
+                    if old and first - old[1] <= near and stops[-1] > old[2]:
+                        stop = stops[bisect_right(stops, old[2])]  # the nearest place behind the chain
+                        if stop - old[2] > last + 1 - old[1] + 3 * near and length < near:
+                            continue  # a phrase of a later part
+                        fresh = min(last + 1 - max(first, old[1]), stop - old[2])
+                        open_chains[t] = (old[0], last + 1, stop, old[3] + max(0, fresh))
+                    elif not old or length > old[3] or first - old[1] > near:
+                        if old:
+                            done.append((t, old[0], old[1], old[3]))
+                        open_chains[t] = (first, last + 1, stops[0], length)
             at = end
         done += [(t, c[0], c[1], c[3]) for t, c in open_chains.items()]
         return [(t, a, b, min(1.0, n / len(self.templates[t][1]))) for t, a, b, n in done]
@@ -223,23 +246,39 @@ def scan_text(text: bytes, templates: tuple = TEMPLATES, phrases: dict[str, str]
         hits = [i - off for i, w in enumerate(words) if w == rare and i >= off and words[i - off : i - off + n] == seq]
         places += hits
         base |= {label} if hits else set()
-    found = [s for s in automaton(templates).spans(words) if s[3] >= share and _tells(templates[s[0]][0], words, s[1], s[2])]
+    found = [s for s in automaton(templates).spans(words) if s[3] >= share]
+    notices = [s for s in found if s[0] < len(NOTICES) and _tells(templates[s[0]][0], words, s[1], s[2])]
+    whole = _leading([s for s in found if s[0] >= len(NOTICES)], templates)
+    # a paragraph that licences share is not a notice of another one inside a whole licence
+    found = whole + [n for n in notices if not any(w[1] <= n[1] and n[2] <= w[2] and templates[w[0]][0] != templates[n[0]][0] for w in whole)]
     labels = base | {templates[s[0]][0] for s in found}
     score = 1.0 if base else max((s[3] for s in found), default=0.0)
     spans = [{"label": templates[t][0], "first": a, "end": b, "share": c} for t, a, b, c in sorted(found, key=lambda s: s[1:3])]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score), spans
 
 
+def _leading(found: list[tuple], templates: tuple) -> list[tuple]:
+    """Whole licences without those of which another one covers more words, in a span that overlaps half of theirs."""
+    covered = {s: s[3] * len(templates[s[0]][1].split()) for s in found}
+    ranked, out = sorted(found, key=lambda s: (-covered[s], s)), []
+    for s in ranked:
+        if not any(2 * (min(s[2], o[2]) - max(s[1], o[1])) > s[2] - s[1] and templates[o[0]][0] != templates[s[0]][0] for o in out):
+            out.append(s)
+    return out
+
+
 NEW = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,end:long,share:double>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE) -> DataFrame:
-    """`keep` columns (default: all but the text) with the scan's columns; input columns of these names are replaced."""
+    """`keep` columns (default: all but the text) with the scan's columns; input columns of these names are replaced.
+
+    The first len(NOTICES) templates are notices, the others whole licences.
+    """
     ship(__name__)
     new = T.StructType.fromDDL(NEW)
-    docs = replace_columns(docs, [*new.names, "_text"]) if text_col.lower() not in new.names else docs
-    keep = [c for c in (keep if keep is not None else docs.columns) if c in docs.columns and c != text_col]
-    inner = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
+    keep = [c for c in (keep if keep is not None else docs.columns) if c in docs.columns and c != text_col and c.lower() not in new.names]
+    inner = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(free_name(docs, "_text")))
     schema = T.StructType([*inner.schema.fields[:-1], *new.fields])
     span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), span]

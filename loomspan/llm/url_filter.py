@@ -18,32 +18,41 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import replace_columns
+from loomspan.llm.common import free_name, replace_columns
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS, SIZES, MAX_LABELLED = 1 << 13, (3, 4), 10_000
 
-# The labelled URL table, unwanted hosts first.
+# Names of which the labelled URL table is made by rule; unwanted sites first.
 UNWANTED = (
-    "spam-farm.example.org/en/12", "www.spam-king.example.com/", "spamlinks.example.net/fr/4", "mail-spam.test/offer",
-    "cheap-pills.example.com/en/9", "www.cheap-meds.example.org/buy", "pills-online.test/shop", "discount-pills.example.net/de/3",
-    "casino-win.example.org/en/7", "www.bigcasino.example.com/play", "casino-bonus.test/", "vegas-casino.example.net/es/21",
-    "ads-track.example.org/en/44", "ad-track.example.com/click", "track-ads.test/pixel", "adserver-track.example.net/fr/8",
-    "free-bets.example.com/en/5", "www.best-bets.example.org/odds", "sport-bets.test/", "freebets-now.example.net/de/17",
-    "hot-loans.example.com/apply", "payday-loans.test/", "free-prizes.example.org/win", "win-bonus.example.net/claim",
-    "poker-win.example.com/en/31", "slots-win.test/play", "adult-cams.example.org/", "xxx-video.example.com/en/2",
-    "viagra-shop.test/", "replica-watches.example.net/buy", "click-farm.example.org/en/90", "link-farm.example.com/fr/15",
-)
+    "spam scam phish casino poker slots betting bets jackpot lottery loans payday credit pills meds viagra cialis pharmacy replica rolex adult porn xxx "
+    "cams escort dating ads adserver banner tracker track clicks pixel popup malware warez torrent seo backlinks linkfarm farm prizes bonus free win cheap discount"
+).split()
 WANTED = (
-    "www.thering.example.com/en/12", "blog.ththan.example.org/fr/3", "m.therou.example.com/en/474", "ththre.example.com/fr/825",
-    "therha.example.org/en/676", "www.ththen.example.com/en/148", "blog.tiontion.example.com/es/853", "thther.example.org/de/9",
-    "docs.example.org/en/guide/2", "www.university.example.com/library", "news.example.com/en/2020/5", "wiki.example.org/es/7",
-    "blog.travel.example.com/en/81", "www.museum.example.org/fr/4", "m.weather.example.com/de/66", "www.school.test/en/about",
-    "recipes.test/en/soup", "www.history.example.org/en/17", "shop.books.example.com/en/5", "forum.garden.example.org/de/12",
-    "www.science.test/papers/8", "blog.music.example.com/en/33", "m.city.example.org/en/council", "archive.example.com/fr/901",
-    "www.ththble.example.org/es/797", "thertion.example.org/es/978", "www.therer.example.com/en/814", "blog.theres.example.com/en/519",
-    "stories.test/en/44", "www.hospital.example.org/en/visit", "maps.example.com/de/3", "www.code.test/en/project/6",
-)
+    "news wiki docs library museum university school science history music travel weather garden recipes hospital health research archive forum blog journal "
+    "press city council sport books film art maps code project education family nature energy culture theatre radio gallery market bank post review magazine"
+).split()
+_SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo yu zan mer lin dor".split()
+_PATHS = ("", "/", "/en/12", "/fr/803", "/about", "/2020/5", "/index.html", "/p/77")
+_ENDS = ("example.com", "example.org", "example.net", "test")
+
+
+def _urls(n: int, host: Callable[[int], str]) -> list[str]:
+    front = ("", "www.", "", "m.", "blog.")
+    return [f"{('http', 'https')[i % 2]}://{front[i % 5]}{host(i)}.{_ENDS[i // 2 % 4]}{_PATHS[i // 3 % 8]}" for i in range(n)]
+
+
+def labelled_rows(n: int = 300) -> list[tuple[str, float]]:
+    """(url, label): n unwanted sites of two unwanted names, n wanted ones of two wanted names, and n of invented syllables."""
+
+    def pair(names: list[str], i: int) -> str:
+        return names[i % len(names)] + ("-", "")[i // len(names) % 2] + names[(i * 7 + i // len(names) + 3) % len(names)]
+
+    def invented(i: int) -> str:
+        return "".join(_SYLLABLES[(i * 5 + k * (i // 24 + 7)) % len(_SYLLABLES)] for k in range(2 + i % 3))
+
+    bad = _urls(n, lambda i: pair(UNWANTED, i))
+    return [(u, 1.0) for u in bad] + [(u, 0.0) for u in _urls(n, lambda i: pair(WANTED, i)) + _urls(n, invented)]
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -67,43 +76,45 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
 
 
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """Character n-grams of host and path, marked with their part."""
+    """Character n-grams of host and path, marked with their part; a scan each, whatever the length."""
     out = []
     for mark, text in (("h", host), ("p", path)):
         framed = F.concat(F.lit("^"), text, F.lit("$"))
         for n in sizes:
-            at = F.sequence(F.lit(1), F.char_length(framed) - (n - 1))
-            out.append(F.when(F.char_length(framed) >= n, F.transform(at, _gram(mark, framed, n))).otherwise(F.array().cast("array<string>")))
+            every = F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+            out.append(F.transform(every, _marked(mark)))
     return F.concat(*out)
 
 
-def _gram(mark: str, text: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))
+def _marked(mark: str) -> Callable[[Column], Column]:
+    return lambda x: F.concat(F.lit(mark), x)
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    rows = [(f"http://{u}", 1.0) for u in UNWANTED] + [(f"http://{u}", 0.0) for u in WANTED]
-    return spark.createDataFrame(rows, "url string, label double")
+    return spark.createDataFrame(labelled_rows(), "url string, label double")
 
 
 def train(table: DataFrame, max_labelled: int = MAX_LABELLED) -> LogisticRegressionModel:
     """A ridge-penalised logistic regression on at most max_labelled rows (ordered by url) of (url, label)."""
     rows = table.filter("url IS NOT NULL AND label IS NOT NULL").orderBy("url", "label").limit(max_labelled).coalesce(1)
-    data = _hashed(rows.withColumn("grams", grams(*parts("url"))))
+    data = _hashed(rows.withColumn("grams", grams(*parts("url"))), "grams", "features")
     return LogisticRegression(regParam=0.01, maxIter=50, featuresCol="features", labelCol="label").fit(data)
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features").transform(df)
+def _hashed(df: DataFrame, grams_col: str, features_col: str) -> DataFrame:
+    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol=grams_col, outputCol=features_col).transform(df)
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, table: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """All input rows with host, path, rule, verdict and unwanted (the model's probability); such input columns are replaced."""
     model = train(table if table is not None else labelled(pages.sparkSession))
-    pages = replace_columns(pages, ["host", "path", "rule", "verdict", "unwanted", "grams", "features", "rawPrediction", "probability", "prediction", "_hit"])
-    host, path = parts(url_col)
+    url, gram, feature, odds, hit = (free_name(pages, n) for n in ("_url", "_grams", "_features", "_odds", "_hit"))
+    pages = pages.withColumn(url, F.col(f"`{url_col}`").cast("string"))
+    pages = replace_columns(pages, ["host", "path", "rule", "verdict", "unwanted"])
+    host, path = parts(url)
     rows = pages.withColumns({"host": host, "path": path})
-    rows = rows.withColumns({"_hit": rule_for(F.col("host"), F.col("path"), rules), "grams": grams(F.col("host"), F.col("path"))})
-    scored = model.transform(_hashed(rows)).withColumn("unwanted", vector_to_array("probability")[1])
-    verdict = F.coalesce(F.col("_hit.verdict"), F.when(F.col("unwanted") >= threshold, "block").otherwise("allow"))
-    return scored.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("_hit.rule").alias("rule"), verdict.alias("verdict"), "unwanted")
+    rows = rows.withColumns({hit: rule_for(F.col("host"), F.col("path"), rules), gram: grams(F.col("host"), F.col("path"))})
+    model = model.setFeaturesCol(feature).setProbabilityCol(odds).setRawPredictionCol("").setPredictionCol("")
+    scored = model.transform(_hashed(rows, gram, feature)).withColumn("unwanted", vector_to_array(odds)[1])
+    verdict = F.coalesce(F.col(f"{hit}.verdict"), F.when(F.col("unwanted") >= threshold, "block").otherwise("allow"))
+    return scored.select(*[F.col(f"`{c}`") for c in pages.columns if c != url], "host", "path", F.col(f"{hit}.rule").alias("rule"), verdict.alias("verdict"), "unwanted")

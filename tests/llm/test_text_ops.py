@@ -148,8 +148,8 @@ def test_license_method_labels():
 
 
 def test_license_own_matches_against_brute_force():
-    a = licenses.automaton()
-    text = " ".join(x for _, x in licenses.TEMPLATES[::3]).replace("version 3", "version 2").encode().split()
+    a = licenses.automaton(licenses.NOTICES)
+    text = " ".join(x for _, x in licenses.NOTICES[::3]).replace("version 3", "version 2").encode().split()
 
     def longest(t, i):
         own = a.templates[t][1]
@@ -186,6 +186,28 @@ def test_license_versions_and_relatives(text, labels):
     assert licenses.scan_text(text.encode())[5] == labels
 
 
+@pytest.mark.parametrize("at", range(len(licenses.TEXTS)))
+def test_license_whole_texts(at):
+    label, text = licenses.TEMPLATES[len(licenses.NOTICES) + at]
+    words = text.split()
+    edited = [w for i, w in enumerate(words) if i % 29 != 11]  # a word in 29 is missing
+    for version in (words, edited):
+        got = licenses.scan_text(" ".join(["some", "words", "before", *version, "and", "after"]).encode())
+        assert got[5] == label and got[6] > 0.9
+        spans = [s for s in got[7] if s["end"] - s["first"] > 0.9 * len(version)]
+        assert spans and all(s["first"] <= 12 and s["label"] == label for s in spans)
+    assert licenses.scan_text(" ".join(sorted(words)).encode())[5] == ""
+
+
+def test_license_rows_and_columns(spark):
+    mit = licenses.TEMPLATES[len(licenses.NOTICES)][1]
+    rows = [(1, mit, "x", 1), (1, mit, "x", 1), (2, None, "x", 1), (3, "no " * 400_000 + mit, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, Score int")
+    got = licenses.scan(df)
+    assert got.columns == ["doc_id", "_text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+    assert sorted((r.doc_id, r._text, r.labels, r.score) for r in got.collect()) == [(1, "x", "mit", 1.0), (1, "x", "mit", 1.0), (2, "x", "", 0.0), (3, "x", "mit", 1.0)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><a href=/>Home</a></header><nav><ul><li><a href="/a">alpha</a></li><li><a href="/b">beta</a></ul></nav>
 <div class="cookie-notice">We use cookies to improve this site and for many other reasons that we explain at length here.</div>
@@ -334,8 +356,24 @@ def test_url_rules(spark):
 
 
 def test_url_model_on_held_out_hosts(spark):
-    bad = ["http://www.casino-palace.example.org/x", "http://cheap-drugs-pills.example.com/", "http://spam-net.example.org/en/1", "http://track-ads.example.com/9"]
-    good = ["http://www.thinor.example.org/en/3", "http://blog.reads.example.com/en/8", "http://m.library.example.org/de/2", "http://docs.spark.example.com/fr/7"]
+    bad = ["http://www.casino-palace.example.org/x", "http://cheap-drugs-pills.example.com/", "http://spam-net.example.org/en/1", "http://track-ads.example.com/9", "http://m.adult-x.example.net/", "http://free-bets.example.com/es/4"]
+    good = ["http://www.thinor.example.org/en/3", "http://blog.reads.example.com/en/8", "http://m.library.example.org/de/2", "http://docs.spark.example.com/fr/7", "http://ththat.example.net/en/1", "http://tionble.example.org/"]
     df = spark.createDataFrame([(u,) for u in bad + good], "url string")
-    got = {r.url: r.unwanted for r in url_filter.judge(df).collect()}
-    assert min(got[u] for u in bad) > max(got[u] for u in good)
+    got = {r.url: (r.unwanted, r.verdict) for r in url_filter.judge(df, rules=(("none.invalid/", "allow"),)).collect()}
+    assert {u: got[u][1] for u in bad} == dict.fromkeys(bad, "block") and {u: got[u][1] for u in good} == dict.fromkeys(good, "allow"), got
+
+
+def test_url_labelled_table():
+    rows = url_filter.labelled_rows()
+    assert len(rows) == 900 <= url_filter.MAX_LABELLED and len({u for u, _ in rows}) > 850
+    assert not {u for u, y in rows if y} & {u for u, y in rows if not y}
+
+
+def test_url_rows_columns_and_length(spark):
+    rows = [(1, "http://a.test/", "g", "f", 1), (1, "http://a.test/", "g", "f", 1), (2, "http://a.test/" + "é" * 200_000, "g", "f", 1), (3, None, "g", "f", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, grams string, features string, Host int").withColumn("probability", F.lit("p"))
+    began = time.time()
+    got = url_filter.judge(df)
+    assert got.columns == ["page_id", "url", "grams", "features", "probability", "host", "path", "rule", "verdict", "unwanted"]
+    assert sorted((r.page_id, r.host, len(r.path), r.grams, r.features, r.probability) for r in got.collect()) == [(1, "a.test", 1, "g", "f", "p")] * 2 + [(2, "a.test", 200_001, "g", "f", "p"), (3, "", 0, "g", "f", "p")]
+    assert time.time() - began < 60 and url_filter.judge(df.limit(0)).count() == 0
