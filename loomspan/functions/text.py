@@ -98,10 +98,11 @@ def impact(text: Column) -> Column:
 
 
 def memory_bucket(text: Column) -> Column:
-    """Struct (bucket, confidence): the first pattern of each bucket counts; a later bucket wins only if higher."""
+    """Struct (confidence, order, bucket): the first pattern of each bucket counts; a later bucket wins only if higher."""
     found = [F.struct(F.coalesce(first_of([(has(text, p), c) for p, c in patterns]), F.lit(0.0)).alias("confidence"), F.lit(-i).alias("order"), F.lit(name).alias("bucket")) for i, (name, patterns) in enumerate(rules.BUCKETS, 1)]
     best = F.greatest(F.struct(F.lit(0.60).alias("confidence"), F.lit(0).alias("order"), F.lit("FACTS").alias("bucket")), *found)
-    return F.when(F.trim(text) == "", F.struct(F.lit("FACTS").alias("bucket"), F.lit(0.50).alias("confidence"))).otherwise(F.struct(best["bucket"].alias("bucket"), best["confidence"].alias("confidence")))
+    blank = F.struct(F.lit(0.50).alias("confidence"), F.lit(0).alias("order"), F.lit("FACTS").alias("bucket"))
+    return F.when(F.trim(text) == "", blank).otherwise(best)
 
 
 def name_type(name: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,15 @@ def leaf_ranges(turns: DataFrame, tokens: int = 2000, tail: int = 20) -> DataFra
 
     out = fold(turns, ["session_id"], ["turn_index"], ["token_est"], start, step)
     return out.select("session_id", F.explode("state.done").alias("r"), F.col("state.last").alias("last")).filter(F.col("r.e") < F.col("last") - tail).select("session_id", F.col("r.s").alias("turn_start"), F.col("r.e").alias("turn_end"))
+
+
+def rollups(nodes: DataFrame, fan_in: int = 4, depths: int = 4) -> DataFrame:
+    """(session_id, depth, turn_start, turn_end): every `fan_in` nodes of a depth, in order, make one of the next; the rest stay orphans."""
+    out, at = None, nodes.select("session_id", "turn_start", "turn_end")
+    for depth in range(1, depths + 1):
+        place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_start")) - 1
+        full = at.withColumn("g", F.floor(place / fan_in)).groupBy("session_id", "g").agg(F.min("turn_start").alias("turn_start"), F.max("turn_end").alias("turn_end"), F.count("*").alias("n")).filter(F.col("n") == fan_in)
+        at = full.select("session_id", "turn_start", "turn_end")
+        level = at.select("session_id", F.lit(depth).alias("depth"), "turn_start", "turn_end")
+        out = level if out is None else out.union(level)
+    return out

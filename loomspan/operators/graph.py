@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.streaming.runs import shared_folder
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, ...): each edge from both ends."""
@@ -28,14 +30,38 @@ def qualified(edges: DataFrame, alive: float = 0.1, degree: int = 2) -> DataFram
 
 
 def propagate(adjacency: DataFrame, rounds: int = 3) -> DataFrame:
-    """(node, label) after synchronous weighted label rounds: own label on a tie, then the smallest."""
-    labels = adjacency.select("node").distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    """(node, label) after synchronous weighted label rounds: own label on a tie, then the smallest.
+
+    The adjacency and each round's labels are written once. Rounds end early when the labels stay, or swing between two
+    states: which of the two the last round would leave is then known.
+    """
+    spark, folder = adjacency.sparkSession, shared_folder(adjacency.sparkSession, "labels")
+    at = 0
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal at
+        at += 1
+        df.write.parquet(f"{folder}/{at}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{at}")
+
+    adjacency = written(adjacency)
+    labels = written(adjacency.select("node").distinct().select("node", F.col("node").alias("label"), F.col("node").alias("before"), F.lit(None).cast("string").alias("two_before")))
+    for done in range(1, rounds + 1):
         votes = adjacency.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("votes"))
-        ranked = votes.join(labels.withColumnRenamed("label", "own"), "node")
+        ranked = votes.join(labels.select("node", F.col("label").alias("own"), "before"), "node")
         best = Window.partitionBy("node").orderBy(F.desc("votes"), (F.col("label") != F.col("own")), "label")
-        labels = ranked.withColumn("r", F.row_number().over(best)).filter("r = 1").select("node", "label")
-    return labels
+        labels = written(ranked.withColumn("r", F.row_number().over(best)).filter("r = 1").select("node", "label", F.col("own").alias("before"), F.col("before").alias("two_before")))
+        moved, swung = labels.agg(F.count_if(F.col("label") != F.col("before")), F.count_if(F.col("label") != F.col("two_before"))).first()
+        if not moved:
+            break
+        if not swung and done > 1:
+            return labels.select("node", F.col("label" if (rounds - done) % 2 == 0 else "before").alias("label"))
+    return labels.select("node", "label")
+
+
+def clusters(labels: DataFrame, least: int = 3) -> DataFrame:
+    """(node, label) of the labels that `least` nodes or more have."""
+    return labels.join(labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label"), "label").select("node", "label")
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:

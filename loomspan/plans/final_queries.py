@@ -19,12 +19,13 @@ from loomspan.streaming import detectors, runs
 c = F.col
 
 
-@query("s5_file_discovery")
+@query("s5_file_discovery", "SELECT 'documents.parquet' AS file, 1 AS place, count(*) AS n FROM documents")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the documents table with their times and rows, newest first."""
-    d = views.table(spark, sf_dir, "documents").select("doc_id", c("_metadata.file_name").alias("file"), c("_metadata.file_modification_time").alias("modified"), c("_metadata.file_size").alias("size"))
-    files = d.groupBy("file", "modified", "size").agg(F.count("*").alias("n"))
-    return files.filter(~F.contains("file", F.lit("/subagents/"))).orderBy(F.desc("modified"), "file")
+    """Files of the documents table and their rows, newest first, none of other agents."""
+    d = views.table(spark, sf_dir, "documents").select(c("_metadata.file_name").alias("file"), c("_metadata.file_path").alias("path"), c("_metadata.file_modification_time").alias("modified"))
+    files = d.filter(~F.contains("path", F.lit("/subagents/"))).groupBy("file", "modified").agg(F.count("*").alias("n"))
+    newest = files.orderBy(F.desc("modified"), "file").limit(1000)
+    return newest.select("file", F.row_number().over(Window.orderBy(F.desc("modified"), "file")).alias("place"), "n")
 
 
 @query("s7_markdown_sessions", """WITH l AS (SELECT doc_id, pos, ls[pos] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split('user: q' || chr(10) || 'assistant: ' || replace(text, '. ', '.' || chr(10) || 'user: x' || chr(10) || 'assistant: '), chr(10)) AS ls FROM documents)))
@@ -92,12 +93,17 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("session_id", "turn_index", F.substring(fact, 1, 400).alias("fact"))
 
 
-@query("j18_near_duplicate_guard", sql("docs", f"SELECT doc_id FROM docs WHERE doc_id NOT IN (SELECT new FROM (SELECT b.doc_id AS new, count(*) / least(len(a.w), len(b.w))::DOUBLE AS ratio FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.topic = b.topic AND a.x = b.x AND a.doc_id < b.doc_id WHERE len(a.w) >= 3 AND len(b.w) >= 3 AND a.text != b.text GROUP BY a.doc_id, b.doc_id, len(a.w), len(b.w)) WHERE ratio > 0.85)", f=_FW))
+_NEAR = "SELECT b.doc_id AS new, count(*) / least(len(a.w), len(b.w))::DOUBLE AS ratio FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.x = b.x AND a.doc_id < b.doc_id WHERE len(a.w) >= 3 AND len(b.w) >= 3 AND a.text != b.text GROUP BY a.doc_id, b.doc_id, len(a.w), len(b.w)"
+
+
+@query("j18_near_duplicate_guard", sql("docs", f"SELECT doc_id FROM docs WHERE doc_id NOT IN (SELECT new FROM ({_NEAR}) WHERE ratio > 0.85) AND doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS lo FROM docs) WHERE lo < doc_id)", f=_FW))
 def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.docs(spark, sf_dir)
-    f = d.select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), "text", text.word_set(F.substring("text", 1, 300)).alias("w"))
+    """Documents that no earlier one equals or nearly equals, whatever their topics."""
+    d = views.docs(spark, sf_dir).select("doc_id", "text", F.md5("text").alias("digest"))
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    f = d.join(first, ["digest", "doc_id"], "left_semi").select("doc_id", F.lit("").alias("topic"), c("digest").alias("text"), text.word_set(c("text")).alias("w"))
     late = knowledge.invalidations(f, 0.85).select(c("new").alias("doc_id"))
-    return d.select("doc_id").join(late, "doc_id", "left_anti")
+    return first.select("doc_id").join(late, "doc_id", "left_anti")
 
 
 _TERMS = "SELECT session_id AS id, term, count(*) AS tf FROM (SELECT session_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS term FROM turns) GROUP BY ALL"
@@ -112,6 +118,20 @@ def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(t, "turns").union(out(d, "documents"))
 
 
+_RANKED = "SELECT '{0}' AS place, query_id AS term, CAST(id AS VARCHAR) AS id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM (SELECT term AS query_id, id, tf * ln(1.0 + n::DOUBLE / count(*) OVER (PARTITION BY term)) AS score FROM {1}, (SELECT count(*) AS n FROM {2}) WHERE term IN ('the', 'la', 'der'))) WHERE r <= {3}"
+
+
+@query("r4_grep_ranked", sql("turns", _RANKED.format("turns", "ix", "(SELECT DISTINCT session_id FROM turns)", 10) + " UNION ALL " + _RANKED.format("files", "dx", "big", 5), ix=_TERMS, big="SELECT * FROM documents WHERE length(text) > 2000", dx="SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM big) GROUP BY ALL"))
+def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each term the ten best sessions and the five best diverted files."""
+    asked = spark.createDataFrame([(t, t) for t in ("the", "la", "der")], "query_id string, term string")
+    t, d = views.turns(spark, sf_dir), views.table(spark, sf_dir, "documents").filter(F.char_length("text") > 2000)
+    turns = rank.search(rank.inverted_index(t, "session_id", "content", asked), asked, t.select("session_id").distinct().count(), True, 10)
+    files = rank.search(rank.inverted_index(d, "doc_id", "text", asked), asked, d.count(), True, 5)
+    out = lambda x, place: x.select(F.lit(place).alias("place"), c("query_id").alias("term"), c("id").cast("string").alias("id"), "rank", F.round("score", 6).alias("score"))
+    return out(turns, "turns").union(out(files, "files"))
+
+
 @query("r10_rerank_strategies", sql("retrievals", "SELECT 'mmr' AS strategy, session_id, turn_index, CAST(rank AS INTEGER) AS rank, id FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) UNION ALL SELECT 'salience', session_id, turn_index, CAST(pos AS INTEGER), id FROM cand WHERE pos <= 3 UNION ALL SELECT 'rrf', session_id, turn_index, CAST(row_number() OVER (PARTITION BY session_id, turn_index ORDER BY round(1.0 / (60 + pos) + 1.0 / (60 + b), 9) DESC, pos) AS INTEGER), id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index ORDER BY id) AS b FROM cand)", **_mmr_sql()))
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["session_id", "turn_index"]
@@ -152,6 +172,19 @@ def r24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pat.orderBy(rate, F.desc("evidence"), "brand").limit(10).select("brand", "evidence", "challenges", F.round(rate, 6).alias("rate"))
 
 
+@query("r24_pattern_match", f"WITH p AS ({_PAT}), s AS (SELECT p_brand AS brand, 'S' || l_suppkey AS s, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), e AS (SELECT brand FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, s) AS r FROM s) WHERE r <= 5 AND s IN ('S7', 'S11', 'S23')) SELECT brand, way, evidence, challenges FROM (SELECT brand, CASE WHEN brand IN (SELECT brand FROM e) THEN 'entity' ELSE 'text' END AS way, evidence, challenges FROM p WHERE brand IN (SELECT brand FROM e) OR contains(brand, '2')) ORDER BY way, evidence DESC, brand LIMIT 10")
+def r24_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that name an asked entity among their five most frequent, then those whose text matches; each once, ten in all."""
+    li, p, o = (views.table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    both = li.select("l_orderkey", "l_partkey", "l_suppkey").join(p.select("p_partkey", c("p_brand").alias("brand")), c("l_partkey") == c("p_partkey")).join(o.select("o_orderkey", "o_orderstatus"), c("l_orderkey") == c("o_orderkey"))
+    pat = both.groupBy("brand").agg(F.countDistinct("o_orderkey").alias("evidence"), F.countDistinct(F.when(c("o_orderstatus") != "F", c("o_orderkey"))).alias("challenges"))
+    often = both.groupBy("brand", F.concat(F.lit("S"), "l_suppkey").alias("s")).agg(F.count("*").alias("n"))
+    top = often.withColumn("r", F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("n"), "s"))).filter("r <= 5")
+    named = top.filter(c("s").isin("S7", "S11", "S23")).select("brand").distinct().withColumn("named", F.lit(True))
+    found = pat.join(named, "brand", "left").filter(c("named").isNotNull() | F.contains("brand", F.lit("2")))
+    return found.select("brand", F.when(c("named"), "entity").otherwise("text").alias("way"), "evidence", "challenges").orderBy("way", F.desc("evidence"), "brand").limit(10)
+
+
 @query("r30_episode_load", sql("turns", "SELECT session_id, 'title ' || session_id AS title, conv_id % 4 != 0 AS has_chain FROM turns WHERE turn_index = 0 AND conv_id % 3 != 0"))
 def r30(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.turns(spark, sf_dir).filter("turn_index = 0")
@@ -180,19 +213,17 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(views.edges(spark, sf_dir), "source").groupBy(c("source").alias("node"), "kind").agg(F.bool_or(c("predicate") == "RUNS_ON").alias("confirmed"))
 
 
-_LINKS = "SELECT old, min(new) AS new FROM (SELECT a.doc_id AS old, b.doc_id AS new, count(*) / least(len(a.w), len(b.w))::DOUBLE AS ratio FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.topic = b.topic AND a.x = b.x AND a.doc_id < b.doc_id WHERE a.text != b.text AND len(a.w) >= 3 AND len(b.w) >= 3 GROUP BY a.doc_id, b.doc_id, len(a.w), len(b.w)) WHERE ratio > 0.6 GROUP BY old"
+_LINKS = "SELECT a.doc_id AS old, b.doc_id AS new FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.topic = b.topic AND a.x = b.x AND a.doc_id < b.doc_id WHERE a.text != b.text AND len(a.w) >= 3 AND len(b.w) >= 3 GROUP BY a.doc_id, b.doc_id, len(a.w), len(b.w) HAVING count(*) / least(len(a.w), len(b.w))::DOUBLE > 0.6"
+_WALK = "SELECT old AS start, new AS node, 1 AS d FROM lk UNION SELECT w.start, lk.new, w.d + 1 FROM {0} w JOIN lk ON lk.old = w.node WHERE w.d < 3"
 
 
-@query("g14_fact_chains", sql("docs", "SELECT old AS start, new AS node, 1 AS depth FROM lk UNION ALL SELECT a.old, b.new, 2 FROM lk a JOIN lk b ON b.old = a.new UNION ALL SELECT a.old, d.new, 3 FROM lk a JOIN lk b ON b.old = a.new JOIN lk d ON d.old = b.new", f=_FW, lk=_LINKS))
+@query("g14_fact_chains", sql("docs", "SELECT start, node, CAST(min(d) AS INTEGER) AS depth FROM fw WHERE start != node GROUP BY ALL UNION ALL SELECT node, start, CAST(-min(d) AS INTEGER) FROM fw WHERE start != node GROUP BY ALL UNION ALL SELECT DISTINCT x, x, 0 FROM (SELECT old AS x FROM lk UNION SELECT new FROM lk)", f=_FW, lk=_LINKS, fw=_WALK.format("fw")).replace("WITH ", "WITH RECURSIVE ", 1).replace("lk AS (", "lk AS MATERIALIZED ("))
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.docs(spark, sf_dir).select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), "text", text.word_set(F.substring("text", 1, 300)).alias("w"))
-    links = knowledge.invalidations(f).groupBy("old").agg(F.min("new").alias("new"))
-    out = links.select(c("old").alias("start"), c("new").alias("node"), F.lit(1).alias("depth"))
-    at = out
-    for depth in (2, 3):
-        at = at.join(links, at.node == links.old).select("start", c("new").alias("node"), F.lit(depth).alias("depth"))
-        out = out.union(at)
-    return out
+    f = views.docs(spark, sf_dir).select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), F.md5("text").alias("text"), text.word_set(c("text")).alias("w"))
+    links = knowledge.invalidations(f).select("old", "new")
+    folder = runs.shared_folder(spark, "links")
+    links.write.parquet(folder)
+    return knowledge.chain(spark.read.schema(links.schema).parquet(folder))
 
 
 @query("g15_overlap_groups", sql("memory_entities", "SELECT a.id AS first, b.id AS member, count(*) AS shared FROM memory_entities a JOIN memory_entities b ON a.entity = b.entity AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2"))
@@ -202,25 +233,38 @@ def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.select("entity", c("id").alias("first")).join(me.select("entity", c("id").alias("member")), "entity").filter("first < member").groupBy("first", "member").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
+@query("g15_greedy_groups")
+def g15_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy overlap groups of the memories of a day."""
+    me = views.memory_entities(spark, sf_dir).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    return knowledge.overlap_groups(me, "day", shared=1, least=2)
+
+
 @query("n5_signal_lifecycle", sql("memories", "SELECT id, CASE WHEN age > 72 THEN 'expired' WHEN id % 4 = 0 THEN 'dismissed' WHEN id % 4 = 1 THEN 'surfaced' ELSE 'pending' END AS status FROM (SELECT id, (epoch_us(TIMESTAMP '2024-01-29') - epoch_us(created_at)) / 3600000000.0 AS age FROM memories WHERE impact = 'critical')"))
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.memories(spark, sf_dir).filter("impact = 'critical'").withColumn("age", views.days_since("created_at", "2024-01-29 00:00:00") * 24)
     return m.select("id", F.when(c("age") > 72, "expired").when(c("id") % 4 == 0, "dismissed").when(c("id") % 4 == 1, "surfaced").otherwise("pending").alias("status"))
 
 
-@query("x1_hot_ingest", "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
+_HOT = 12 * 60  # minutes; 30 by default, the conversations of these tables start an hour apart
+
+
+@query("x1_hot_ingest", sql("turns", f"SELECT conv_id, count(*) AS turns, max(turn_index) AS last_turn FROM turns WHERE ts <= TIMESTAMP '2024-01-04' GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-04' - INTERVAL {_HOT} MINUTE"))
 def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = runs.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
-    return runs.run(t, "ingest", "complete")
+    """Sessions with a turn in the minutes before a time, with all their turns until then."""
+    t = runs.read(spark, sf_dir, "conversations").withColumn("ts", views.plus(views.at("2024-01-01 00:00:00"), minutes=c("conv_id") * 60 + c("turn")))
+    until = views.at("2024-01-04 00:00:00")
+    t = t.filter(c("ts") <= until).groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.max("ts").alias("last"))
+    return runs.run(t.filter(c("last") >= views.plus(until, minutes=F.lit(-_HOT))).drop("last"), "ingest", "complete")
 
 
-@query("x4_session_state", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+@query("x4_session_state", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER (PARTITION BY user_id) AS newest FROM events) WHERE r <= 20 AND ts > newest - INTERVAL 72 HOUR")
 def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = runs.read(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp")).select("user_id", "event_id", "ts")
-    return runs.run(detectors.last_rows(e), "buffer")
+    return runs.run(detectors.last_rows(e, ttl_seconds=72 * 3600), "buffer")
 
 
-@query("x8_counter_state", "SELECT user_id, event_id, round(delta, 6) AS delta FROM (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events) WHERE delta < -1.0 OR delta > 50")
+@query("x8_counter_state", "SELECT user_id, event_id, round(delta, 6) AS delta FROM (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE (delta < -1.0 OR delta > 50) AND gap < INTERVAL 12 HOUR")
 def x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = runs.read(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp")).select("user_id", "event_id", "ts", "value")
-    return runs.run(detectors.counter_state(e), "counter").withColumn("delta", F.round("delta", 6))
+    return runs.run(detectors.counter_state(e, ttl_seconds=12 * 3600), "counter").withColumn("delta", F.round("delta", 6))

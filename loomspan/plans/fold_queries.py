@@ -81,11 +81,26 @@ def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(spark, sf_dir)
 
 
-@query("w4_rollups", _recursive("SELECT session_id, 1 AS depth, min(turn_start) AS turn_start, max(turn_end) AS turn_end FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY turn_start) - 1) // 2 AS g FROM leaves) GROUP BY session_id, g HAVING count(*) = 2"))
+def _rollup_sql(base: str, fan_in: int, depths: int = 4) -> dict[str, str]:
+    out = {"n0": base}
+    for d in range(1, depths + 1):
+        out[f"n{d}"] = f"SELECT session_id, min(turn_start) AS turn_start, max(turn_end) AS turn_end FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY turn_start) - 1) // {fan_in} AS g FROM n{d - 1}) GROUP BY session_id, g HAVING count(*) = {fan_in}"
+    return out
+
+
+_ROLLED = " UNION ALL ".join(f"SELECT session_id, {d} AS depth, turn_start, turn_end FROM n{d}" for d in range(1, 5))
+
+
+@query("w4_rollups", _recursive(_ROLLED, **_rollup_sql("SELECT * FROM leaves", 2)))
 def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_start"))
-    groups = leaves(spark, sf_dir).withColumn("g", F.floor((rank - 1) / 2)).groupBy("session_id", "g")
-    return groups.agg(F.min("turn_start").alias("turn_start"), F.max("turn_end").alias("turn_end"), F.count("*").alias("n")).filter("n = 2").select("session_id", F.lit(1).alias("depth"), "turn_start", "turn_end")
+    return folds.rollups(leaves(spark, sf_dir), fan_in=2)
+
+
+@query("w4_rollups_deep", sql("", _ROLLED, **_rollup_sql("SELECT user_id AS session_id, i AS turn_start, i AS turn_end FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)", 4)))
+def w4_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event a leaf of its user: fan-in 4 and four depths."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return folds.rollups(views.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), i.alias("turn_start"), i.alias("turn_end")))
 
 
 @query("j10_turns_in_leaves", _recursive("SELECT t.session_id, t.turn_index, l.turn_start IS NOT NULL AS covered FROM turns t LEFT JOIN leaves l ON l.session_id = t.session_id AND t.turn_index BETWEEN l.turn_start AND l.turn_end"))
@@ -124,9 +139,14 @@ _ROUNDS = {"l0": "SELECT DISTINCT node, node AS label FROM adj"} | {
 CLUSTER_CTES = {"live": _LIVE, "keep": _KEEP, "adj": _ADJ, **_ROUNDS}
 
 
-@query("g6_label_propagation", sql("live_edges", "SELECT node, label FROM l3", live=_LIVE, keep=_KEEP, adj=_ADJ, **_ROUNDS))
+def _rounds(n: int) -> dict[str, str]:
+    one = _ROUNDS["l1"]
+    return {"l0": _ROUNDS["l0"]} | {f"l{i}": one.replace("l0 ", f"l{i - 1} ") for i in range(1, n + 1)}
+
+
+@query("g6_label_propagation", sql("live_edges", "SELECT node, label FROM l50 WHERE label IN (SELECT label FROM l50 GROUP BY label HAVING count(*) >= 3)", live=_LIVE, keep=_KEEP, adj=_ADJ, **_rounds(50)).replace("adj AS (", "adj AS MATERIALIZED (").replace(" AS (SELECT node, label FROM (SELECT v.node", " AS MATERIALIZED (SELECT node, label FROM (SELECT v.node"))
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.propagate(graph.qualified(views.live_edges(spark, sf_dir)))
+    return graph.clusters(graph.propagate(graph.qualified(views.live_edges(spark, sf_dir)), rounds=50))
 
 
 @query("g2_reinforcement", sql("edges", "SELECT source, target, predicate, CAST(coalesce(obs, 0) + coalesce(n, 0) AS BIGINT) AS obs, strftime(greatest(last_confirmed, ts), '%Y-%m-%d %H:%M:%S') AS last_confirmed FROM edges FULL JOIN seen USING (source, target, predicate)",

@@ -217,11 +217,20 @@ def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(views.memories(spark, sf_dir).filter("is_deprecated").select("id"), "id", "left_anti")
 
 
-@query("a32_run_summary", sql("memory_entities memories", f"SELECT 'drift' AS detector, count(*) AS found FROM ({_DRIFT}) WHERE overlap < 0.35 AND either >= 3 UNION ALL SELECT 'critical', count(*) FROM memories WHERE impact = 'critical' AND NOT is_deprecated"))
+@query("a32_run_summary", sql("memory_entities memories", f"SELECT 'drift' AS detector, count(*) AS found, count(*) AS stored, count(*) FILTER (overlap < 0.2) AS high FROM ({_DRIFT}) WHERE overlap < 0.35 AND either >= 3 UNION ALL SELECT 'critical', count(*), count(DISTINCT summary), count(*) FILTER (access_count >= 10) FROM memories WHERE impact = 'critical' AND NOT is_deprecated"))
 def a32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drift = detect.topic_drift(views.memory_entities(spark, sf_dir)).select(F.lit("drift").alias("detector"))
-    critical = views.memories(spark, sf_dir).filter("impact = 'critical' AND NOT is_deprecated").select(F.lit("critical").alias("detector"))
-    return drift.union(critical).groupBy("detector").agg(F.count("*").alias("found"))
+    """For each detector the signals found, those stored (one for each text) and those of high priority."""
+    drift = detect.topic_drift(views.memory_entities(spark, sf_dir)).select(F.lit("drift").alias("detector"), c("entity").alias("text"), (c("overlap") < 0.2).alias("high"))
+    critical = views.memories(spark, sf_dir).filter("impact = 'critical' AND NOT is_deprecated").select(F.lit("critical").alias("detector"), c("summary").alias("text"), (c("access_count") >= 10).alias("high"))
+    return drift.union(critical).groupBy("detector").agg(F.count("*").alias("found"), F.countDistinct(F.md5("text")).alias("stored"), F.count_if("high").alias("high"))
+
+
+@query("j6_left_defaults", sql("memories retrievals", "SELECT id, CASE WHEN n IS NULL THEN 0.1 ELSE 0.3 END::DOUBLE AS keyscore, coalesce(f, 1.0)::DOUBLE AS factor, coalesce(n, 0) AS history FROM memories LEFT JOIN (SELECT memory_id AS id, count(*) AS n, round(avg(cosine_score), 6) AS f FROM retrievals GROUP BY 1) USING (id)"))
+def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with the key score, factor and history of their retrievals, and defaults without any."""
+    seen = views.retrievals(spark, sf_dir).groupBy(c("memory_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.avg("cosine_score"), 6).alias("f"))
+    out = views.memories(spark, sf_dir).join(seen, "id", "left")
+    return out.select("id", F.when(c("n").isNull(), 0.1).otherwise(0.3).alias("keyscore"), F.coalesce("f", F.lit(1.0)).alias("factor"), F.coalesce("n", F.lit(0)).alias("history"))
 
 
 @query("a22_goal_word_rate", sql("sturns", f"SELECT session_id, turn_index, round(0.5 * least(1.0, coalesce(items, 0) / (SELECT count(*) FROM part)::DOUBLE) + 0.5 * coalesce(hits, 0) / greatest(1, len(w))::DOUBLE, 4) AS proximity FROM (SELECT session_id, turn_index, {word_set('content')} AS w FROM sturns WHERE role = 'user') LEFT JOIN (SELECT session_id, turn_index, count(DISTINCT p_partkey) AS items, count(DISTINCT x) AS hits FROM (SELECT session_id, turn_index, unnest({word_set('content')}) AS x FROM sturns WHERE role = 'user') JOIN (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS x FROM part) USING (x) GROUP BY ALL) USING (session_id, turn_index)"))

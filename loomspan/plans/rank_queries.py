@@ -18,20 +18,14 @@ c = F.col
 
 @query("r1_vector_search", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v)
   SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm) AS s
-  FROM n a JOIN n b ON a.vec_id != b.vec_id WHERE a.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))) WHERE r <= 10""")
+  FROM n a JOIN n b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0)) WHERE r <= 10""")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "embeddings").withColumn("e", c("embedding").cast("array<double>"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    e = e.select("vec_id", "label", "e", norm.alias("norm"))
-    asked = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "e", "norm"), "vec_id").alias("q")).select("q.*")  # one per label
-    pairs = e.join(F.broadcast(asked.select(c("vec_id").alias("query_id"), c("e").alias("qe"), c("norm").alias("qn"))), c("vec_id") != c("query_id"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.withColumn("s", dot / (c("norm") * c("qn")))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id"))
-    return scored.withColumn("rank", r).filter("rank <= 10").select("query_id", "rank", "vec_id", F.round("s", 6).alias("cosine"))
-
-
-_ASK = "SELECT session_id || '-' || turn_index AS query_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))[1:2]) AS term FROM turns WHERE role = 'user'"
+    """Every hundredth vector's ten nearest by cosine."""
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))
+    return rank.nearest(e, "vec_id % 100 = 0").withColumn("cosine", F.round("cosine", 6))
+
+
+_ASK = "SELECT session_id || '-' || turn_index AS query_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))[1:8]) AS term FROM turns WHERE role = 'user'"
 _IX = "SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY ALL"
 _HITS = "SELECT query_id, id, count(*) AS matched, sum(tf * ln(1.0 + (SELECT count(*) FROM documents)::DOUBLE / df)) AS score FROM ask JOIN ix USING (term) JOIN (SELECT term, count(*) AS df FROM ix GROUP BY 1) USING (term) GROUP BY ALL"
 _TOP = "SELECT query_id, id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM {}) WHERE r <= 10"
@@ -40,17 +34,17 @@ _TOP = "SELECT query_id, id, CAST(r AS INTEGER) AS rank, round(score, 6) AS scor
 def _search(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
     d = views.table(spark, sf_dir, "documents")
     u = views.turns(spark, sf_dir).filter("role = 'user'")
-    terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), 0)), 1, 2)
+    terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), 0)), 1, 8)
     asked = u.select(F.concat_ws("-", "session_id", "turn_index").alias("query_id"), F.explode(terms).alias("term"))
-    return rank.search(rank.inverted_index(d, "doc_id", "text"), asked, d.count(), every).withColumn("score", F.round("score", 6))
+    return rank.search(rank.inverted_index(d, "doc_id", "text", asked), asked, d.count(), every).withColumn("score", F.round("score", 6))
 
 
-@query("r2_full_text_all", sql("turns", _TOP.format("(SELECT h.* FROM hits h JOIN (SELECT query_id, count(*) AS k FROM ask GROUP BY 1) USING (query_id) WHERE matched = k)"), ask=_ASK.replace("list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))[1:2]", "w[1:2]").replace("FROM turns WHERE role = 'user'", "FROM (SELECT session_id, turn_index, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS w FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user'))"), ix=_IX, hits=_HITS))
+@query("r2_full_text_all", sql("turns", _TOP.format("(SELECT h.* FROM hits h JOIN (SELECT query_id, count(*) AS k FROM ask GROUP BY 1) USING (query_id) WHERE matched = k)"), ask=_ASK.replace("list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))[1:8]", "w[1:8]").replace("FROM turns WHERE role = 'user'", "FROM (SELECT session_id, turn_index, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS w FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user'))"), ix=_IX, hits=_HITS))
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, True)
 
 
-@query("r3_full_text_any", sql("turns", _TOP.format("hits"), ask="SELECT session_id || '-' || turn_index AS query_id, unnest(w[1:2]) AS term FROM (SELECT session_id, turn_index, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS w FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user'))", ix=_IX, hits=_HITS))
+@query("r3_full_text_any", sql("turns", _TOP.format("hits"), ask="SELECT session_id || '-' || turn_index AS query_id, unnest(w[1:8]) AS term FROM (SELECT session_id, turn_index, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS w FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user'))", ix=_IX, hits=_HITS))
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, False)
 
@@ -234,12 +228,12 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOPIC_SQL = "list_transform(list_sort(list_filter([" + ", ".join(f"{{'n': -len(regexp_extract_all(regexp_replace(text, '[À-ɏ]', 'x', 'g'), {q(p)}, 0, 'i')), 'i': {i}, 'topic': {q(t)}}}" for i, (t, p) in enumerate(rules.TOPICS)) + "], lambda s: s.n < 0)), lambda s: s.topic)"
-_FW = f"SELECT doc_id, coalesce({_TOPIC_SQL}[1], 'general') AS topic, text, {word_set('substring(text, 1, 300)')} AS w FROM docs"
+_FW = f"SELECT doc_id, coalesce({_TOPIC_SQL}[1], 'general') AS topic, text, {word_set('text')} AS w FROM docs"
 
 
 @query("g12_fact_invalidation", sql("docs", f"SELECT old, new, topic, round(ratio, 6) AS ratio FROM (SELECT a.doc_id AS old, b.doc_id AS new, a.topic, count(*) / least(len(a.w), len(b.w))::DOUBLE AS ratio FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.topic = b.topic AND a.x = b.x AND a.doc_id < b.doc_id WHERE a.text != b.text AND len(a.w) >= 3 AND len(b.w) >= 3 GROUP BY a.doc_id, b.doc_id, a.topic, len(a.w), len(b.w)) WHERE ratio > 0.6", f=_FW))
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.docs(spark, sf_dir).select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), "text", text.word_set(F.substring("text", 1, 300)).alias("w"))
+    f = views.docs(spark, sf_dir).select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), "text", text.word_set(c("text")).alias("w"))
     return knowledge.invalidations(f).withColumn("ratio", F.round("ratio", 6))
 
 

@@ -98,7 +98,12 @@ _add("p8_impact_score", "memories", "id", {"impact_score": (lambda: scores.impac
 _confs = [f"coalesce({chain([(has('text', p), str(v)) for p, v in ps], 'NULL')}, 0.0)" for _, ps in rules.BUCKETS]
 _best = f"list_max([{{'c': 0.60, 'o': 0, 'b': 'FACTS'}}, {', '.join(f'{{{chr(39)}c{chr(39)}: {e}, {chr(39)}o{chr(39)}: {-i}, {chr(39)}b{chr(39)}: {q(b)}}}' for i, ((b, _), e) in enumerate(zip(rules.BUCKETS, _confs), 1))}])"
 SQL_BUCKET, SQL_BUCKET_CONF = f"({_best}).b", f"({_best}).c::DOUBLE"
-_add("p9_classify_memory", "docs", D, {"bucket": (lambda: text.memory_bucket(c("text"))["bucket"], SQL_BUCKET), "confidence": (lambda: text.memory_bucket(c("text"))["confidence"].cast("double"), SQL_BUCKET_CONF)})
+@query("p9_classify_memory", sql("docs", f"SELECT doc_id, {SQL_BUCKET} AS bucket, {SQL_BUCKET_CONF} AS confidence FROM docs"))
+def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = views.docs(spark, sf_dir).select("doc_id", text.memory_bucket(c("text")).alias("b"))
+    return judged.select("doc_id", "b.bucket", c("b.confidence").cast("double").alias("confidence"))
+
+
 _file = f"({' OR '.join(f'starts_with(t, {q(m)})' for m in rules.FILE_MARKERS)} OR (t != '' AND len(list_filter(ls, lambda x: {' OR '.join(f'starts_with(trim(x), {q(d)})' for d in rules.DIALOGUE)})) / len(ls)::DOUBLE < 0.05))"
 
 

@@ -18,9 +18,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.read(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
 
 
-@query("x2_late_drop", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+@query("x2_late_drop", "SELECT event_id, user_id FROM events WHERE event_id % 10 != 0 OR ts > (SELECT max(ts) FROM events WHERE event_id % 10 NOT IN (0, 5)) - INTERVAL 1 HOUR")
 def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = _events(spark, sf_dir).withWatermark("ts", "1 hour").filter(c("ts") >= F.lit("2024-01-20").cast("timestamp"))
+    """Events in three batches, a tenth of them in the last one: what is then older than the watermark goes."""
+    folder, e = runs.shared_folder(spark, "late-in"), views.table(spark, sf_dir, "events").select("event_id", "user_id", c("ts").cast("timestamp").alias("ts"))
+    for n, part in enumerate(("event_id % 10 NOT IN (0, 5)", "event_id % 10 = 5", "event_id % 10 = 0")):
+        e.filter(part).coalesce(1).write.parquet(f"{folder}/{n}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    fresh = stream.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
     return runs.run(fresh.select("event_id", "user_id"), "late")
 
 
@@ -49,8 +54,8 @@ def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run(u.select("user_id", F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), "score"), "utility", "complete")
 
 
-@query("x6_circuit_breaker", """SELECT user_id, unnest(f.out) AS event_id FROM (SELECT user_id, list_reduce(l, lambda s, r: {'id': r.id, 'e': r.e, 'at': r.at, 'run': CASE WHEN r.at < s.until THEN s.run WHEN NOT r.e THEN 0 WHEN s.run + 1 >= 3 THEN 0 ELSE s.run + 1 END::BIGINT,
-  'until': CASE WHEN r.at >= s.until AND r.e AND s.run + 1 >= 3 THEN r.at + 43200000000 ELSE s.until END::BIGINT, 'out': CASE WHEN r.at >= s.until AND r.e AND s.run + 1 >= 3 THEN list_append(s.out, r.id) ELSE s.out END}, {'id': 0::BIGINT, 'e': false, 'at': 0::BIGINT, 'run': 0::BIGINT, 'until': 0::BIGINT, 'out': []::BIGINT[]}) AS f
+@query("x6_circuit_breaker", """SELECT user_id, unnest(f.out) AS event_id FROM (SELECT user_id, list_reduce(l, lambda s, r: {'id': r.id, 'e': r.e, 'at': r.at, 'run': CASE WHEN r.at < s.until THEN CASE WHEN r.at - s.at >= 172800000000 THEN 0 ELSE s.run END WHEN NOT r.e THEN 0 WHEN CASE WHEN r.at - s.at >= 172800000000 THEN 0 ELSE s.run END + 1 >= 3 THEN 0 ELSE CASE WHEN r.at - s.at >= 172800000000 THEN 0 ELSE s.run END + 1 END::BIGINT,
+  'until': CASE WHEN r.at >= s.until AND r.e AND r.at - s.at < 172800000000 AND s.run + 1 >= 3 THEN r.at + 43200000000 ELSE s.until END::BIGINT, 'out': CASE WHEN r.at >= s.until AND r.e AND r.at - s.at < 172800000000 AND s.run + 1 >= 3 THEN list_append(s.out, r.id) ELSE s.out END}, {'id': 0::BIGINT, 'e': false, 'at': 0::BIGINT, 'run': 0::BIGINT, 'until': 0::BIGINT, 'out': []::BIGINT[]}) AS f
   FROM (SELECT user_id, list({'id': event_id, 'e': event_type = 'error', 'at': epoch_us(ts), 'run': 0::BIGINT, 'until': 0::BIGINT, 'out': []::BIGINT[]} ORDER BY ts, event_id) AS l FROM events GROUP BY 1))""")
 def x6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run(detectors.breaker(_events(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")), "breaker")

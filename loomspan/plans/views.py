@@ -108,9 +108,15 @@ def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("decay", F.pow(F.lit(2.0), -days_since("last_confirmed", EDGES_AS_OF) / (14.0 * F.log2(F.col("obs") + 1.0))))
 
 
+def _memory(n: int) -> Column:
+    """The memory that a question meets at rank k: of a hot tenth of all documents up to rank 3, of all of them below."""
+    i = F.col("conv_id") * 31 + F.col("turn_index") * 7
+    return F.when(F.col("k") <= 3, (i + F.col("k")) % max(1, n // 10)).otherwise((i * 53 + F.col("k") * 131) % max(1, n))
+
+
 def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = turns(spark, sf_dir).filter("role = 'user'").select("conv_id", "session_id", "turn_index", "content", "ts")
-    r = q.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("memory_id", (F.col("conv_id") * 31 + F.col("turn_index") * 7 + F.col("k")) % 100)
+    r = q.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("memory_id", _memory(table(spark, sf_dir, "documents").count()))
     bucket = F.when(F.col("conv_id") >= 95, "FACTS").otherwise(F.element_at(F.array(F.lit("CONSTRAINTS"), F.lit("PROCEDURES"), F.lit("FACTS"), F.lit(None)), (F.col("memory_id") % 4 + 1).cast("int")))
     m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.substring("text", 1, 200).alias("memory_text"))
     r = r.join(m, "memory_id")
@@ -184,7 +190,7 @@ SQL = {
     "live_edges": f"SELECT *, pow(2.0, -((epoch_us(TIMESTAMP '{EDGES_AS_OF}') - epoch_us(last_confirmed)) / 86400000000.0) / (14.0 * log2(obs + 1.0))) AS decay FROM edges WHERE last_confirmed <= TIMESTAMP '{EDGES_AS_OF}'",
     "retrievals": """SELECT conv_id, session_id, turn_index, content AS query, memory_id, substring(d.text, 1, 200) AS memory_text, k AS result_rank, 1.0::DOUBLE / k AS cosine_score,
       CASE WHEN conv_id >= 95 THEN 'FACTS' ELSE ['CONSTRAINTS', 'PROCEDURES', 'FACTS', NULL][(memory_id % 4 + 1)::INT] END AS packaged_bucket, ts AS created_at
-      FROM (SELECT *, (conv_id * 31 + turn_index * 7 + k) % 100 AS memory_id FROM (SELECT *, unnest(range(1, 6)) AS k FROM turns WHERE role = 'user')) JOIN documents d ON d.doc_id = memory_id""",
+      FROM (SELECT *, CASE WHEN k <= 3 THEN (conv_id * 31 + turn_index * 7 + k) % greatest(1, n // 10) ELSE ((conv_id * 31 + turn_index * 7) * 53 + k * 131) % greatest(1, n) END AS memory_id FROM (SELECT *, unnest(range(1, 6)) AS k FROM turns WHERE role = 'user'), (SELECT count(*) AS n FROM documents)) JOIN documents d ON d.doc_id = memory_id""",
     "responses": "SELECT q.session_id, q.turn_index, a.content AS response FROM turns q JOIN turns a ON a.session_id = q.session_id AND a.turn_index = q.turn_index + 1 WHERE q.role = 'user' AND a.role = 'assistant'",
     "proposals": f"SELECT session_id, turn_index, query, memory_id, result_rank, {_list(SOURCES)}[(memory_id % 10 + 1)::INT] AS source_type, memory_text AS content, ((memory_id * 37 + result_rank * 11) % 100) / 100.0::DOUBLE AS confidence, CAST(greatest(1, length(memory_text) // 4) AS BIGINT) AS token_est FROM retrievals",
     "episodes": """SELECT o_orderkey AS episode_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE 'abandoned' END AS outcome, o_orderdate AS started_at, turn_count, topics, entities,

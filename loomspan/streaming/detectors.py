@@ -7,23 +7,32 @@ from pyspark.sql import DataFrame
 from loomspan.streaming.runs import stateful
 
 
-def breaker(events: DataFrame, failures: int = 3, open_seconds: int = 12 * 3600) -> DataFrame:
-    """(user_id, event_id): the failures at which a user's breaker opens, after so many in a row; it stays open for a while."""
+def _micros(rows):
+    return rows.ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+def breaker(events: DataFrame, failures: int = 3, open_seconds: int = 12 * 3600, ttl_seconds: int = 48 * 3600) -> DataFrame:
+    """(user_id, event_id): the failures at which a user's breaker opens, after so many in a row; it stays open for a while.
+
+    Failures are forgotten when a user is silent for ttl_seconds, which is no less than open_seconds.
+    """
     import pandas as pd
 
     def step(key, rows, state):
-        run, until = state or (0, 0)
+        run, until, last = state or (0, 0, 0)
         out = []
-        for event_id, kind, at in zip(rows.event_id, rows.event_type, rows.ts.astype("datetime64[us]").astype("int64")):
+        for event_id, kind, at in zip(rows.event_id, rows.event_type, _micros(rows)):
+            run = 0 if at - last >= ttl_seconds * 1_000_000 else run
+            last = at
             if at < until:
                 continue
             run = run + 1 if kind == "error" else 0
             if run >= failures:
                 out.append(event_id)
-                run, until = 0, int(at) + open_seconds * 1_000_000
-        return pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out}).astype("int64"), (run, until)
+                run, until = 0, at + open_seconds * 1_000_000
+        return pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out}).astype("int64"), (run, until, last)
 
-    return stateful(events, ["user_id"], "user_id long, event_id long", "run int, until long", step)
+    return stateful(events, ["user_id"], "user_id long, event_id long", "run int, until long, last long", step, max(ttl_seconds, open_seconds))
 
 
 def cooldown(events: DataFrame, seconds: int = 24 * 3600) -> DataFrame:
@@ -33,37 +42,40 @@ def cooldown(events: DataFrame, seconds: int = 24 * 3600) -> DataFrame:
     def step(key, rows, state):
         last = state[0] if state else None
         out = []
-        for event_id, at in zip(rows.event_id, rows.ts.astype("datetime64[us]").astype("int64")):
+        for event_id, at in zip(rows.event_id, _micros(rows)):
             if last is None or at - last >= seconds * 1_000_000:
                 out.append(event_id)
-                last = int(at)
+                last = at
         return pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out}).astype("int64"), (last,)
 
-    return stateful(events, ["user_id"], "user_id long, event_id long", "last long", step)
+    return stateful(events, ["user_id"], "user_id long, event_id long", "last long", step, seconds)
 
 
-def last_rows(events: DataFrame, most: int = 20) -> DataFrame:
-    """(user_id, event_id): each user's newest rows as of the last batch that held the user."""
+def last_rows(events: DataFrame, most: int = 20, ttl_seconds: int = 4 * 3600) -> DataFrame:
+    """(user_id, event_id): each user's newest rows, none ttl_seconds older than the last, as of the last batch that held the user."""
     import pandas as pd
 
     def step(key, rows, state):
-        kept = (list(state[0]) if state else []) + rows.event_id.tolist()
-        kept = [int(x) for x in kept[-most:]]
-        return pd.DataFrame({"user_id": [key[0]] * len(kept), "event_id": kept}).astype("int64"), (kept,)
+        kept = list(zip(*state)) if state else []
+        kept = (kept + list(zip(rows.event_id.tolist(), _micros(rows))))[-most:]
+        kept = [(i, at) for i, at in kept if at > kept[-1][1] - ttl_seconds * 1_000_000]
+        ids, ats = [int(i) for i, _ in kept], [int(at) for _, at in kept]
+        return pd.DataFrame({"user_id": [key[0]] * len(ids), "event_id": ids}).astype("int64"), (ids, ats)
 
-    return stateful(events, ["user_id"], "user_id long, event_id long", "kept array<long>", step)
+    return stateful(events, ["user_id"], "user_id long, event_id long", "kept array<long>, ats array<long>", step, ttl_seconds)
 
 
-def counter_state(readings: DataFrame, drop: float = -1.0, jump: float = 50.0) -> DataFrame:
-    """(user_id, event_id, delta): readings that fall or jump against the last value held for the user."""
+def counter_state(readings: DataFrame, drop: float = -1.0, jump: float = 50.0, ttl_seconds: int = 2 * 3600) -> DataFrame:
+    """(user_id, event_id, delta): readings that fall or jump against the last value held for the user, for ttl_seconds."""
     import pandas as pd
 
     def step(key, rows, state):
-        last, out = (state[0] if state else None), []
-        for event_id, value in zip(rows.event_id, rows.value):
-            if last is not None and (value - last < drop or value - last > jump):
+        last, seen = state or (None, 0)
+        out = []
+        for event_id, value, at in zip(rows.event_id, rows.value, _micros(rows)):
+            if last is not None and at - seen < ttl_seconds * 1_000_000 and (value - last < drop or value - last > jump):
                 out.append((key[0], event_id, value - last))
-            last = float(value)
-        return pd.DataFrame(out, columns=["user_id", "event_id", "delta"]).astype({"user_id": "int64", "event_id": "int64", "delta": "float64"}), (last,)
+            last, seen = float(value), at
+        return pd.DataFrame(out, columns=["user_id", "event_id", "delta"]).astype({"user_id": "int64", "event_id": "int64", "delta": "float64"}), (last, seen)
 
-    return stateful(readings, ["user_id"], "user_id long, event_id long, delta double", "last double", step)
+    return stateful(readings, ["user_id"], "user_id long, event_id long, delta double", "last double, seen long", step, ttl_seconds)

@@ -46,14 +46,23 @@ def run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out").select(schema.names)
 
 
-def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable) -> DataFrame:
-    """Rows of step(key, rows in order of time, state tuple or None) -> (rows, state) for each key, across batches."""
+def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, ttl_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """Rows of step(key, rows in order of time, state tuple or None) -> (rows, state) for each key, across batches.
+
+    A key's rows of one batch meet in memory. Its state goes when the watermark (`delay` behind the newest time) is
+    `ttl_seconds` past the key's last row; steps treat older state as none, so that batches do not change results.
+    """
     import pandas as pd
 
     def f(key, frames, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out, new = step(key, rows, held.get if held.exists else None)
         held.update(new)
+        last = int(rows.ts.iloc[-1].timestamp() * 1000)
+        held.setTimeoutTimestamp(max(last + ttl_seconds * 1000, held.getCurrentWatermarkMs() + 1))
         yield out
 
-    return stream.groupBy(*keys).applyInPandasWithState(f, output, state, "append", "NoTimeout")
+    return stream.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(f, output, state, "append", "EventTimeTimeout")
