@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ def p39(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", F.array_join(recall.dedup_names(c("names")), ",").alias("names"))
 
 
+_LATER = re.compile(r"[ \n\t]*")
 _CH = "SELECT doc_id, 0 AS n, '' AS chunk, text AS rest FROM documents UNION ALL SELECT doc_id, n + 1, substring(rest, 1, sp), ltrim(substring(rest, sp + 1), ' ' || chr(10) || chr(9)) FROM (SELECT *, CASE WHEN length(rest) <= 500 THEN length(rest) WHEN nl >= 250 THEN nl WHEN bl >= 250 THEN bl ELSE 500 END AS sp FROM (SELECT *, 500 - strpos(reverse(substring(rest, 1, 500)), chr(10)) * (strpos(substring(rest, 1, 500), chr(10)) > 0)::INT - 500 * (strpos(substring(rest, 1, 500), chr(10)) = 0)::INT AS nl, 500 - strpos(reverse(substring(rest, 1, 500)), ' ') * (strpos(substring(rest, 1, 500), ' ') > 0)::INT - 500 * (strpos(substring(rest, 1, 500), ' ') = 0)::INT AS bl FROM ch WHERE rest != '')) s"
 
 
@@ -66,14 +69,14 @@ def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, rest in zip(f.doc_id, f.text.fillna("")):
-                n = 0
-                while rest:
-                    at = len(rest)
-                    if at > 500:
-                        at = next((p for p in (rest.rfind("\n", 0, 500), rest.rfind(" ", 0, 500)) if p >= 250), 500)
-                    out.append((doc_id, n, rest[:at]))
-                    rest, n = rest[at:].lstrip(" \n\t"), n + 1
+            for doc_id, whole in zip(f.doc_id, f.text.fillna("")):
+                n = start = 0
+                while start < len(whole):
+                    end = len(whole)
+                    if end - start > 500:
+                        end = next((p for p in (whole.rfind("\n", start, start + 500), whole.rfind(" ", start, start + 500)) if p >= start + 250), start + 500)
+                    out.append((doc_id, n, whole[start:end]))
+                    n, start = n + 1, _LATER.match(whole, end).end()
             yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "chunk"])
 
     return views.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(cut, "doc_id long, chunk_no int, chunk string")

@@ -23,11 +23,11 @@ def first_text(message: Column) -> Column:
     return F.coalesce(block, plain)
 
 
-def turns_of(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Kept user and assistant turns of (keys, line, value) rows with a running index; broken lines are skipped."""
+def turns_of(lines: DataFrame, keys: list[str], injected: str = INJECTED) -> DataFrame:
+    """Kept user and assistant turns of (keys, line, value) rows with a running index; broken lines and texts that open like `injected` are skipped."""
     v = lines.withColumn("v", F.try_parse_json("value")).filter("v IS NOT NULL")
     t = v.select(*keys, "line", F.try_variant_get("v", "$.type", "string").alias("role"), first_text(F.col("v")).alias("content"))
-    t = t.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != "") & ~F.col("content").rlike(INJECTED))
+    t = t.filter(F.col("role").isin("user", "assistant") & (F.coalesce("content", F.lit("")) != "") & ~F.col("content").rlike(injected))
     return t.withColumn("turn_index", F.row_number().over(Window.partitionBy(*keys).orderBy("line")) - 1)
 
 
