@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import html_text, licenses, lm, mixing, packing, quality, simhash, substring, topk, url_filter
+from loomspan.llm import audit, html_text, licenses, lm, mixing, negatives, packing, quality, simhash, substring, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
@@ -104,6 +113,38 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n3, 0) AS n_trigram,
 """
 
 
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r != b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS slot FROM s WHERE same) WHERE slot <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.r, p.slot ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * p.score::HUGEINT <= 100 * s.score::HUGEINT AND 100 * s.score::HUGEINT <= 90 * p.score::HUGEINT)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT t, min(doc_id) AS lo FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > lo, false)::INT AS mask
+  FROM d JOIN f USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+o AS (SELECT a || b || x || y || z AS o FROM (SELECT unnest(['A','B','C','D','E']) AS a), (SELECT unnest(['A','B','C','D','E']) AS b), (SELECT unnest(['A','B','C','D','E']) AS x),
+  (SELECT unnest(['A','B','C','D','E']) AS y), (SELECT unnest(['A','B','C','D','E']) AS z) WHERE len(list_distinct([a, b, x, y, z])) = 5),
+s AS (SELECT o, step, 1 << (ascii(substr(o, step, 1)) - 65) AS own, coalesce(list_sum([1 << (ascii(substr(o, j, 1)) - 65) for j in range(1, step)]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, o AS filter_order, step, own, sum(n) FILTER (mask & (before | own) = 0) AS kept, sum(n) FILTER (mask & own != 0 AND mask & before = 0) AS removed,
+  sum(n) FILTER (mask & own != 0 AND mask & before != 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+  sum(good) FILTER (mask & own != 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & own != 0 AND mask & before = 0) AS toxic_lost FROM s, c GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM r
+"""
+
+
 def _op2_sql(rounds: int = 40, targets: tuple = mixing.TARGETS, seed: str = mixing.SEED) -> str:
     """Raking written out: one table for each margin of each round, more rounds than the tolerance needs."""
 
@@ -138,9 +179,9 @@ SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_substring_dedup, op2_mixing, op3_exact_top_k, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_url_filters, op8_quality_rules, op9_license_scan, op10_simhash)
+    ops = (op1_substring_dedup, op2_mixing, op3_exact_top_k, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_url_filters, op8_quality_rules, op9_license_scan, op10_simhash, op11_hard_negatives, op13_filter_audit)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": _op2_sql(), "op3_exact_top_k": OP3_SQL, "op5_lm_scoring": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_mixing": _op2_sql(), "op3_exact_top_k": OP3_SQL, "op5_lm_scoring": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_audit": OP13_SQL}
