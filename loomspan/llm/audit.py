@@ -62,13 +62,13 @@ def _salted(df: DataFrame, hot: DataFrame, salt: Column) -> DataFrame:
     return dealt.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salt).drop("salts")
 
 
-def combinations(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", text_hash: Column | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(part, mask, n, good, toxic): documents by the filters they fail. text_hash: of column `text`, XXH64 by default."""
+def combinations(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", text_hash: str = "xxhash64(text)", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(part, mask, n, good, toxic): documents by the filters they fail. text_hash: SQL over column `text`."""
     ship(__name__)
     spark = docs.sparkSession
     scratch = Scratch(spark, "audit")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", text_hash if text_hash is not None else F.xxhash64("text"))
+    rows = rows.withColumn("h", F.expr(text_hash).cast("long"))
     again = scratch.write(rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h", "n"))
     total, repeated = docs.count(), again.count()
     hot_rows = max(1, total // HOT_SHARE)

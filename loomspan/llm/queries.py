@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import audit, html_text, licenses, lm, mixing, negatives, packing, quality, simhash, substring, topk, url_filter
+from loomspan.llm import audit, html_text, licenses, lm, mixing, negatives, packing, quality, secret_scan, simhash, substring, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    place = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    keyed = F.transform(F.concat("base_spans", "linked_spans"), lambda x: F.struct(x["start"].alias("start"), F.array_position(place, x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
+    both = F.array_sort(keyed)
+    return found.select("doc_id", *[number(k) for k in ("assign", "access", "hex")], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(both).alias("spans"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -179,7 +194,7 @@ SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_substring_dedup, op2_mixing, op3_exact_top_k, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_url_filters, op8_quality_rules, op9_license_scan, op10_simhash, op11_hard_negatives, op13_filter_audit)
+    ops = (op1_substring_dedup, op2_mixing, op3_exact_top_k, op4_best_fit_packing, op5_lm_scoring, op6_html_extraction, op7_url_filters, op8_quality_rules, op9_license_scan, op10_simhash, op11_hard_negatives, op12_secret_scan, op13_filter_audit)
     return {f.__name__: f for f in ops}
 
 
