@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, chunks, ship, text_bytes
+from loomspan.llm.common import Scratch, chunks, dealt, hot_keys, ship, text_bytes
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS = 200, 50, 3
-HOT_SHARE = 1000  # a hash of more than one in so many rows is hot
 BROADCAST_BYTES = 32 << 20
 _CAPITALS, _MARKS, _INNER = bytes(range(65, 91)), b"#$%&*|", bytes(range(0x80, 0xC0))
 
@@ -56,12 +55,6 @@ def _flagged(rows: DataFrame) -> DataFrame:
     return rows.select("uid", "id", "part", "h", "again", "text").mapInArrow(run, "uid long, id long, part string, h long, bits int, text binary")
 
 
-def _salted(df: DataFrame, hot: DataFrame, salt: Column) -> DataFrame:
-    """df with a salt for rows of hot hashes; salt may read `salts`, the number of keys that a hash is dealt over."""
-    dealt = df.join(F.broadcast(hot), "h", "left")  # fewer than HOT_SHARE rows
-    return dealt.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salt).drop("salts")
-
-
 def combinations(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", text_hash: str = "xxhash64(text)", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(part, mask, n, good, toxic): documents by the filters they fail. text_hash: SQL over column `text`."""
     ship(__name__)
@@ -71,21 +64,18 @@ def combinations(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = rows.withColumn("h", F.expr(text_hash).cast("long"))
     again = scratch.write(rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h", "n"))
     total, repeated = docs.count(), again.count()
-    hot_rows = max(1, total // HOT_SHARE)
-    hot = scratch.write(again.filter(F.col("n") > hot_rows).select("h", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")))
-    some = F.pmod(F.xxhash64("uid"), F.col("salts").cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    hot = scratch.write(hot_keys(again, "h", total))
 
     marks = again.select("h", F.lit(True).alias("again"))
     if 16 * repeated <= broadcast_bytes:
         tagged = rows.join(F.broadcast(marks), "h", "left")
     else:
-        tagged = _salted(rows, hot, some).join(_salted(marks, hot, every).hint("merge"), ["h", "salt"], "left")
+        tagged = dealt(rows, hot, "h", "uid").join(dealt(marks, hot, "h", None).hint("merge"), ["h", "salt"], "left")
     flagged = scratch.write(_flagged(tagged.withColumn("again", F.coalesce("again", F.lit(False)))))
 
     copies = flagged.filter("text IS NOT NULL").select("uid", "id", "h", "text")
     first = copies.filter("id IS NOT NULL").groupBy("h", "text").agg(F.min("id").alias("lo"))
-    left, right = _salted(copies, hot, some).alias("l"), _salted(first, hot, every).alias("r")
+    left, right = dealt(copies, hot, "h", "uid").alias("l"), dealt(first, hot, "h", None).alias("r")
     same = (F.col("l.h") == F.col("r.h")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.text") == F.col("r.text"))
     failed_e = left.join(right, same & (F.col("r.lo") < F.col("l.id")), "left_semi").select("uid")
 

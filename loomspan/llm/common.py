@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -98,6 +99,22 @@ def release(spark: SparkSession) -> None:
         MADE.remove(scratch)
 
 
+HOT_SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, salts) of the keys (key, n) that hold more than a thousandth of all rows, of which there are fewer than a thousand."""
+    some = max(1, total // HOT_SHARE)
+    return counts.filter(F.col("n") > some).select(key, F.ceil(F.col("n") / some).cast("int").alias("salts"))
+
+
+def dealt(df: DataFrame, hot: DataFrame, key: str, by: str | None) -> DataFrame:
+    """df with a `salt` that deals the rows of a hot key over its salts, by column `by`; without it, each row goes to every salt."""
+    out = df.join(F.broadcast(hot), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(by), F.col("salts").cast("long")).cast("int") if by else F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    return out.withColumn("salt", salt).drop("salts")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}
