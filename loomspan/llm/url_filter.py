@@ -32,7 +32,15 @@ WANTED = (
     "news wiki docs library museum university school science history music travel weather garden recipes hospital health research archive forum blog journal "
     "press city council sport books film art maps code project education family nature energy culture theatre radio gallery market bank post review magazine"
 ).split()
-_SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo yu zan mer lin dor".split()
+NEUTRAL = "net online zone site web hub world top best my the one go 24 24h store shop club live center group info pro app".split()
+HARD = (  # wanted words that hold parts of unwanted ones
+    "threads roads downloads window winter wings freedom freeway freelance pillow pillar caterpillar farmers pharmacology betsy alphabets adventure "
+    "escorted spices scampi camera camping cheapside discourse winnipeg trackside seoul lotus casinghead popular bonuses sheets clickwheel pixelated"
+).split()
+_SYLLABLES = (  # frequent in English, and a few of other languages
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ing ion tion ent the ble wh sh ba di fo gu ka lo mu na pe qui ta wi xo yu zan mer lin dor"
+).split()
 _PATHS = ("", "/", "/en/12", "/fr/803", "/about", "/2020/5", "/index.html", "/p/77")
 _ENDS = ("example.com", "example.org", "example.net", "test")
 
@@ -42,17 +50,22 @@ def _urls(n: int, host: Callable[[int], str]) -> list[str]:
     return [f"{('http', 'https')[i % 2]}://{front[i % 5]}{host(i)}.{_ENDS[i // 2 % 4]}{_PATHS[i // 3 % 8]}" for i in range(n)]
 
 
-def labelled_rows(n: int = 300) -> list[tuple[str, float]]:
-    """(url, label): n unwanted sites of two unwanted names, n wanted ones of two wanted names, and n of invented syllables."""
+def labelled_rows(n: int = 600) -> list[tuple[str, float]]:
+    """(url, label): n unwanted sites of an unwanted name and another one or a neutral word, n wanted ones likewise, and 2 n of
+    syllables, some with a neutral word. Ends, fronts and paths are dealt alike, so that they tell nothing."""
 
     def pair(names: list[str], i: int) -> str:
-        return names[i % len(names)] + ("-", "")[i // len(names) % 2] + names[(i * 7 + i // len(names) + 3) % len(names)]
+        own, round_ = names[i % len(names)], i // len(names)
+        other = names[(i * 7 + round_ + 3) % len(names)] if round_ % 2 else NEUTRAL[(i * 5 + round_) % len(NEUTRAL)]
+        first, second = (own, other) if round_ % 3 else (other, own)
+        return first + ("-", "")[i % 2] + second
 
     def invented(i: int) -> str:
-        return "".join(_SYLLABLES[(i * 5 + k * (i // 24 + 7)) % len(_SYLLABLES)] for k in range(2 + i % 3))
+        name = "".join(_SYLLABLES[(i * 5 + k * (i // len(_SYLLABLES) * 2 + 7)) % len(_SYLLABLES)] for k in range(2 + i % 4))
+        return name + ("-", "")[i // 8 % 2] + NEUTRAL[i * 7 % len(NEUTRAL)] if i % 4 == 0 else name
 
     bad = _urls(n, lambda i: pair(UNWANTED, i))
-    return [(u, 1.0) for u in bad] + [(u, 0.0) for u in _urls(n, lambda i: pair(WANTED, i)) + _urls(n, invented)]
+    return [(u, 1.0) for u in bad] + [(u, 0.0) for u in _urls(n, lambda i: pair(WANTED + HARD, i)) + _urls(2 * n, invented)]
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
