@@ -9,6 +9,8 @@ from loomspan.operators import detect, graph
 from loomspan.plans import views
 from loomspan.plans.registry import query
 from loomspan.plans.views import AS_OF, sql
+from loomspan.sources.versioned import VersionedTable
+from loomspan.streaming import runs
 
 c = F.col
 SPIKE_AS_OF = "2024-01-29 00:00:00"
@@ -121,6 +123,41 @@ def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.join(dense, "entity").withColumn("r", r).filter("r <= 30").select("entity", "n", "id", (c("r") > 3).alias("archived"))
 
 
+def _runs_sql(runs: int = 3, cooldown: int = 2) -> str:
+    """Each run written out: what is left of the memories, dense topics that no run within the cooldown had, their plan."""
+    gone, ctes = "SELECT id FROM memory_entities WHERE false", {}
+    for r in range(1, runs + 1):
+        had = " UNION ALL ".join([f"SELECT entity FROM d{k}" for k in range(max(1, r - cooldown + 1), r)] or ["SELECT '' AS entity"])
+        ctes[f"left{r}"] = f"SELECT * FROM memory_entities WHERE id NOT IN ({gone})"
+        ctes[f"d{r}"] = f"SELECT entity, count(DISTINCT id) AS n FROM left{r} WHERE entity NOT IN ({had}) GROUP BY 1 HAVING count(DISTINCT id) >= 6 ORDER BY n DESC, entity LIMIT 3"
+        ctes[f"plan{r}"] = f"""SELECT {r} AS run, entity, n, id, k > 3 AS archived FROM (SELECT m.entity, d.n, m.id, row_number() OVER (PARTITION BY m.entity ORDER BY created_at DESC, m.id) AS k
+          FROM left{r} m JOIN d{r} d ON d.entity = m.entity) WHERE k <= 30"""
+        gone += f" UNION ALL SELECT id FROM plan{r} WHERE archived"
+    return sql("memory_entities", " UNION ALL ".join(f"SELECT * FROM plan{r}" for r in range(1, runs + 1)), **ctes).replace(" AS (", " AS MATERIALIZED (")
+
+
+@query("a31_compaction_runs", _runs_sql())
+def a31_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of the compaction plan, a day apart, with a cooldown of two days for a topic: what a run archived and which topics
+    it took are tables that the next run reads."""
+    folder = runs.shared_folder(spark, "compaction")
+    me = runs.stored(views.memory_entities(spark, sf_dir), "entities")
+    topics = VersionedTable(spark, f"{folder}/topics", "entity string, last_run int", ["entity"], 4)
+    archive = VersionedTable(spark, f"{folder}/archive", "id long, run int", ["id"], 4)
+    newest = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("created_at"), "id"))
+    out = None
+    for run in (1, 2, 3):
+        left = me.join(archive.read().select("id"), "id", "left_anti")
+        cooling = topics.read().filter(c("last_run") > run - 2).select("entity")
+        dense = left.groupBy("entity").agg(F.countDistinct("id").alias("n")).filter("n >= 6").join(cooling, "entity", "left_anti").orderBy(F.desc("n"), "entity").limit(3)
+        planned = left.join(dense, "entity").withColumn("k", newest).filter("k <= 30").select(F.lit(run).alias("run"), "entity", "n", "id", (c("k") > 3).alias("archived"))
+        planned = runs.stored(planned, "plan")
+        topics.merge(planned.groupBy("entity").agg(F.max("run").alias("last_run")), run)
+        archive.merge(planned.filter("archived").groupBy("id").agg(F.max("run").alias("run")), run)
+        out = planned if out is None else out.union(planned)
+    return out
+
+
 @query("w2_last_event", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

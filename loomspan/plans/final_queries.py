@@ -10,11 +10,11 @@ from loomspan.operators import knowledge, rank, recall
 from loomspan.plans import views
 from loomspan.plans.fold_queries import _recursive
 from loomspan.plans.more_queries import _NODES, _PICK, _nodes
-from loomspan.plans.rank_queries import _FW, _mmr_sql
+from loomspan.plans.rank_queries import _FW, _K, _SIG, _WS, _mmr_sql, _salience, _signals, _w
 from loomspan.plans.registry import query
 from loomspan.plans.scalar_queries import has
 from loomspan.plans.views import sql
-from loomspan.streaming import detectors, runs
+from loomspan.streaming import runs
 
 c = F.col
 
@@ -132,16 +132,43 @@ def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(turns, "turns").union(out(files, "files"))
 
 
-@query("r10_rerank_strategies", sql("retrievals", "SELECT 'mmr' AS strategy, session_id, turn_index, CAST(rank AS INTEGER) AS rank, id FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) UNION ALL SELECT 'salience', session_id, turn_index, CAST(pos AS INTEGER), id FROM cand WHERE pos <= 3 UNION ALL SELECT 'rrf', session_id, turn_index, CAST(row_number() OVER (PARTITION BY session_id, turn_index ORDER BY round(1.0 / (60 + pos) + 1.0 / (60 + b), 9) DESC, pos) AS INTEGER), id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index ORDER BY id) AS b FROM cand)", **_mmr_sql()))
+_R10 = {
+    "sig": _SIG.replace("FROM retrievals", f", {_WS} AS words FROM retrievals"),
+    "one": f"SELECT *, {_w('default')}::DOUBLE AS sal FROM sig QUALIFY row_number() OVER (PARTITION BY {_K}, memory_id ORDER BY result_rank) = 1",
+    "placed": f"SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY result_rank) AS a, row_number() OVER (PARTITION BY {_K} ORDER BY sal DESC, result_rank) AS s FROM one",
+    "lists": f"SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + s), 9) DESC, a) AS f FROM placed",
+    **_mmr_sql(cand=f"SELECT {_K}, a AS pos, memory_id AS id, semantic AS score, words FROM lists", x="a"),
+    **_mmr_sql(cand=f"SELECT {_K}, f AS pos, memory_id AS id, semantic AS score, words FROM lists", x="f"),
+    **_mmr_sql(cand=f"SELECT {_K}, s AS pos, memory_id AS id, sal AS score, words FROM lists WHERE s <= 6", x="s"),
+}
+_R10_SQL = " UNION ALL ".join(
+    [f"SELECT '{name}' AS strategy, {_K}, CAST({place} AS INTEGER) AS rank, memory_id AS id FROM lists WHERE {place} <= 3" for name, place in (("salience", "s"), ("rrf", "f"))]
+    + [f"SELECT '{name}' AS strategy, {_K}, CAST(rank AS INTEGER) AS rank, id FROM {x}m{n}" for name, x in (("mmr", "a"), ("rrf+mmr", "f"), ("salience+mmr", "s")) for n in (1, 2, 3)]
+)
+
+
+@query("r10_rerank_strategies", sql("retrievals memories", _R10_SQL, **_R10))
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three best memories of each turn by five strategies; a memory that a turn meets twice counts where it came first."""
     keys = ["session_id", "turn_index"]
-    cand = views.retrievals(spark, sf_dir).select(*keys, c("result_rank").alias("pos"), c("memory_id").alias("id"), c("cosine_score").alias("score"), text.word_set(c("memory_text")).alias("words"))
-    mmr = rank.diverse(cand, keys).select(F.lit("mmr").alias("strategy"), *keys, "rank", "id")
-    plain = cand.filter("pos <= 3").select(F.lit("salience").alias("strategy"), *keys, c("pos").cast("int").alias("rank"), "id")
-    b = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    fused = F.round(1.0 / (F.lit(60) + c("pos")) + 1.0 / (F.lit(60) + c("b")), 9)
-    rrf = cand.withColumn("b", b).withColumn("f", fused).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("f"), "pos")))
-    return mmr.union(plain).union(rrf.select(F.lit("rrf").alias("strategy"), *keys, "rank", "id"))
+    at = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    words = views.retrievals(spark, sf_dir).select(*keys, "result_rank", text.word_set(c("memory_text")).alias("words"))
+    signals = _signals(spark, sf_dir).withColumn("sal", _salience("default")).join(words, [*keys, "result_rank"])
+    one = signals.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "memory_id").orderBy("result_rank"))).filter("r = 1")
+    placed = one.withColumns({"a": at("result_rank"), "s": at(F.desc("sal"), "result_rank")})
+    fused = F.round(1.0 / (F.lit(60) + c("a")) + 1.0 / (F.lit(60) + c("s")), 9)
+    lists = placed.withColumn("fused", fused).withColumn("f", at(F.desc("fused"), "a"))
+
+    def plain(name: str, place: str) -> DataFrame:
+        return lists.filter(c(place) <= 3).select(F.lit(name).alias("strategy"), *keys, c(place).alias("rank"), c("memory_id").alias("id"))
+
+    def diverse(name: str, place: str, score: str, most: int) -> DataFrame:
+        cand = lists.filter(c(place) <= most).select(*keys, c(place).alias("pos"), c("memory_id").alias("id"), c(score).alias("score"), "words")
+        return rank.diverse(cand, keys).select(F.lit(name).alias("strategy"), *keys, "rank", "id")
+
+    many = 1 << 30
+    out = plain("salience", "s").union(plain("rrf", "f")).union(diverse("mmr", "a", "semantic", many))
+    return out.union(diverse("rrf+mmr", "f", "semantic", many)).union(diverse("salience+mmr", "s", "sal", 6))
 
 
 @query("r17_cross_session_recall", _recursive("SELECT session_id, k.a AS turn_start, k.b AS turn_end, k.d AS depth FROM (SELECT session_id, unnest(kept) AS k FROM (SELECT session_id, arg_max(kept, i) AS kept FROM pick GROUP BY 1)) WHERE session_id IN (SELECT session_id FROM turns WHERE contains(lower(content), 'the') GROUP BY 1 ORDER BY sum(1.0::DOUBLE / (turn_index + 1)) DESC, session_id LIMIT 3)", nodes=_NODES, ord="SELECT *, depth::INT AS dd, row_number() OVER (PARTITION BY session_id ORDER BY turn_start DESC, depth DESC) AS i FROM nodes", pick=_PICK.replace("'d': depth", "'d': dd")))
@@ -214,16 +241,14 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKS = "SELECT a.doc_id AS old, b.doc_id AS new FROM (SELECT *, unnest(w) AS x FROM f) a JOIN (SELECT *, unnest(w) AS x FROM f) b ON a.topic = b.topic AND a.x = b.x AND a.doc_id < b.doc_id WHERE a.text != b.text AND len(a.w) >= 3 AND len(b.w) >= 3 GROUP BY a.doc_id, b.doc_id, len(a.w), len(b.w) HAVING count(*) / least(len(a.w), len(b.w))::DOUBLE > 0.6"
-_WALK = "SELECT old AS start, new AS node, 1 AS d FROM lk UNION SELECT w.start, lk.new, w.d + 1 FROM {0} w JOIN lk ON lk.old = w.node WHERE w.d < 3"
+_WALK = "SELECT old AS start, new AS node, 1 AS d FROM lk UNION SELECT w.start, lk.new, w.d + 1 FROM {0} w JOIN lk ON lk.old = w.node"
 
 
 @query("g14_fact_chains", sql("docs", "SELECT start, node, CAST(min(d) AS INTEGER) AS depth FROM fw WHERE start != node GROUP BY ALL UNION ALL SELECT node, start, CAST(-min(d) AS INTEGER) FROM fw WHERE start != node GROUP BY ALL UNION ALL SELECT DISTINCT x, x, 0 FROM (SELECT old AS x FROM lk UNION SELECT new FROM lk)", f=_FW, lk=_LINKS, fw=_WALK.format("fw")).replace("WITH ", "WITH RECURSIVE ", 1).replace("lk AS (", "lk AS MATERIALIZED ("))
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.docs(spark, sf_dir).select("doc_id", F.get(text.topics(c("text")), F.lit(0)).alias("topic"), F.md5("text").alias("text"), text.word_set(c("text")).alias("w"))
     links = knowledge.invalidations(f).select("old", "new")
-    folder = runs.shared_folder(spark, "links")
-    links.write.parquet(folder)
-    return knowledge.chain(spark.read.schema(links.schema).parquet(folder))
+    return knowledge.chain(links)
 
 
 @query("g15_overlap_groups", sql("memory_entities", "SELECT a.id AS first, b.id AS member, count(*) AS shared FROM memory_entities a JOIN memory_entities b ON a.entity = b.entity AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2"))
@@ -244,27 +269,3 @@ def g15_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.memories(spark, sf_dir).filter("impact = 'critical'").withColumn("age", views.days_since("created_at", "2024-01-29 00:00:00") * 24)
     return m.select("id", F.when(c("age") > 72, "expired").when(c("id") % 4 == 0, "dismissed").when(c("id") % 4 == 1, "surfaced").otherwise("pending").alias("status"))
-
-
-_HOT = 12 * 60  # minutes; 30 by default, the conversations of these tables start an hour apart
-
-
-@query("x1_hot_ingest", sql("turns", f"SELECT conv_id, count(*) AS turns, max(turn_index) AS last_turn FROM turns WHERE ts <= TIMESTAMP '2024-01-04' GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-04' - INTERVAL {_HOT} MINUTE"))
-def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with a turn in the minutes before a time, with all their turns until then."""
-    t = runs.read(spark, sf_dir, "conversations").withColumn("ts", views.plus(views.at("2024-01-01 00:00:00"), minutes=c("conv_id") * 60 + c("turn")))
-    until = views.at("2024-01-04 00:00:00")
-    t = t.filter(c("ts") <= until).groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.max("ts").alias("last"))
-    return runs.run(t.filter(c("last") >= views.plus(until, minutes=F.lit(-_HOT))).drop("last"), "ingest", "complete")
-
-
-@query("x4_session_state", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER (PARTITION BY user_id) AS newest FROM events) WHERE r <= 20 AND ts > newest - INTERVAL 72 HOUR")
-def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = runs.read(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp")).select("user_id", "event_id", "ts")
-    return runs.run(detectors.last_rows(e, ttl_seconds=72 * 3600), "buffer")
-
-
-@query("x8_counter_state", "SELECT user_id, event_id, round(delta, 6) AS delta FROM (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE (delta < -1.0 OR delta > 50) AND gap < INTERVAL 12 HOUR")
-def x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = runs.read(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp")).select("user_id", "event_id", "ts", "value")
-    return runs.run(detectors.counter_state(e, ttl_seconds=12 * 3600), "counter").withColumn("delta", F.round("delta", 6))

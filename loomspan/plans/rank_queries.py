@@ -12,6 +12,7 @@ from loomspan.plans.outcome_queries import FREQ, REC
 from loomspan.plans.registry import query
 from loomspan.plans.scalar_queries import SQL_COMPLEXITY, q, shared, word_set
 from loomspan.plans.views import AS_OF, EPISODES_AS_OF, sql
+from loomspan.streaming import runs
 
 c = F.col
 
@@ -36,7 +37,8 @@ def _search(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
     u = views.turns(spark, sf_dir).filter("role = 'user'")
     terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), 0)), 1, 8)
     asked = u.select(F.concat_ws("-", "session_id", "turn_index").alias("query_id"), F.explode(terms).alias("term"))
-    return rank.search(rank.inverted_index(d, "doc_id", "text", asked), asked, d.count(), every).withColumn("score", F.round("score", 6))
+    index = runs.stored(rank.inverted_index(d, "doc_id", "text", asked), "index")
+    return rank.search(index, asked, d.count(), every).withColumn("score", F.round("score", 6))
 
 
 @query("r2_full_text_all", sql("turns", _TOP.format("(SELECT h.* FROM hits h JOIN (SELECT query_id, count(*) AS k FROM ask GROUP BY 1) USING (query_id) WHERE matched = k)"), ask=_ASK.replace("list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]+'))[1:8]", "w[1:8]").replace("FROM turns WHERE role = 'user'", "FROM (SELECT session_id, turn_index, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1]) AS w FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user'))"), ix=_IX, hits=_HITS))
@@ -105,12 +107,17 @@ _JAC = f"CASE WHEN len(c.words) = 0 OR len(p.words) = 0 THEN 0.0::DOUBLE ELSE {s
 _K = "session_id, turn_index"
 
 
-def _mmr_sql(limit: int = 3) -> dict[str, str]:
-    out = {"cand": _CAND, "m1": f"SELECT {_K}, pos, id, words, round(0.7 * score, 9) AS mmr, 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY round(0.7 * score, 9) DESC, pos) AS r FROM cand) WHERE r = 1"}
+def _mmr_sql(limit: int = 3, cand: str = _CAND, x: str = "") -> dict[str, str]:
+    """CTEs of the greedy picks: m1, m2 ... of candidates (keys, pos, id, score, words), all names with prefix x."""
+    first = f"SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY round(0.7 * score, 9) DESC, pos) AS r FROM {x}cand"
+    out = {f"{x}cand": cand, f"{x}m1": f"SELECT {_K}, pos, id, words, round(0.7 * score, 9) AS mmr, 1 AS rank FROM ({first}) WHERE r = 1"}
     for n in range(2, limit + 1):
-        before = " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(1, n))
-        out[f"p{n}"] = before
-        out[f"m{n}"] = f"SELECT {_K}, pos, id, words, v AS mmr, {n} AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY v DESC, pos) AS r FROM (SELECT c.session_id, c.turn_index, c.pos, c.id, c.words, round(0.7 * c.score - 0.3 * max({_JAC}), 9) AS v FROM cand c JOIN p{n} p ON p.session_id = c.session_id AND p.turn_index = c.turn_index GROUP BY c.session_id, c.turn_index, c.pos, c.id, c.words, c.score HAVING NOT bool_or(p.id = c.id))) WHERE r = 1"
+        out[f"{x}p{n}"] = " UNION ALL ".join(f"SELECT * FROM {x}m{i}" for i in range(1, n))
+        value = f"""SELECT c.session_id, c.turn_index, c.pos, c.id, c.words, round(0.7 * c.score - 0.3 * max({_JAC}), 9) AS v
+          FROM {x}cand c JOIN {x}p{n} p ON p.session_id = c.session_id AND p.turn_index = c.turn_index
+          GROUP BY c.session_id, c.turn_index, c.pos, c.id, c.words, c.score HAVING NOT bool_or(p.pos = c.pos)"""
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY v DESC, pos) AS r FROM ({value})"
+        out[f"{x}m{n}"] = f"SELECT {_K}, pos, id, words, v AS mmr, {n} AS rank FROM ({ranked}) WHERE r = 1"
     return out
 
 

@@ -49,33 +49,3 @@ def cooldown(events: DataFrame, seconds: int = 24 * 3600) -> DataFrame:
         return pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out}).astype("int64"), (last,)
 
     return stateful(events, ["user_id"], "user_id long, event_id long", "last long", step, seconds)
-
-
-def last_rows(events: DataFrame, most: int = 20, ttl_seconds: int = 4 * 3600) -> DataFrame:
-    """(user_id, event_id): each user's newest rows, none ttl_seconds older than the last, as of the last batch that held the user."""
-    import pandas as pd
-
-    def step(key, rows, state):
-        kept = list(zip(*state)) if state else []
-        kept = (kept + list(zip(rows.event_id.tolist(), _micros(rows))))[-most:]
-        kept = [(i, at) for i, at in kept if at > kept[-1][1] - ttl_seconds * 1_000_000]
-        ids, ats = [int(i) for i, _ in kept], [int(at) for _, at in kept]
-        return pd.DataFrame({"user_id": [key[0]] * len(ids), "event_id": ids}).astype("int64"), (ids, ats)
-
-    return stateful(events, ["user_id"], "user_id long, event_id long", "kept array<long>, ats array<long>", step, ttl_seconds)
-
-
-def counter_state(readings: DataFrame, drop: float = -1.0, jump: float = 50.0, ttl_seconds: int = 2 * 3600) -> DataFrame:
-    """(user_id, event_id, delta): readings that fall or jump against the last value held for the user, for ttl_seconds."""
-    import pandas as pd
-
-    def step(key, rows, state):
-        last, seen = state or (None, 0)
-        out = []
-        for event_id, value, at in zip(rows.event_id, rows.value, _micros(rows)):
-            if last is not None and at - seen < ttl_seconds * 1_000_000 and (value - last < drop or value - last > jump):
-                out.append((key[0], event_id, value - last))
-            last, seen = float(value), at
-        return pd.DataFrame(out, columns=["user_id", "event_id", "delta"]).astype({"user_id": "int64", "event_id": "int64", "delta": "float64"}), (last, seen)
-
-    return stateful(readings, ["user_id"], "user_id long, event_id long, delta double", "last double, seen long", step, ttl_seconds)

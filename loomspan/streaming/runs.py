@@ -12,7 +12,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.sources.versioned import VersionedTable
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -26,6 +29,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them more than once."""
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files; the pattern fits a single file as well as a folder."""
     path = f"{sf_dir}/{name}.parquet"
@@ -46,6 +56,18 @@ def run(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out").select(schema.names)
 
 
+def upsert(stream: DataFrame, folder: str, table: VersionedTable, order: Column) -> None:
+    """Run a stream of changes over all available rows; of each key's changes in a batch the last by `order` is merged into the table."""
+    names = table.schema.names
+
+    def merge(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(*table.keys).agg(F.max_by(F.struct(*names), order).alias("row"))
+        table.merge(last.select("row.*"), number)
+
+    job = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
+    job.awaitTermination()
+
+
 def stateful(stream: DataFrame, keys: list[str], output: str, state: str, step: Callable, ttl_seconds: int, delay: str = "1 hour") -> DataFrame:
     """Rows of step(key, rows in order of time, state tuple or None) -> (rows, state) for each key, across batches.
 

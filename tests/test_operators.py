@@ -1,9 +1,6 @@
 """Operators without SQL, and state across batches, against plain Python."""
 
-import datetime as dt
-
 from loomspan.operators import folds, graph, knowledge, rank
-from loomspan.streaming import detectors, runs
 
 
 def test_overlap_groups_grow_their_vocabulary(spark):
@@ -15,7 +12,7 @@ def test_overlap_groups_grow_their_vocabulary(spark):
 
 def test_chain_survives_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 4)], "old long, new long")
-    got = {(r.start, r.node, r.depth) for r in knowledge.chain(links, 5).collect()}
+    got = {(r.start, r.node, r.depth) for r in knowledge.chain(links).collect()}
     assert {x for x in got if x[0] == 1} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 3, -1), (1, 2, -2)}
 
 
@@ -52,15 +49,3 @@ def test_search_for_all_terms_needs_each(spark):
     asked = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "a"), ("r", "nowhere"), ("s", "a")], "query_id string, term string")
     index = rank.inverted_index(docs, "id", "text", asked)
     assert sorted((r.query_id, r.rank, r.id) for r in rank.search(index, asked, 4).collect()) == [("q", 1, 1), ("q", 2, 2), ("s", 1, 3), ("s", 2, 1), ("s", 3, 2)]
-
-
-def test_state_ends_with_its_time(spark):
-    """A user's rows in two batches: state is carried over, and gone after its time."""
-    at = lambda h: dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(hours=h)
-    batches = [[(1, 1, at(0), 10.0), (1, 2, at(1), 99.0), (2, 3, at(0), 5.0)], [(1, 4, at(2), 1.0), (2, 5, at(30), 99.0)], [(1, 6, at(60), 0.0), (2, 7, at(31), 0.0)]]
-    folder = runs.shared_folder(spark, "test")
-    for n, rows in enumerate(batches):
-        spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{folder}/{n}")
-    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    got = sorted((r.user_id, r.event_id, r.delta) for r in runs.run(detectors.counter_state(stream), "test").collect())
-    assert got == [(1, 2, 89.0), (1, 4, -98.0), (2, 7, -99.0)]
