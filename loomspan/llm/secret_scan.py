@@ -34,23 +34,25 @@ KINDS = ("assign", "access", "hex", "id", "secret")  # the order of spans that s
 BASE = (
     ("assign", re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
     ("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 16),
-    ("hex", re.compile(rb"[0-9a-f]+"), 0, 32),
+    ("hex", re.compile(rb"[0-9a-f]{32,}"), 0, 32),
 )
 _IS = rb"""["']?\x20*[:=]\x20*["']?"""
 _NAMED = rb"(?<![A-Za-z])(?i:%s)" + _IS
-#: Weak parts, first come first served: role, weight, pattern; group 1 is the part.
+_NEEDS = {"assign": (b":", b"="), "access": (b"AKIA",), "hex": (b"",)}  # a text without any of them has no match
+_URL, _SIGN, _KEYS, _ANY = (b"://",), (b":", b"="), (b"AKIA", b"ASIA", b"AROA", b"AIDA", b"AGPA"), (b"",)
+#: Weak parts, first come first served: role, weight, what a text needs, pattern; group 1 is the part. Secrets without a name come last.
 WEAK = (
-    ("secret", 2, re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,19}://[^\s:/@\"'<>]+:([^\s:/@\"'<>]{3,})@")),
-    ("id", 1, re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,19}://([^\s:/@\"'<>]+):[^\s:/@\"'<>]{3,}@")),
-    ("id", 2, re.compile(rb"(?<![A-Za-z0-9])((?:AKIA|ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,})(?![A-Za-z0-9])")),
-    ("id", 2, re.compile(_NAMED % rb"(?:aws_)?access_?key_?id|key_?id|client_?id|app_?id|tenant_?id" + rb"([A-Za-z0-9._@+-]{4,})")),
-    ("id", 1, re.compile(_NAMED % rb"user(?:_?name)?|login|account|uid|e-?mail" + rb"([A-Za-z0-9._@+-]{3,})")),
-    ("secret", 2, re.compile(_NAMED % rb"pass(?:_?phrase|code)?|pwd|pin|credentials?|auth(?:_?key)?|(?:secret|private|access|account|shared|signing)_?key|client_?secret|password|passwd|secret|token" + rb"([^\s\"',;<>]{4,})")),
-    ("endpoint", 1, re.compile(rb"([A-Za-z][A-Za-z0-9+.-]{1,19}://[^\s\"'<>]{3,})")),
-    ("endpoint", 1, re.compile(_NAMED % rb"host(?:_?name)?|endpoint|server|base_?url|url|uri|addr(?:ess)?" + rb"([A-Za-z0-9._:/-]{4,})")),
-    ("endpoint", 1, re.compile(rb"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3}:\d{2,5})(?!\d)")),
-    ("secret", 1, re.compile(rb"(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_.=-])")),
-    ("secret", 1, re.compile(rb"(?<![A-Za-z0-9])([0-9a-f]{16,31})(?![A-Za-z0-9])")),
+    ("secret", 2, _URL, re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,19}://[^\s:/@\"'<>]+:([^\s:/@\"'<>]{3,})@")),
+    ("id", 1, _URL, re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,19}://([^\s:/@\"'<>]+):[^\s:/@\"'<>]{3,}@")),
+    ("id", 2, _KEYS, re.compile(rb"(?<![A-Za-z0-9])((?:AKIA|ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,})(?![A-Za-z0-9])")),
+    ("id", 2, _SIGN, re.compile(_NAMED % rb"(?:aws_)?access_?key_?id|key_?id|client_?id|app_?id|tenant_?id" + rb"([A-Za-z0-9._@+-]{4,})")),
+    ("id", 1, _SIGN, re.compile(_NAMED % rb"user(?:_?name)?|login|account|uid|e-?mail" + rb"([A-Za-z0-9._@+-]{3,})")),
+    ("secret", 2, _SIGN, re.compile(_NAMED % rb"pass(?:_?phrase|code)?|pwd|pin|credentials?|auth(?:_?key)?|(?:secret|private|access|account|shared|signing)_?key|client_?secret|password|passwd|secret|token" + rb"([^\s\"',;<>]{4,})")),
+    ("endpoint", 1, _URL, re.compile(rb"([A-Za-z][A-Za-z0-9+.-]{1,19}://[^\s\"'<>]{3,})")),
+    ("endpoint", 1, _SIGN, re.compile(_NAMED % rb"host(?:_?name)?|endpoint|server|base_?url|url|uri|addr(?:ess)?" + rb"([A-Za-z0-9._:/-]{4,})")),
+    ("endpoint", 1, (b":",), re.compile(rb"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3}:\d{2,5})(?!\d)")),
+    ("secret", 1, _ANY, re.compile(rb"(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_.=-])")),
+    ("secret", 1, _ANY, re.compile(rb"(?<![A-Za-z0-9])([0-9a-f]{16,31})(?![A-Za-z0-9])")),
 )
 _ROLES = {"assign": ("secret", 2), "access": ("id", 2), "hex": ("secret", 1)}  # of base matches
 _EDGE = re.compile(rb"\n[ \t\r]*\n|\n(?=\[[^\]\n]{1,80}\][ \t\r]*(?:\n|$))|\n-{3,}[ \t\r]*(?=\n|$)")
@@ -80,7 +82,7 @@ def _points(text: bytes, at: list[int]) -> dict[int, int]:
 
 def base_matches(text: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes, by start, then kind as listed."""
-    found = [(k, m.start(), m.end()) for k, pattern, group, least in BASE for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    found = [(k, m.start(), m.end()) for k, pattern, group, least in BASE if any(x in text for x in _NEEDS[k]) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -99,7 +101,11 @@ def scan_text(text: bytes) -> tuple[list[dict], list[dict]]:
             least.append((a, b))
     starts, ends = [a for a, _ in least], [b for _, b in least]
     urls: list[tuple[int, int]] = []
-    for role, weight, pattern in WEAK:
+    for role, weight, needs, pattern in WEAK:
+        if needs is _ANY and all(p[0] == "secret" for p in parts):
+            break  # nothing to link to
+        if not any(x in text for x in needs):
+            continue
         fresh = []
         for m in pattern.finditer(text):
             a, b = m.span(1)
