@@ -74,7 +74,7 @@ def seeded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     created = plus(at("2024-01-01 00:00:00"), minutes=i * 7919 % 40320)
-    d = d.select(i.alias("id"), F.substring("text", 1, 500).alias("summary"), "source", created.alias("created_at"))
+    d = d.select(i.alias("id"), F.col("text").alias("summary"), "source", created.alias("created_at"))
     i = F.col("id")
     return d.select(
         "*", F.when(i % 7 != 0, plus(F.col("created_at"), days=i % 3)).alias("last_accessed"), (i % 23).alias("access_count"),
@@ -92,7 +92,7 @@ def memory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     words = F.transform(F.regexp_extract_all("summary", F.lit("[A-Za-z]{8,}"), 0), F.lower)
-    return m.select("id", "created_at", F.explode(F.slice(F.array_sort(F.array_distinct(words)), 1, 12)).alias("entity"))
+    return m.select("id", "created_at", F.explode(F.array_distinct(words)).alias("entity"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = turns(spark, sf_dir).filter("role = 'user'").select("conv_id", "session_id", "turn_index", "content", "ts")
     r = q.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("memory_id", _memory(table(spark, sf_dir, "documents").count()))
     bucket = F.when(F.col("conv_id") >= 95, "FACTS").otherwise(F.element_at(F.array(F.lit("CONSTRAINTS"), F.lit("PROCEDURES"), F.lit("FACTS"), F.lit(None)), (F.col("memory_id") % 4 + 1).cast("int")))
-    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.substring("text", 1, 200).alias("memory_text"))
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("memory_text"))
     r = r.join(m, "memory_id")
     return r.select("conv_id", "session_id", "turn_index", F.col("content").alias("query"), "memory_id", "memory_text", F.col("k").cast("long").alias("result_rank"), (1.0 / F.col("k")).alias("cosine_score"), bucket.alias("packaged_bucket"), F.col("ts").alias("created_at"))
 
@@ -183,12 +183,12 @@ SQL = {
     "memories": """SELECT *, CASE WHEN id % 7 != 0 THEN created_at + to_days((id % 3)::INT) END AS last_accessed, id % 23 AS access_count,
       CASE WHEN id % 10 = 0 THEN 'critical' WHEN id % 10 IN (1, 2) THEN 'high' WHEN id % 10 = 3 THEN 'low' ELSE 'normal' END AS impact, CASE WHEN id % 5 = 0 THEN 'ambient' ELSE 'inferred' END AS confidence,
       id % 17 = 0 AS is_deprecated, id % 50 = 0 AS pinned, CASE WHEN id % 13 = 0 THEN created_at + INTERVAL 20 DAY END AS ttl_expires
-      FROM (SELECT doc_id AS id, substring(text, 1, 500) AS summary, source, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 40320) AS created_at FROM documents)""",
+      FROM (SELECT doc_id AS id, text AS summary, source, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7919 % 40320) AS created_at FROM documents)""",
     "memory_pairs": "SELECT id AS a_id, id + 1 AS b_id, created_at + INTERVAL 1 DAY AS detected_at, id % 2 = 0 AS resolved FROM memories WHERE id % 11 = 0",
-    "memory_entities": "SELECT id, created_at, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(summary, '[A-Za-z]{8,}'), lambda x: lower(x))))[1:12]) AS entity FROM memories",
+    "memory_entities": "SELECT id, created_at, unnest(list_distinct(list_transform(regexp_extract_all(summary, '[A-Za-z]{8,}'), lambda x: lower(x)))) AS entity FROM memories",
     "edges": "SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, CASE l_returnflag WHEN 'A' THEN 'USES' WHEN 'N' THEN 'RUNS_ON' ELSE 'DEPENDS_ON' END AS predicate, count(*) AS obs, max(l_shipdate) AS last_confirmed FROM lineitem GROUP BY ALL",
     "live_edges": f"SELECT *, pow(2.0, -((epoch_us(TIMESTAMP '{EDGES_AS_OF}') - epoch_us(last_confirmed)) / 86400000000.0) / (14.0 * log2(obs + 1.0))) AS decay FROM edges WHERE last_confirmed <= TIMESTAMP '{EDGES_AS_OF}'",
-    "retrievals": """SELECT conv_id, session_id, turn_index, content AS query, memory_id, substring(d.text, 1, 200) AS memory_text, k AS result_rank, 1.0::DOUBLE / k AS cosine_score,
+    "retrievals": """SELECT conv_id, session_id, turn_index, content AS query, memory_id, d.text AS memory_text, k AS result_rank, 1.0::DOUBLE / k AS cosine_score,
       CASE WHEN conv_id >= 95 THEN 'FACTS' ELSE ['CONSTRAINTS', 'PROCEDURES', 'FACTS', NULL][(memory_id % 4 + 1)::INT] END AS packaged_bucket, ts AS created_at
       FROM (SELECT *, CASE WHEN k <= 3 THEN (conv_id * 31 + turn_index * 7 + k) % greatest(1, n // 10) ELSE ((conv_id * 31 + turn_index * 7) * 53 + k * 131) % greatest(1, n) END AS memory_id FROM (SELECT *, unnest(range(1, 6)) AS k FROM turns WHERE role = 'user'), (SELECT count(*) AS n FROM documents)) JOIN documents d ON d.doc_id = memory_id""",
     "responses": "SELECT q.session_id, q.turn_index, a.content AS response FROM turns q JOIN turns a ON a.session_id = q.session_id AND a.turn_index = q.turn_index + 1 WHERE q.role = 'user' AND a.role = 'assistant'",
