@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, free_name, replace_columns
 
-DIMENSIONS, ROUNDS, TOLERANCE, SEED = ("source", "lang", "topic"), 200, 1e-9, "mix-1"
-CELLS_PER_PARTITION, ROUNDS_PER_JOB = 1_000_000, 4
+DIMENSIONS, ROUNDS, TOLERANCE, SEED = ("source", "lang", "topic"), 200, 1e-12, "mix-1"
+CELLS_PER_PARTITION, ROUNDS_PER_JOB, BROADCAST_BYTES = 1_000_000, 4, 64 << 20
 
-#: Target shares of tokens (dimension, value, share): the crawl that is a third of the corpus is drawn to a share like others, the smallest language
-#: and texts on a known topic more.
+#: Target shares of tokens (dimension, value, share): languages far more even than a crawl has them, the largest source drawn down to a share
+#: below that of the others, and texts on a known topic more.
 TARGETS = (
-    ("source", "src0", 0.06),
-    ("lang", "en", 0.58), ("lang", "fr", 0.16), ("lang", "de", 0.16), ("lang", "es", 0.10),
-    ("topic", "law", 0.03), ("topic", "technology", 0.01), ("topic", "commerce", 0.01), ("topic", "science", 0.01),
+    ("source", "src0", 0.03),
+    ("lang", "en", 0.40), ("lang", "fr", 0.22), ("lang", "de", 0.22), ("lang", "es", 0.16),
+    ("topic", "law", 0.04), ("topic", "technology", 0.01), ("topic", "commerce", 0.01), ("topic", "science", 0.01),
     ("topic", "health", 0.01), ("topic", "society", 0.01), ("topic", "arts", 0.01),
 )
 
@@ -134,9 +134,10 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id
     value = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS}
     cells = scratch.write(docs.groupBy(*[v.alias(d) for d, v in value.items()]).agg(F.sum("tokens").alias("own")))
     fitted = fit(cells, scratch, targets if targets is not None else target_table(docs.sparkSession), rounds, tolerance).withColumn("ratio", F.col("fitted") / F.col("own"))
-    top, n = fitted.agg(F.max("ratio"), F.count("*")).first()
+    held = sum((F.octet_length(d) for d in DIMENSIONS), F.lit(64))
+    top, held_bytes = fitted.agg(F.max("ratio"), F.coalesce(F.sum(held), F.lit(0))).first()
     key = {d: free_name(docs, f"_{d}") for d in DIMENSIONS}
     odds = scratch.write(fitted.select(*[F.col(d).alias(k) for d, k in key.items()], (F.col("ratio") / F.lit(top or 1.0)).alias("probability")))
-    odds = F.broadcast(odds) if n <= CELLS_PER_PARTITION else odds.hint("merge")  # a cell is about 60 bytes
+    odds = F.broadcast(odds) if held_bytes <= BROADCAST_BYTES else odds.hint("merge")
     out = docs.join(odds, [value[d] == F.col(k) for d, k in key.items()]).drop(*key.values())
     return out.withColumn("sampled", uniform(id_col, seed) < F.col("probability"))

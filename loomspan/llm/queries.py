@@ -160,7 +160,7 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 """
 
 
-def _op2_sql(rounds: int = 40, targets: tuple = mixing.TARGETS, seed: str = mixing.SEED) -> str:
+def _op2_sql(rounds: int = 120, targets: tuple = mixing.TARGETS, seed: str = mixing.SEED) -> str:
     """Raking written out: one table for each margin of each round, more rounds than the tolerance needs."""
 
     def listed(words: str) -> str:

@@ -167,6 +167,16 @@ def test_mixing_any_column_names(spark):
     assert {(r._source, r._lang, r._topic, r.topic, r.probability) for r in got.collect()} == {("a", "b", "c", "d", 1.0)}
 
 
+def test_mixing_moves_the_margins(spark):
+    """The targets are not the table's own shares: weighted tokens meet them, and some documents become rare."""
+    rows = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    weight, own = (sum(f(r) * r.tokens for r in rows) for f in (lambda r: r.probability, lambda r: 1))
+    for value, share in (("en", 0.40), ("fr", 0.22), ("es", 0.16)):
+        there = [r for r in rows if r.lang == value]
+        assert abs(sum(r.probability * r.tokens for r in there) / weight - share) < 1e-6 and abs(sum(r.tokens for r in there) / own - share) > 0.02
+    assert min(r.probability for r in rows) < 0.2 and sum(r.sampled for r in rows) < 0.7 * len(rows)
+
+
 def test_mixing_topics(spark):
     texts = ["The court, a contract and the music", "Musik! film", None, "nothing known", "PRIX et vente; song", "énergie", "discount music"]
     df = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
