@@ -9,7 +9,9 @@ such elements stay. On a page without them every part beside the path stays (hea
 below the threshold and most of its characters are links.
 
 Elements that are never article text (scripts, styles, menus, headers and footers outside an article, forms, asides)
-and those whose class, id or role says menu, advert, notice, comments and the like count for densities and then go.
+and those whose class, id or role says menu, advert, notice, comments and the like count for densities and then go. Names are
+evidence, text decides: a form, or an element that a name speaks against, stays where the page would keep less than a fifth of
+that element's unlinked characters without it (a page inside one form; an article of the class "modal-verbs").
 Blocks keep their order and are joined by two line feeds; white space inside a block becomes one space. Defined
 cases: null or blank html gives empty text; unclosed and stray tags, and text without any tag, are read as browsers do;
 repeated rows are rows of their own; pages of any length are read whole.
@@ -47,6 +49,11 @@ PLACES = frozenset("site page main top bottom left right primary secondary globa
 MARKS = frozenset("adsense advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies disqus footer gdpr masthead modal nav navbar navigation newsletter pagination popup sidebar sponsored".split())
 WEAK_MARKS = frozenset("ad ads alert banner comment comments consent copyright login menu notice notices pager promo promos promotion promotions recommended related replies respond share sharing signup skip social sponsor subscribe subscription".split())
 BOX = frozenset("area bar block body box btn button buttons code col column container content count cta data details div form frame group heading icons image inner item items label layout link links list media meta module msg message new nav news outer overlay panel post posts region row rows section slot small social stories story strip text thread title to top unit widget widgets wrap wrapper zone".split())
+# Names that common themes and plug-ins write as one word; they mark a box wherever they stand in a class or id.
+GLUED = frozenset("adsbygoogle commentlist cookiebar leftcol mainmenu mainnav relatedposts rightcol sharedaddy sitefooter sitenav topnav".split())
+LAST = frozenset("ad ads advert comments".split())  # mark a box after words of PLACES and BOX
+# Marks that hold against any amount of text.
+FIRM = frozenset("comment commentlist comments consent cookie cookies cookiebar disqus gdpr replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _OPENED = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)|/(?=[^a-zA-Z]))")
 _ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
@@ -59,13 +66,13 @@ class Node:
     """An element. Kept at hand, so that no start or end tag has to walk up the tree: the nearest open block or button, the
     nearest element that bounds a list item, the outermost open row, cell and section of the nearest table or list."""
 
-    __slots__ = ("block", "bound", "chars", "children", "density", "depth", "framed", "link_chars", "link_tags", "name", "parent", "table", "tags", "total", "unwanted", "upper")
+    __slots__ = ("block", "bound", "chars", "children", "density", "depth", "framed", "link_chars", "link_tags", "name", "parent", "soft", "table", "tags", "total", "unwanted", "upper")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.block, self.unwanted = name in BLOCKS, False
+        self.block, self.unwanted, self.soft = name in BLOCKS, False, False
         self.depth = parent.depth + 1 if parent else 0
         self.framed = name in ("article", "main") or parent is not None and parent.framed
         self.upper = self if parent is None or self.block or name == "button" else parent.upper
@@ -86,6 +93,8 @@ def marked(value: str) -> bool:
             del parts[0]
         if not parts:
             continue
+        if any(x in GLUED for x in parts) or len(parts) > 1 and parts[-1] in LAST and all(x in PLACES or x in BOX for x in parts[:-1]):
+            return True
         if parts[0] in MARKS or token == "side-bar" or parts[0] == "header" and len(parts) == 1 and token != "header":
             return True
         if parts[0] in WEAK_MARKS and all(x in MARKS or x in WEAK_MARKS or x in PLACES or x in BOX or x.isdigit() or len(x) == 1 for x in parts[1:]):
@@ -104,6 +113,17 @@ def _unwanted(node: Node, attributes: dict[str, str]) -> bool:
     return marked(attributes.get("class", "")) or name != "article" and marked(attributes.get("id", ""))
 
 
+def _soft(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an unwanted element is so by evidence only: a form, or a mark that is not firm."""
+    if name in DROPPED and name != "form" or name == "header" or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return False
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [x for x in _PART.split(token) if x]
+        if any(x in FIRM for x in parts) and all(x in FIRM or x in MARKS or x in WEAK_MARKS or x in PLACES or x in BOX or x.isdigit() for x in parts):
+            return False
+    return True
+
+
 def _opened_in(node: Node, name: str) -> Node:
     """Where a start tag puts its element, after the end tags that it implies."""
     if node.name == "head" and name not in IN_HEAD:
@@ -194,6 +214,7 @@ def parse(page: str) -> Node:
         node = leave(_opened_in(node, name))
         child = Node(name, node)
         child.unwanted = _unwanted(child, attributes)
+        child.soft = child.unwanted and _soft(name, attributes)
         node.children.append(child)
         if name not in VOID:
             node = child
@@ -211,6 +232,29 @@ def prune(root: Node) -> None:
         stack.extend(c for c in n.children if isinstance(c, Node))
 
 
+def spare(root: Node) -> None:
+    """Evidence never outweighs the text: a soft unwanted element stays where what is left without it is under a fifth of its own
+    unlinked characters and it has paragraphs (or lines) of its own. Of several the one with most."""
+    kept: dict[int, int] = {}  # unlinked characters that stay if the element itself does
+    lines: dict[int, int] = {}
+    best, most = None, 0
+    for n in reversed(_below(root)):
+        own = told = 0
+        for c in n.children:
+            if not isinstance(c, Node):
+                own += len(_SPACE.sub(" ", c).strip())
+            elif not c.unwanted and c.name != "a":
+                own += kept[id(c)]
+                told += lines[id(c)] + (c.name in ("p", "br"))
+        kept[id(n)], lines[id(n)] = own, told
+        if n.unwanted and n.soft and own > most and (told >= 2 or n.name == "article"):
+            best, most = n, own
+    if best is not None and 5 * kept[id(root)] < most:
+        while best is not None:
+            best.unwanted = False
+            best = best.parent if best.parent is not None and (not best.parent.unwanted or best.parent.soft) else None
+
+
 def _measure(root: Node) -> list[Node]:
     """Fill in counts, densities and sums; nodes in page order."""
     order, stack = [], [root]
@@ -273,6 +317,7 @@ def _linked(n: Node) -> bool:
 
 def article(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order; unwanted elements count for densities and go."""
+    spare(root)
     _measure(root)
     prune(root)
     best = _best(_below(root))

@@ -340,6 +340,29 @@ def brute_rule(url):
     return host, path, max(fits, key=len, default=None)
 
 
+P = "".join(f"<p>Paragraph {i} with enough words to count as text of an article, and some more.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "paragraphs", "never"),
+    [
+        (f"<form id=aspnetForm><nav><a href=x>Home</a></nav><h1>Head</h1>{P}<input><select><option>pick</select></form>", 6, "Home"),
+        (f"<h1>Head</h1><article class='modal-verbs'>{P}</article>", 6, "\x00"),
+        (f"<div class='cookies-recipe'>{P}</div>", 6, "\x00"),
+        (f"<div class=sidebar-layout><h1>T</h1>{P}<div class=sidebar><ul><li><a href=a>aside</a></ul></div></div>", 6, "aside"),
+        (f"<h1>Head line</h1><div class=subscription-content>{P}</div>", 6, "\x00"),
+        (f"<article>{P}</article><ol class=commentlist><li><p>Nice comment</p><li><p>Second comment</p></ol>", 6, "comment"),
+        (f"<article><p>Short article text.</p></article><div class=comments>{P}</div>", 0, "Paragraph"),
+        (f"<div>{P}<div class=content-ad><p>Buy this</p></div><ins class=adsbygoogle>Buy that</ins><div class=sharedaddy>Share this</div><div class=jp-relatedposts><p>Related</p></div></div>", 6, "Buy"),
+        ("<nav><a href=x>Home</a></nav><div class='cookie-notice'><p>We use cookies a lot here.</p><p>Accept them please now.</p></div>", 0, "cookies"),
+        (f"<article>{P}</article><form><p>Name</p><p>Password</p><input></form>", 6, "Password"),
+    ],
+)
+def test_names_are_evidence_only(page, paragraphs, never):
+    got = html_text.main_text(f"<body>{page}</body>")
+    assert got.count("Paragraph") == paragraphs and never not in got
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/1?x", "http://net/", "http://net", "http://xnet/", "http://example.com/de/", "http://example.com/de", "http://EXAMPLE.org/fr/2#t", "http://É.org/fr/", "x://a://b.net/c", "http://casino-win.example.org/en/4", "http://blog.ththan.example.org/en/5"]
     urls += [r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
