@@ -121,6 +121,33 @@ def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKED = "SELECT '{0}' AS place, query_id AS term, CAST(id AS VARCHAR) AS id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM (SELECT term AS query_id, id, tf * ln(1.0 + n::DOUBLE / count(*) OVER (PARTITION BY term)) AS score FROM {1}, (SELECT count(*) AS n FROM {2}) WHERE term IN ('the', 'la', 'der'))) WHERE r <= {3}"
 
 
+_QUESTIONS = """SELECT session_id || '-' || turn_index AS query_id, unnest(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: list_position(l, p[1]) = p[2]), lambda p: p[1])[1:8]) AS term
+  FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_]+') AS l FROM turns WHERE role = 'user')"""
+
+
+def _found(place: str, texts: str, top: int) -> str:
+    """SQL of the best of `texts` (id, t) for each question (ask), all terms needed."""
+    index = f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS term FROM {texts}) GROUP BY ALL"
+    score = f"""SELECT query_id, id, count(*) AS matched, sum(tf * ln(1.0 + (SELECT count(*) FROM {texts})::DOUBLE / df)) AS score
+      FROM ask JOIN x USING (term) JOIN (SELECT term, count(*) AS df FROM x GROUP BY 1) USING (term) GROUP BY ALL"""
+    ranked = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM h JOIN (SELECT query_id, count(*) AS k FROM ask GROUP BY 1) USING (query_id) WHERE matched = k"
+    return f"(WITH x AS MATERIALIZED ({index}), h AS ({score}) SELECT '{place}' AS place, query_id, id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score FROM ({ranked}) WHERE r <= {top})"
+
+
+@query("r4_question_grep", sql("turns", _found("turns", "said", 10) + " UNION ALL " + _found("files", "big", 5), ask=_QUESTIONS, said="SELECT conv_id * 1000 + turn_index AS id, content AS t FROM turns", big="SELECT doc_id AS id, text AS t FROM documents WHERE length(text) // 4 > 500"))
+def r4_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question the ten best turns and the five best diverted files that hold all of its first eight terms."""
+    t, d = views.turns(spark, sf_dir), views.table(spark, sf_dir, "documents").filter(F.floor(F.char_length("text") / 4) > 500)
+    terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), 0)), 1, 8)
+    asked = t.filter("role = 'user'").select(F.concat_ws("-", "session_id", "turn_index").alias("query_id"), F.explode(terms).alias("term"))
+    said = t.select((c("conv_id") * 1000 + c("turn_index")).alias("id"), c("content").alias("text"))
+    parts = []
+    for place, texts, top in (("turns", said, 10), ("files", d.select(c("doc_id").alias("id"), "text"), 5)):
+        index = runs.stored(rank.inverted_index(texts, "id", "text", asked), "index")
+        parts.append(rank.search(index, asked, texts.count(), True, top).select(F.lit(place).alias("place"), "query_id", "id", "rank", F.round("score", 6).alias("score")))
+    return parts[0].union(parts[1])
+
+
 @query("r4_grep_ranked", sql("turns", _RANKED.format("turns", "ix", "(SELECT DISTINCT session_id FROM turns)", 10) + " UNION ALL " + _RANKED.format("files", "dx", "big", 5), ix=_TERMS, big="SELECT * FROM documents WHERE length(text) > 2000", dx="SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM big) GROUP BY ALL"))
 def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each term the ten best sessions and the five best diverted files."""
