@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text
-from loomspan.operators.graph import shared_pairs
+from loomspan.operators import stripes
 
 
 def cooccurrence_spikes(members: DataFrame, age_days: Column, recent_days: float = 7.0, times: float = 3.0, least: int = 2) -> DataFrame:
     """Entity pairs whose recent count is above `times` their weekly history; weeks since the first pair, one at least."""
-    pairs = shared_pairs(members.select("id", "entity"), "id", "entity").join(members.select("id", age_days.alias("age")).distinct(), "id")
-    recent = pairs.filter(F.col("age") <= recent_days).groupBy("e1", "e2").agg(F.count("*").alias("recent")).filter(F.col("recent") >= least)
-    before = pairs.filter(F.col("age") > recent_days).groupBy("e1", "e2").agg((F.count("*") / F.greatest(F.lit(1.0), F.max("age") / 7.0)).alias("weekly"))
-    out = recent.join(before, ["e1", "e2"], "left").withColumn("weekly", F.coalesce("weekly", F.lit(0.0)))
+    found = stripes.pair_counts(members.withColumn("age", age_days), least, recent_days)
+    weekly = F.when(F.col("before") > 0, F.col("before") / F.greatest(F.lit(1.0), F.col("age") / 7.0)).otherwise(0.0)
+    out = found.select("e1", "e2", "recent", weekly.alias("weekly"))
     return out.filter(F.col("recent") > F.col("weekly") * times)
 
 
