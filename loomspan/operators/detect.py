@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import text
 from loomspan.operators import stripes
 
 
@@ -19,13 +18,10 @@ def cooccurrence_spikes(members: DataFrame, age_days: Column, recent_days: float
 
 def topic_drift(members: DataFrame, least: int = 6, below: float = 0.35, union: int = 3) -> DataFrame:
     """Entities whose neighbours in the first and last third of their memories hardly overlap, for all entities at once."""
-    n = members.groupBy("entity").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= least)
-    thirds = members.join(n, "entity").withColumn("third", F.ntile(3).over(Window.partitionBy("entity").orderBy("created_at", "id"))).filter("third != 2")
-    near = thirds.join(members.select("id", F.col("entity").alias("other")), "id").filter("other != entity")
-    sets = near.groupBy("entity", "n").agg(F.collect_set(F.when(F.col("third") == 1, F.col("other"))).alias("old"), F.collect_set(F.when(F.col("third") == 3, F.col("other"))).alias("new"))
-    both = sets.withColumns({"overlap": text.jaccard(F.col("old"), F.col("new")), "either": F.size(F.array_union("old", "new"))})
-    drift = both.filter((F.col("overlap") < below) & (F.col("either") >= union))
-    return drift.select("entity", "n", "overlap", F.size(F.array_except("new", "old")).alias("gained"), F.size(F.array_except("old", "new")).alias("lost"))
+    either = F.col("old") + F.col("new") - F.col("both")
+    sets = stripes.thirds(members, least).withColumns({"either": either, "overlap": F.col("both") / either})
+    drift = sets.filter((F.col("overlap") < below) & (F.col("either") >= union))
+    return drift.select("entity", "n", "overlap", (F.col("new") - F.col("both")).alias("gained"), (F.col("old") - F.col("both")).alias("lost"))
 
 
 def counter_anomalies(readings: DataFrame, drop: float = -1.0, jump: float = 50.0) -> DataFrame:

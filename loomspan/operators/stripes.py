@@ -127,3 +127,30 @@ def pair_counts(members: DataFrame, least: int, recent_days: float | None = None
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["e1", "e2", "recent", "before", "age"])
 
     return _named(stripes.mapInArrow(run, "e1 int, e2 int, recent long, before long, age double"), names)
+
+
+def thirds(members: DataFrame, least: int) -> DataFrame:
+    """(entity, n, old, new, both): of entities of `least` ids or more in members (id, created_at, entity), how many others
+    the first and the last third of their rows have, and how many both have."""
+    _ship()
+    members = stored(members.select("id", "created_at", "entity"), "members")
+    names = stored(numbered(members), "codes")
+    coded = stored(members.join(names, "entity").select("id", "created_at", "code"), "coded")
+    n = coded.groupBy("code").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= least)
+    third = F.ntile(3).over(Window.partitionBy("code").orderBy("created_at", "id"))
+    asked = coded.join(n.select("code"), "code").withColumn("third", third).filter("third != 2").groupBy("id").agg(F.collect_list(F.struct("code", "third")).alias("asked"))
+    rows = stored(coded.groupBy("id").agg(F.collect_list("code").alias("codes")).join(asked, "id").select("codes", "asked"), "rows")
+    numbers = rows.agg(F.sum(F.size("codes").cast("long") * F.size("asked"))).first()[0] or 0
+    each = rows.select("codes", F.explode("asked").alias("a"))
+    stripes = _dealt(each.select(F.col("a.code").alias("e1"), F.col("codes").alias("others"), F.when(F.col("a.third") == 1, 1).otherwise(2).alias("bit")), numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e1, _, (bits,) in _counted(batches, lambda b: [b.column(2).to_numpy()], [np.bitwise_or]):
+            if not len(e1):
+                continue
+            at = np.flatnonzero(np.concatenate([[True], e1[1:] != e1[:-1]]))
+            sums = [np.add.reduceat(x.astype(np.int32), at, dtype=np.int32) for x in (bits & 1, bits >> 1, bits == 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e1[at].astype(np.int32), *sums)], names=["code", "old", "new", "both"])
+
+    found = stripes.mapInArrow(run, "code int, old int, new int, both int")
+    return found.join(n, "code").join(names, "code").select("entity", "n", "old", "new", "both")
