@@ -165,8 +165,12 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r21_packaged_buckets", sql("retrievals", f"SELECT session_id, turn_index, bucket, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn_index, bucket ORDER BY conf DESC, result_rank) AS r FROM (SELECT session_id, turn_index, memory_id, result_rank, {SQL_BUCKET} AS bucket, round({SQL_BUCKET_CONF} * (0.7 + 0.3 * cosine_score), 6) AS conf FROM (SELECT *, memory_text AS text FROM retrievals))) WHERE r <= 3"))
 def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = text.memory_bucket(c("memory_text"))
-    x = views.retrievals(spark, sf_dir).select("session_id", "turn_index", "memory_id", "result_rank", b["bucket"].alias("bucket"), F.round(b["confidence"].cast("double") * (F.lit(0.7) + F.lit(0.3) * c("cosine_score")), 6).alias("conf"))
+    """Each memory that a question meets is judged once, not once for each question."""
+    met = views.retrieved(spark, sf_dir).select("session_id", "turn_index", "memory_id", c("k").cast("long").alias("result_rank"), (1.0 / c("k")).alias("cosine_score"))
+    d = views.table(spark, sf_dir, "documents").select(c("doc_id").alias("memory_id"), "text").join(met.select("memory_id").distinct(), "memory_id", "left_semi")
+    judged = d.select("memory_id", text.memory_bucket(c("text")).alias("b"))
+    conf = F.round(c("b.confidence").cast("double") * (F.lit(0.7) + F.lit(0.3) * c("cosine_score")), 6)
+    x = met.join(judged, "memory_id").select("session_id", "turn_index", "memory_id", "result_rank", "b.bucket", conf.alias("conf"))
     r = F.row_number().over(Window.partitionBy("session_id", "turn_index", "bucket").orderBy(F.desc("conf"), "result_rank"))
     return x.withColumn("r", r).filter("r <= 3").select("session_id", "turn_index", "bucket", "memory_id")
 
