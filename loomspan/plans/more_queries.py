@@ -253,9 +253,12 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r7_open_question_boost", sql("retrievals sturns", f"SELECT r.session_id, r.turn_index, r.result_rank, CASE WHEN {shared(word_set('memory_text'), word_set('asked'))} >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS boost FROM retrievals r JOIN (SELECT session_id, turn_index, content AS asked FROM sturns) USING (session_id, turn_index)"))
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions meet their ranks before the memories, so that each memory's text is shuffled once, not once for each question."""
     asked = views.seeded_turns(spark, sf_dir).select("session_id", "turn_index", c("content").alias("asked"))
+    met = views.retrieved(spark, sf_dir).select("session_id", "turn_index", "memory_id", c("k").cast("long").alias("result_rank")).join(asked, ["session_id", "turn_index"])
+    memories = views.table(spark, sf_dir, "documents").select(c("doc_id").alias("memory_id"), c("text").alias("memory_text"))
     n = F.size(F.array_intersect(text.word_set(c("memory_text")), text.word_set(c("asked"))))
-    return views.retrievals(spark, sf_dir).join(asked, ["session_id", "turn_index"]).select("session_id", "turn_index", "result_rank", F.when(n >= 2, 1.0).otherwise(0.0).alias("boost"))
+    return met.join(memories, "memory_id").select("session_id", "turn_index", "result_rank", F.when(n >= 2, 1.0).otherwise(0.0).alias("boost"))
 
 
 @query("n10_pattern_candidates", sql("docs", f"SELECT doc_id, CASE WHEN {' OR '.join(f'text ILIKE {q(f'%{w}%')}' for w in rules.FAILURE_WORDS)} THEN 'failure' WHEN {' OR '.join(f'text ILIKE {q(f'%{w}%')}' for w in rules.PREFERENCE_WORDS)} THEN 'preference' END AS kind FROM docs"))
