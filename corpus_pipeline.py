@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, packing, quality, simhash, substring
+from loomspan.llm import jaccard, mixing, packing, quality, substring
 from loomspan.llm.common import MADE, Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,8 +44,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, five-word shingles, similarity 0.8 or more: of each near-duplicate group the document with the smallest doc_id stays."""
-    return simhash.keep_one_similar(docs)
+    """Operator 10's fingerprints link documents, five-word shingles at a similarity of 0.8 or more confirm and complete the links: of
+    each near-duplicate group the document with the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
 
 
 @_stage

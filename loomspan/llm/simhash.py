@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm import jaccard
 from loomspan.llm.common import Scratch, chunks, free_name, ship, text_bytes
 from loomspan.llm.components import connected_components
 
@@ -122,12 +121,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
     kept = scratch.write(tagged.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row")))
     return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[F.col(i).alias(c) for c, i in at.items()])
-
-
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, linked in chains.
-
-    At that similarity two fingerprints differ in ten bits or so, too many for blocks of 64 bits to find every pair, so that
-    candidates come from prefixes of the shingle sets instead, which miss none; each is verified.
-    """
-    return jaccard.keep_one(docs, id_col, text_col)

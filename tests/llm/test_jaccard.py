@@ -106,3 +106,37 @@ def test_one_large_group(spark, bucket, block):
     rows = family()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert sorted((r.doc_id for r in jaccard.keep_one(df, bucket=bucket, block=block).collect()), key=str) == brute_kept(rows)
+
+
+def test_links_between_match_brute_force():
+    import numpy as np
+
+    r = random.Random(3)
+    sets = [np.array(sorted({r.randrange(6) for _ in range(4)} | set(range(10, 20 + i % 3))), np.uint64) for i in range(40)]
+    rest, ids, roots = np.arange(40) % 3 == 0, list(range(100, 140)), np.arange(40)
+    linked = {(a, b) for a in range(40) for b in range(40) if rest[a] and not rest[b] and jaccard.similar(sets[a], sets[b])}
+    got = jaccard.links_between(rest, ids, roots, sets)
+
+    def parts(links):
+        group = list(range(40))
+        for a, b in links:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(i for i in range(40) if group[i] == g) for g in group}
+
+    assert linked and len(got) < 40 and all(u > v for u, v in got)
+    assert parts([(u - 100, v - 100) for u, v in got]) == parts(linked)
+
+
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline
+
+    class Called(Exception):
+        pass
+
+    def called(fps, max_bits, bucket):
+        assert fps.columns == ["fp"] and max_bits == 2
+        raise Called
+
+    monkeypatch.setattr(jaccard, "fingerprint_links", called)
+    with pytest.raises(Called):
+        corpus_pipeline.near_dedup(spark, spark.createDataFrame(edited()[:30], "doc_id long, text string"), DATA)
