@@ -10,10 +10,9 @@ from loomspan.operators import stripes
 
 def cooccurrence_spikes(members: DataFrame, age_days: Column, recent_days: float = 7.0, times: float = 3.0, least: int = 2) -> DataFrame:
     """Entity pairs whose recent count is above `times` their weekly history; weeks since the first pair, one at least."""
-    found = stripes.pair_counts(members.withColumn("age", age_days), least, recent_days)
     weekly = F.when(F.col("before") > 0, F.col("before") / F.greatest(F.lit(1.0), F.col("age") / 7.0)).otherwise(0.0)
-    out = found.select("e1", "e2", "recent", weekly.alias("weekly"))
-    return out.filter(F.col("recent") > F.col("weekly") * times)
+    found = stripes.pair_counts(members.withColumn("age", age_days), least, recent_days, F.col("recent") > weekly * times)
+    return found.select("e1", "e2", "recent", weekly.alias("weekly"))
 
 
 def topic_drift(members: DataFrame, least: int = 6, below: float = 0.35, union: int = 3) -> DataFrame:

@@ -2,24 +2,26 @@
 
 Entities are numbered in their order, and a row's other entities travel as one array of numbers to the task that has an
 entity, not as a row for each pair. Tasks read their entities in order and hold the counts of one at a time besides a
-bounded buffer, so only the pairs asked for leave them.
+bounded buffer, so only the pairs asked for leave them. As arrays of long rows outgrow the input, entities are dealt to
+rounds: the arrays of one round are on disk at once, and only its result stays.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.streaming.runs import stored
 
 VALUES = 1 << 22  # numbers that a task holds before it counts them
 TASK = 1 << 23  # numbers that a task reads, on average
+ROUND, TIMES = 1 << 26, 8  # numbers that a round shuffles: so many, or so many times those of all rows
 
 
 def _ship() -> None:
@@ -42,6 +44,18 @@ def _dealt(stripes: DataFrame, numbers: int) -> DataFrame:
     return stripes.repartition(tasks, "e1").sortWithinPartitions("e1")
 
 
+def _in_rounds(each: DataFrame, codes: int, numbers: int, run: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """run(part of each, numbers) over parts of the entities e1, one after another; of the parts together."""
+    n = -(-numbers // max(ROUND, TIMES * codes))
+    if n <= 1:
+        return run(each, numbers)
+    out = None
+    for i in range(n):
+        part = stored(run(each.filter(F.pmod(F.xxhash64("e1"), F.lit(n)) == i), -(-numbers // n)), "round")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def _merged(keys: np.ndarray, values: list[np.ndarray], by: list[np.ufunc]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, the values of each brought together."""
     if not len(keys):
@@ -101,9 +115,9 @@ def _named(found: DataFrame, names: DataFrame) -> DataFrame:
     return found
 
 
-def pair_counts(members: DataFrame, least: int, recent_days: float | None = None) -> DataFrame:
+def pair_counts(members: DataFrame, least: int, recent_days: float | None = None, keep: Column | None = None) -> DataFrame:
     """(e1, e2, recent, before, age) of entities e1 < e2 of one id, in members (id, entity, age): rows of at most
-    `recent_days` (all, without it) and older ones, and the largest age of these; `least` recent ones or more."""
+    `recent_days` (all, without it) and older ones, and the largest age of these; `least` recent ones or more, and only those to `keep`."""
     _ship()
     inf = float("inf") if recent_days is None else recent_days
     own = members.groupBy("id").agg(F.first("age").alias("age"), F.collect_list("entity").alias("entities"))
@@ -112,21 +126,24 @@ def pair_counts(members: DataFrame, least: int, recent_days: float | None = None
     often = members.filter(F.col("age") <= inf).groupBy("entity").agg(F.sum("most").alias("n")).filter(F.col("n") >= least)  # as many rows as a pair of it may have
     names = stored(numbered(often), "codes")
     rows = stored(members.join(names, "entity").groupBy("id").agg(F.first("age").alias("age"), F.array_sort(F.collect_list("code")).alias("codes")).filter(F.size("codes") > 1), "rows")
-    numbers = rows.agg(F.sum(F.size("codes").cast("long") * F.size("codes") / 2).cast("long")).first()[0] or 0
+    numbers, codes = (x or 0 for x in rows.agg(F.sum(F.size("codes").cast("long") * F.size("codes") / 2).cast("long"), F.sum(F.size("codes"))).first())
     each = rows.select("age", "codes", F.posexplode("codes").alias("p", "e1")).filter(F.col("p") + 1 < F.size("codes"))
-    stripes = _dealt(each.select("e1", F.slice("codes", F.col("p") + 2, F.size("codes")).alias("others"), "age"), numbers)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weights(batch: pa.RecordBatch) -> list[np.ndarray]:
             age = batch.column(2).to_numpy()
             return [(age <= inf).astype(np.int64), (age > inf).astype(np.int64), np.where(age > inf, age, -np.inf)]
 
         for e1, e2, (recent, before, age) in _counted(batches, weights, [np.add, np.add, np.maximum]):
-            keep = recent >= least
-            columns = (e1[keep].astype(np.int32), e2[keep].astype(np.int32), recent[keep], before[keep], age[keep])
+            some = recent >= least
+            columns = (e1[some].astype(np.int32), e2[some].astype(np.int32), recent[some], before[some], age[some])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["e1", "e2", "recent", "before", "age"])
 
-    return _named(stripes.mapInArrow(run, "e1 int, e2 int, recent long, before long, age double"), names)
+    def counted(part: DataFrame, numbers: int) -> DataFrame:
+        stripes = _dealt(part.select("e1", F.slice("codes", F.col("p") + 2, F.size("codes")).alias("others"), "age"), numbers)
+        found = stripes.mapInArrow(run, "e1 int, e2 int, recent long, before long, age double")
+        return found.filter(keep) if keep is not None else found
+
+    return _named(_in_rounds(each, codes, numbers, counted), names)
 
 
 def thirds(members: DataFrame, least: int) -> DataFrame:
@@ -140,9 +157,9 @@ def thirds(members: DataFrame, least: int) -> DataFrame:
     third = F.ntile(3).over(Window.partitionBy("code").orderBy("created_at", "id"))
     asked = coded.join(n.select("code"), "code").withColumn("third", third).filter("third != 2").groupBy("id").agg(F.collect_list(F.struct("code", "third")).alias("asked"))
     rows = stored(coded.groupBy("id").agg(F.collect_list("code").alias("codes")).join(asked, "id").select("codes", "asked"), "rows")
-    numbers = rows.agg(F.sum(F.size("codes").cast("long") * F.size("asked"))).first()[0] or 0
+    numbers, codes = (x or 0 for x in rows.agg(F.sum(F.size("codes").cast("long") * F.size("asked")), F.sum(F.size("codes"))).first())
     each = rows.select("codes", F.explode("asked").alias("a"))
-    stripes = _dealt(each.select(F.col("a.code").alias("e1"), F.col("codes").alias("others"), F.when(F.col("a.third") == 1, 1).otherwise(2).alias("bit")), numbers)
+    each = each.select(F.col("a.code").alias("e1"), F.col("codes").alias("others"), F.when(F.col("a.third") == 1, 1).otherwise(2).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e1, _, (bits,) in _counted(batches, lambda b: [b.column(2).to_numpy()], [np.bitwise_or]):
@@ -152,5 +169,5 @@ def thirds(members: DataFrame, least: int) -> DataFrame:
             sums = [np.add.reduceat(x.astype(np.int32), at, dtype=np.int32) for x in (bits & 1, bits >> 1, bits == 3)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e1[at].astype(np.int32), *sums)], names=["code", "old", "new", "both"])
 
-    found = stripes.mapInArrow(run, "code int, old int, new int, both int")
+    found = _in_rounds(each, codes, numbers, lambda part, n: _dealt(part, n).mapInArrow(run, "code int, old int, new int, both int"))
     return found.join(n, "code").join(names, "code").select("entity", "n", "old", "new", "both")
